@@ -42,7 +42,7 @@ for _c in range(256):
         _KIND[_c] = 6
     elif _c < 32:
         _KIND[_c] = 7
-OWN = 16
+OWN = 17
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +73,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     x[:, 13] = count((kind == 4) & (later == 3)) / words
     x[:, 14] = count((kind == 0) & (later == 1)) / words
     x[:, 15] = n == 0
+    split = [line.split(" ") for t in texts for line in t.split("\n")]
+    x[:, 16] = [len(set(w)) / len(w) for w in split]  # how many of the words differ
     first = np.append(0, np.cumsum(per_text)[:-1])
     before, after = np.roll(x, 1, axis=0), np.roll(x, -1, axis=0)
     before[first], after[first + per_text - 1] = 0, 0
