@@ -67,7 +67,7 @@ MAPPINGS = (
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a VARIANT, arrays as []; null for null.
+    """Sorted nested field paths of a VARIANT, arrays as []; null for null. An array that mixes objects with other values is a leaf.
 
     The schema string is cut into names, opening and closing signs; a fold over them keeps the path of every open object.
     """

@@ -154,6 +154,7 @@ def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
                     for column, x in zip(rows, (doc, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])), strict=True):
                         column.append(x)
             out = pd.DataFrame(dict(zip(("id", "start", "end", "candidate", "features"), rows, strict=True)))
+            out = out.astype({"candidate": object, "features": object})  # also where there are none
             yield out.astype({"id": "Int64"}) if kind.endswith("int") else out
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -100,9 +100,10 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))
+    same = F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_key") == F.col("_skey"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return docs.join(spans.select("id", "text_key", F.col("removed").alias("_spans")), same, "left").withColumn("removed", F.coalesce("_spans", none))
+    found = spans.select(F.col("id").alias("_sid"), F.col("text_key").alias("_skey"), F.col("removed").alias("_spans"))
+    return docs.join(found, same, "left").withColumn("removed", F.coalesce("_spans", none))
 
 
 def _chars():
@@ -120,4 +121,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     begins = F.concat(F.transform("removed", lambda x: x["start"]), F.array(F.length(text)))
     kept = F.array_join(F.zip_with(edges, begins, lambda a, b: F.substr(text, a + 1, b - a)), "")
     cut_out = F.when(F.size("removed") > 0, kept).otherwise(F.col(text_col))
-    return out.withColumn("n_removed", F.size("removed").cast("long")).withColumn("removed_chars", _chars()).withColumn(text_col, cut_out).drop("_id", "_key", "_spans", "id", "text_key")
+    return out.withColumn("n_removed", F.size("removed").cast("long")).withColumn("removed_chars", _chars()).withColumn(text_col, cut_out).drop("_id", "_key", "_spans", "_sid", "_skey")
