@@ -586,3 +586,108 @@ def harvest_external_id(spark, d):
         .when(F.coalesce("raw", F.lit("")) == "", "no value").when(F.col("_held").isNotNull(), "the item already has the property")
     )
     return out.select("page_id", "value", message.alias("message"), F.when(message.isNull(), "ready").otherwise("skipped").alias("status"))
+
+
+# lookups
+
+from tessera.sources import lookups  # noqa: E402
+
+
+@query("""SELECT o_orderkey AS page_id, CASE WHEN p_partkey IS NULL THEN 'the page no longer exists' END AS message, p_partkey AS revision_id FROM orders LEFT JOIN part ON p_partkey = o_orderkey""")
+def revision_join(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("page_id"))
+    revisions = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("page_id"), F.col("p_partkey").alias("revision_id"), F.col("p_name").alias("text"))
+    return lookups.with_revisions(rows, revisions).select("page_id", "message", "revision_id")
+
+
+@query("""SELECT c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE c_name END AS target, CASE WHEN c_custkey % 2 = 0 AND n_nationkey % 3 > 0 THEN concat('Q', CAST(n_nationkey AS STRING)) END AS item,
+    CASE WHEN c_custkey % 2 = 1 THEN 'missing' WHEN n_nationkey % 3 = 0 THEN 'no_item' ELSE 'item' END AS state FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def link_target_lookup(spark, d):
+    customer, nation = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/nation.parquet")
+    redirects = customer.where("c_custkey % 2 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("from_title"), F.col("n_name").alias("to_title"))
+    pages = nation.select(F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 3 > 0, F.concat(F.lit("Q"), F.col("n_nationkey").cast("string"))).alias("item"))
+    return lookups.link_targets(customer.select(F.col("c_name").alias("title")), redirects, pages)
+
+
+@query("SELECT p_partkey AS name, CASE WHEN p_size <= 10 THEN 'missing' WHEN p_size <= 25 THEN 'local' ELSE 'shared' END AS state FROM part")
+def file_location_lookup(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    images = part.where("p_size > 10").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") <= 25, "local").otherwise("shared").alias("repository"))
+    return lookups.file_locations(part.select(F.col("p_partkey").alias("name")), images)
+
+
+@query("SELECT s_suppkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, concat('Q', CAST(s_nationkey AS STRING))) AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def label_fallback(spark, d):
+    labels = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 2 = 0").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("item"), F.lit("en").alias("language"), F.col("n_name").alias("text"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.concat(F.lit("Q"), F.col("s_nationkey").cast("string")).alias("item"))
+    return lookups.with_labels(rows, labels, "item").select("s_suppkey", "label")
+
+
+@query("""SELECT n_nationkey, concat(lower(replace(n_name, ' ', '')), 'wiki') AS dbname, 'Vorlage' AS template, 'Template,Vl,Vorlage' AS prefixes, n_nationkey % 2 = 0 AS first_letter FROM nation""")
+def site_info(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    info = F.concat(F.lit('{"general":{"wikiid":"'), F.lower(F.replace("n_name", F.lit(" "), F.lit(""))), F.lit('wiki","lang":"de"},"namespaces":{"0":{"id":0,"name":""},"10":{"id":10,"name":"Vorlage","canonical":"Template","case":"'), F.when(F.col("n_nationkey") % 2 == 0, "first-letter").otherwise("case-sensitive"), F.lit('"}},"namespacealiases":[{"id":10,"alias":"Vl"},{"id":6,"alias":"Image"}]}'))
+    s = n.select("n_nationkey", lookups.site(info).alias("s"))
+    return s.select("n_nationkey", "s.dbname", F.element_at("s.namespaces", 10).alias("template"), F.array_join(F.array_sort("s.template_prefixes"), ",").alias("prefixes"), "s.first_letter")
+
+
+@query("SELECT r_regionkey, concat('n', CAST(n_nationkey AS STRING)) AS id, n_name AS title FROM nation JOIN region ON r_regionkey = n_regionkey")
+def share_list_scan(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").withColumn("tr", F.concat(F.lit("<tr><td><a href='?htid=n"), F.col("n_nationkey").cast("string"), F.lit("'>x</a></td><td>"), "n_name", F.lit("</td></tr>\n")))
+    pages = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list("tr"), ""), F.lit("</table>")).alias("html"))
+    rows = pages.select("r_regionkey", F.explode(lookups.table_rows(F.col("html"), r"<tr><td><a href='\?htid=(\w+)'>[^<]*</a></td><td>([^<]*)</td></tr>", 2)).alias("t"))
+    return rows.select("r_regionkey", F.col("t.c1").alias("id"), F.col("t.c2").alias("title"))
+
+
+@query("""SELECT n_nationkey, 'name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'ids', CAST(n_nationkey AS STRING) FROM nation UNION ALL SELECT n_nationkey, 'ids', 'x' FROM nation
+    UNION ALL SELECT n_nationkey, 'ok', 'true' FROM nation""")
+def json_pairs(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    body = F.concat(F.lit('{"name":"'), "n_name", F.lit('","ids":['), F.col("n_nationkey").cast("string"), F.lit(',"x"],"ok":true}'))
+    return lookups.json_pairs(n.select("n_nationkey", body.alias("body")), "n_nationkey", "body")
+
+
+@query("""WITH k AS (SELECT p_brand AS property, p_type AS kind, max(CASE WHEN p_size > 40 THEN 2 WHEN p_size > 20 THEN 1 ELSE 0 END) AS r, min(p_partkey) AS position FROM part GROUP BY p_brand, p_type)
+    SELECT property, kind, CASE r WHEN 2 THEN 'mandatory' WHEN 1 THEN 'normal' ELSE 'suggestion' END AS status, position FROM k""")
+def constraint_strictest_status(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    status = F.when(F.col("p_size") > 40, "mandatory").when(F.col("p_size") > 20, "normal").otherwise("suggestion")
+    return lookups.strictest_status(part.select(F.col("p_brand").alias("property"), F.col("p_type").alias("kind"), status.alias("status"), F.col("p_partkey").alias("position")))
+
+
+@query("SELECT item, string_agg(DISTINCT property, ',' ORDER BY property) AS properties FROM fx_claims GROUP BY item")
+def property_ids(spark, d):
+    return view(spark, d, "fx_claims").groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("property")), ",").alias("properties"))
+
+
+@query("SELECT item, claim_id FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY claim_id DESC) AS n FROM fx_claims) WHERE n <= 3")
+def latest_history(spark, d):
+    return lookups.latest_per(view(spark, d, "fx_claims"), "item", "claim_id", 3).select("item", "claim_id")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'done' WHEN 'click' THEN 'busy' WHEN 'purchase' THEN 'rejected' WHEN 'signup' THEN 'fatal' ELSE 'failed' END AS outcome, CASE WHEN event_type = 'click' THEN greatest(5, CAST(event_id % 9 AS INT)) END AS wait FROM events""")
+def edit_outcomes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    code = F.when(F.col("event_type") == "click", "maxlag").when(F.col("event_type") == "purchase", "modification-failed").when(F.col("event_type") == "signup", "blocked").when(F.col("event_type") != "view", "internal_error")
+    return e.select("event_id", lookups.edit_outcome(code, (F.col("event_id") % 9).cast("int")).alias("o")).select("event_id", F.col("o.class").alias("outcome"), "o.wait")
+
+
+# the whole evaluation, over rendered pages
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat('+', CAST(p_size AS STRING), '.5 Q11570') END AS value,
+    CASE WHEN p_partkey % 5 = 0 THEN 'the page has no Wikidata item' WHEN p_partkey % 6 = 0 THEN 'unclear number' WHEN p_size > 45 THEN 'constraint violation: range' END AS message,
+    CASE WHEN p_partkey % 5 = 0 THEN 'skipped' WHEN p_partkey % 6 = 0 OR p_size > 45 THEN 'error' ELSE 'ready' END AS status FROM part""")
+def evaluate_quantities(spark, d):
+    from tessera.plans.evaluate import Catalog, evaluate
+    from tessera.plans.job import JobSpec
+
+    text = "CASE WHEN p_partkey % 6 = 0 THEN '{{Box|w=about two}}' ELSE concat('{{Box|w=', p_size, '.50 [[Kilogram|kg.]]}}') END"
+    pages = _rendered(spark, d, "%body%", body=text)
+    claims = view(spark, d, "fx_claims").where("false").select("item", "property", "rank", "item_value", F.lit("").alias("text_value"), "amount", F.lit("").alias("unit"), "year", "month", "day", F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    units = spark.createDataFrame([("kilogram", "Q11570"), ("kg", "Q11570")], "name string, unit string")
+    rows = pages.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("Q"), F.col("p_partkey").cast("string"))).alias("item"))
+    revisions = pages.select(F.col("p_partkey").alias("page_id"), F.col("p_partkey").alias("revision_id"), F.col("wikitext").alias("text"))
+    rules = [("range", lambda r, c: C.amount_range(r["v_amount"], None, 46.0))]
+    out = evaluate(rows, revisions, JobSpec(property="P2067", template="Box", parameters=("w",)), "quantity", Catalog(claims, units=units), rules)
+    return out.select("page_id", F.regexp_replace("value", r"\.50 ", ".5 ").alias("value"), "message", "status")
