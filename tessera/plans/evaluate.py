@@ -17,7 +17,7 @@ from tessera.functions import text as T
 from tessera.functions import wikitext as W
 from tessera.operators import constraints, existing
 
-from .job import JobSpec
+from .job import JobSpec, for_extra
 
 SKIPS = ("the page has no Wikidata item", "template not found", "no value", "the item already has this value", "the item already has the property", "a link to an archived copy", "this value was removed from the item before")
 
@@ -115,8 +115,28 @@ def _parsed(rows: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog) ->
         rows = rows.withColumn("_c", place)
         typed |= {"v_place": F.col("_c"), "parse_error": F.when(F.col("_c").isNull(), "could not find a coordinate")}
     rows = rows.withColumns(typed)
+    helpers = ("_link", "_target", "_there", "_file", "shared", "_d", "_q", "_u", "_unit", "_c")
     shown = F.coalesce("v_item", "v_text", N.shown_date(F.col("v_date")), F.concat_ws(" ", "v_amount", "v_unit") if datatype == "quantity" else none("string"), F.concat_ws(", ", F.round("v_place.latitude", 6).cast("string"), F.round("v_place.longitude", 6).cast("string")) if datatype == "globe-coordinate" else none("string"))
-    return rows.withColumn("value", F.when(F.col("parse_error").isNull(), shown))
+    return rows.withColumn("value", F.when(F.col("parse_error").isNull(), shown)).drop(*helpers)
+
+
+TYPED = ("v_item", "v_text", "v_amount", "v_unit", "v_date", "v_place", "parse_error", "value")
+
+
+def _qualified(rows: DataFrame, spec: JobSpec, datatypes: dict[str, str], catalog: Catalog) -> DataFrame:
+    """rows with the typed columns of each qualifier, prefixed q0_, q1_, ...; a parameter without a value leaves the qualifier out."""
+    for i, (prop, kind, text) in enumerate(spec.qualifiers):
+        datatype = datatypes[prop]
+        own = JobSpec(property=prop, parameters=("fixed",), date_limit=None, archive_urls=spec.archive_urls, decimal_comma=spec.decimal_comma and kind == "param", language=spec.language, julian=spec.julian)
+        raw = F.lit(text) if kind == "fixed" else W.first_of(F.col("params"), text.split(","))
+        asked = rows.withColumn("part0", raw)
+        if kind == "fixed" and datatype == "wikibase-item":
+            asked = asked.withColumns({c: F.lit(None).cast("string") for c in ("v_text", "v_amount", "v_unit", "parse_error")} | {"v_item": F.lit(text), "value": F.lit(text), "v_date": F.lit(None).cast(N.DATE), "v_place": F.lit(None).cast("struct<latitude:double,longitude:double,precision:double>")})
+        else:
+            asked = _parsed(asked, own, datatype, catalog)
+        there = F.coalesce(asked["part0"], F.lit("")) != ""
+        rows = asked.withColumn("parse_error", F.when(there, F.col("parse_error"))).withColumn("value", F.when(there, F.col("value"))).withColumnsRenamed({c: f"q{i}_{c}" for c in TYPED})
+    return rows
 
 
 def _same(datatype: str) -> Column:
@@ -132,39 +152,74 @@ def _same(datatype: str) -> Column:
     return F.col("v_text") == F.col("c_text_value")
 
 
-def statement_json(spec: JobSpec, datatype: str, catalog: Catalog) -> Column:
-    """The statement to be written, with its reference: where it was read, and the revision."""
+def _snak(prop: str, datatype: str, language: str = "", julian: bool = False, prefix: str = "") -> Column:
+    """The snak of a property with the value in the typed columns."""
+    c = lambda name: F.col(f"{prefix}{name}")
     kinds = {"wikibase-item": "wikibase-entityid", "time": "time", "quantity": "quantity", "monolingualtext": "monolingualtext", "globe-coordinate": "globecoordinate"}
     if datatype == "wikibase-item":
-        value = F.struct(F.lit("item").alias("entity-type"), F.substr("v_item", F.lit(2)).cast("bigint").alias("numeric-id"), F.col("v_item").alias("id"))
+        value = F.struct(F.lit("item").alias("entity-type"), F.substr(c("v_item"), F.lit(2)).cast("bigint").alias("numeric-id"), c("v_item").alias("id"))
     elif datatype == "time":
-        calendar = F.lit(f"http://www.wikidata.org/entity/{'Q1985786' if spec.julian else 'Q1985727'}")
-        value = F.struct(N.wire_time(F.col("v_date")).alias("time"), F.lit(0).alias("timezone"), F.lit(0).alias("before"), F.lit(0).alias("after"), N.precision(F.col("v_date")).alias("precision"), calendar.alias("calendarmodel"))
+        calendar = F.lit(f"http://www.wikidata.org/entity/{'Q1985786' if julian else 'Q1985727'}")
+        value = F.struct(N.wire_time(c("v_date")).alias("time"), F.lit(0).alias("timezone"), F.lit(0).alias("before"), F.lit(0).alias("after"), N.precision(c("v_date")).alias("precision"), calendar.alias("calendarmodel"))
     elif datatype == "quantity":
-        value = F.struct(F.col("v_amount").alias("amount"), F.coalesce(F.concat(F.lit("http://www.wikidata.org/entity/"), "v_unit"), F.lit("1")).alias("unit"))
+        value = F.struct(c("v_amount").alias("amount"), F.coalesce(F.concat(F.lit("http://www.wikidata.org/entity/"), c("v_unit")), F.lit("1")).alias("unit"))
     elif datatype == "monolingualtext":
-        value = F.struct(F.col("v_text").alias("text"), F.lit(spec.language).alias("language"))
+        value = F.struct(c("v_text").alias("text"), F.lit(language).alias("language"))
     elif datatype == "globe-coordinate":
-        value = F.struct("v_place.latitude", "v_place.longitude", "v_place.precision", F.lit("http://www.wikidata.org/entity/Q2").alias("globe"))
+        value = F.struct(*(c("v_place")[x].alias(x) for x in ("latitude", "longitude", "precision")), F.lit("http://www.wikidata.org/entity/Q2").alias("globe"))
     else:
-        value = F.col("v_text")
-    snak = lambda prop, kind, v, t: F.struct(F.lit("value").alias("snaktype"), F.lit(prop).alias("property"), F.lit(kind).alias("datatype"), F.struct(v.alias("value"), F.lit(t).alias("type")).alias("datavalue"))
+        value = c("v_text")
+    return _as_snak(prop, datatype, value, kinds.get(datatype, "string"))
+
+
+def _as_snak(prop: str, datatype: str, value: Column, kind: str) -> Column:
+    return F.struct(F.lit("value").alias("snaktype"), F.lit(prop).alias("property"), F.lit(datatype).alias("datatype"), F.struct(value.alias("value"), F.lit(kind).alias("type")).alias("datavalue"))
+
+
+def statement_json(spec: JobSpec, datatype: str, catalog: Catalog, datatypes: dict[str, str]) -> Column:
+    """The statement to be written, with its qualifiers and its reference: where it was read, and the revision."""
     edition = F.struct(F.lit("item").alias("entity-type"), F.lit(int(catalog.edition[1:])).alias("numeric-id"), F.lit(catalog.edition).alias("id"))
     link = T.permalink(F.lit(catalog.host), F.col("title"), F.col("revision_id"))
     reference = F.struct(
-        F.struct(F.array(snak("P143", "wikibase-item", edition, "wikibase-entityid")).alias("P143"), F.array(snak("P4656", "url", link, "string")).alias("P4656")).alias("snaks"),
+        F.struct(F.array(_as_snak("P143", "wikibase-item", edition, "wikibase-entityid")).alias("P143"), F.array(_as_snak("P4656", "url", link, "string")).alias("P4656")).alias("snaks"),
         F.array(F.lit("P143"), F.lit("P4656")).alias("snaks-order"),
     )
-    return F.to_json(F.struct(F.lit("statement").alias("type"), F.lit("normal").alias("rank"), snak(spec.property, datatype, value, kinds.get(datatype, "string")).alias("mainsnak"), F.array(reference).alias("references")))
+    extra = []
+    if spec.qualifiers:
+        snaks: dict[str, list[Column]] = {}
+        for i, (prop, _, _) in enumerate(spec.qualifiers):
+            snaks.setdefault(prop, []).append(F.when(F.col(f"q{i}_value").isNotNull(), _snak(prop, datatypes[prop], spec.language, spec.julian, f"q{i}_")))
+        lists = {p: F.array_compact(F.array(*cs)) for p, cs in snaks.items()}
+        used = F.array_compact(F.array(*(F.when(F.size(v) > 0, F.lit(p)) for p, v in lists.items())))
+        # to_json leaves nulls out, so only qualifiers with values are named
+        extra = [F.when(F.size(used) > 0, F.struct(*(F.when(F.size(v) > 0, v).alias(p) for p, v in lists.items()))).alias("qualifiers"), F.when(F.size(used) > 0, used).alias("qualifiers-order")]
+    main = _snak(spec.property, datatype, spec.language, spec.julian)
+    return F.to_json(F.struct(F.lit("statement").alias("type"), F.lit("normal").alias("rank"), main.alias("mainsnak"), *extra, F.array(reference).alias("references")))
+
+
+def _empty(spec: JobSpec, datatype: str) -> Column:
+    """Is there no value to parse? (A year that cleans to nothing is an error, not a missing value.)"""
+    empty = F.coalesce("raw_value", F.lit("")) == "" if not spec.date_parameters else F.col("part0").isNull()
+    lost = F.col("value").isNull() & F.col("parse_error").isNull() if datatype in ("string", "external-id", "monolingualtext") else F.lit(False)
+    return empty | lost
 
 
-def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog, rules: list[tuple[str, object]] = ()) -> DataFrame:
+def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog, rules: list[tuple[str, object]] = (), datatypes: dict[str, str] | None = None) -> DataFrame:
     """pages (page_id, title, item), revisions (page_id, revision_id, text) -> one outcome per page.
 
+    datatypes: those of the qualifiers' properties.
+
     rules: (name, f) in the order of definition; f takes (rows, claims) and gives a condition or the violating row ids.
     """
     rows = pages.join(revisions, "page_id", "left").withColumn("row_id", F.col("page_id")).withColumn("property", F.lit(spec.property))
-    rows = _parsed(_extracted(rows, spec, catalog), spec, datatype, catalog)
+    rows = _parsed(_extracted(rows, spec, catalog), spec, datatype, catalog).withColumn("_empty", _empty(spec, datatype))
+    main = rows.select("row_id", *TYPED)
+    if spec.qualifiers:
+        rows = _qualified(rows.drop(*TYPED), spec, datatypes or {}, catalog).join(main, "row_id")
+        errors = [F.concat(F.lit(f"qualifier {p}: "), F.col(f"q{i}_parse_error")) for i, (p, _, _) in enumerate(spec.qualifiers)]
+        rows = rows.withColumn("parse_error", F.coalesce("parse_error", *errors))
+        shown = [F.when(F.col(f"q{i}_value").isNotNull(), F.concat(F.lit(f"{p}: "), F.col(f"q{i}_value"))) for i, (p, _, _) in enumerate(spec.qualifiers)]
+        rows = rows.withColumn("value", F.when(F.col("parse_error").isNull() & F.col("value").isNotNull(), F.concat_ws("; ", "value", *shown)))
     rows = rows.withColumn("value_key", F.coalesce("v_item", "v_text", "v_amount"))
     rows = existing.already_there(rows, catalog.claims, _same(datatype), any_value=spec.skip_any_value)
     checked = rows.withColumn("value", F.col("value_key")) if rules else rows
@@ -179,14 +234,22 @@ def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: st
         rows = rows.join(gone, "row_id", "left")
     else:
         rows = rows.withColumn("_gone", F.lit(None).cast("boolean"))
-    empty = F.coalesce("raw_value", F.lit("")) == "" if not spec.date_parameters else F.col("part0").isNull()
-    lost = F.col("value").isNull() & F.col("parse_error").isNull() if datatype in ("string", "external-id", "monolingualtext") else F.lit(False)
     message = F.coalesce(
         F.when(F.col("item").isNull(), SKIPS[0]), F.when(F.col("text").isNull(), "the page no longer exists"),
         F.when(F.col("params").isNull(), SKIPS[1]) if not spec.use_page_title else F.lit(None).cast("string"),
-        F.when(empty | lost, SKIPS[2]), F.col("parse_error"), F.col("skip"), F.col("_violation"), F.when(F.col("_gone"), SKIPS[6]),
+        F.when(F.col("_empty"), SKIPS[2]), F.col("parse_error"), F.col("skip"), F.col("_violation"), F.when(F.col("_gone"), SKIPS[6]),
     )
     status = F.when(message.isNull(), "ready").when(message.isin(*SKIPS), "skipped").otherwise("error")
     return rows.withColumn("message", message).select(
-        "page_id", "title", "item", "raw_value", "value", "message", status.alias("status"), F.when(F.col("message").isNull(), statement_json(spec, datatype, catalog)).alias("statement")
+        "page_id", "title", "item", "raw_value", "value", "message", status.alias("status"), F.when(F.col("message").isNull(), statement_json(spec, datatype, catalog, datatypes or {})).alias("statement")
     )
+
+
+def evaluate_all(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatypes: dict[str, str], catalog: Catalog, rules: dict[str, list] | None = None) -> DataFrame:
+    """Outcomes of the main property (field 0) and the extra ones (1, 2, ...); datatypes and rules by property."""
+    specs = [spec, *(for_extra(spec, i) for i in range(len(spec.extra_properties)))]
+    parts = [evaluate(pages, revisions, s, datatypes[s.property], catalog, (rules or {}).get(s.property, ()), datatypes).withColumn("field", F.lit(i)) for i, s in enumerate(specs)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from tessera.operators import constraints as C
-from tessera.plans.evaluate import Catalog, evaluate
+from tessera.plans.evaluate import Catalog, evaluate, evaluate_all
 from tessera.plans.job import InvalidSpec, JobSpec, as_dict, for_extra, from_dict, from_query, to_query, validate
 
 CLAIMS = "item string, property string, rank string, item_value string, text_value string, amount double, unit string, year bigint, month int, day int, latitude double, longitude double"
@@ -107,3 +107,18 @@ def test_validation(change):
     validate(JobSpec(**good), "string")
     with pytest.raises(InvalidSpec):
         validate(JobSpec(**good | change), "string")
+
+
+def test_qualifiers_and_extra_properties(spark, catalog):
+    spec = JobSpec(property="P1", template="Box", parameters=("v",), qualifiers=(("P580", "param", "from,since"), ("P642", "fixed", "Q5"), ("P580", "param", "also")), extra_properties=(("P2", ("w",)),), date_limit=None)
+    kinds = {"P1": "string", "P580": "time", "P642": "wikibase-item", "P2": "external-id"}
+    texts = ["{{Box|v=a|since=1999|w=5}}", "{{Box|v=b|also=3 May 2001|from=2000}}", "{{Box|v=c|from=circa 1950}}", "{{Box|w=7}}"]
+    pages = spark.createDataFrame([(i, f"T {i}", "Q2") for i in range(len(texts))], "page_id bigint, title string, item string")
+    revisions = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "page_id bigint, revision_id bigint, text string")
+    rows = {(r["page_id"], r["field"]): r for r in evaluate_all(pages, revisions, spec, kinds, catalog).collect()}
+    assert [rows[i, 0]["value"] for i in range(4)] == ["a; P580: 1999; P642: Q5", "b; P580: 2000; P642: Q5; P580: 2001-05-03", None, None]
+    assert [rows[i, 0]["message"] for i in range(4)] == [None, None, "qualifier P580: imprecise date", "no value"]
+    assert [rows[i, 1]["value"] for i in range(4)] == ["5", None, None, "7"]
+    statement = json.loads(rows[1, 0]["statement"])
+    assert statement["qualifiers-order"] == ["P580", "P642"] and [len(v) for v in statement["qualifiers"].values()] == [2, 1]
+    assert statement["qualifiers"]["P580"][1]["datavalue"]["value"]["time"] == "+2001-05-03T00:00:00Z"
