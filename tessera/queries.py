@@ -191,8 +191,8 @@ def template_params_duplicate(spark, d):
 
 @query("SELECT p_partkey, p_brand AS value FROM part")
 def template_params_redirect(spark, d):
-    rows = _rendered(spark, d, "{{BDCL|wrong}} {{ Template : bD |%p_brand%}}")
-    return rows.select("p_partkey", W.first_of(W.template_params(F.col("wikitext"), ["NF", "BD"]), ["1"]).alias("value"))
+    rows = _rendered(spark, d, "{{Axle list|wrong}} {{ Template : axle |%p_brand%}}")
+    return rows.select("p_partkey", W.first_of(W.template_params(F.col("wikitext"), ["Wheel", "Axle"]), ["1"]).alias("value"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS value FROM part")
@@ -203,19 +203,19 @@ def template_comments_and_refs(spark, d):
 
 @query("SELECT p_partkey, concat('[[', p_brand, ']] ', p_type) AS value FROM part")
 def clean_value(spark, d):
-    rows = _rendered(spark, d, "{{flag|FR}} [[%p_brand%|label]]&nbsp;'''%p_type%''' {{!}} rest")
+    rows = _rendered(spark, d, "{{icon|x}} [[%p_brand%|label]]&nbsp;'''%p_type%''' {{!}} rest")
     return rows.select("p_partkey", W.clean_value(F.col("wikitext")).alias("value"))
 
 
 @query("SELECT p_partkey, p_brand AS value FROM part")
 def clean_value_unwrapped(spark, d):
-    rows = _rendered(spark, d, "{{URL|1=no|{{nobr|%p_brand%}}}}")
+    rows = _rendered(spark, d, "{{link|1=no|{{small|%p_brand%}}}}")
     return rows.select("p_partkey", W.clean_value(F.col("wikitext"), unwrap=True).alias("value"))
 
 
 @query("SELECT p_partkey, '' AS value FROM part")
 def clean_value_punctuation(spark, d):
-    return _rendered(spark, d, "{{NCID|%p_name%}}、{{NCID|%p_brand%}}").select("p_partkey", W.clean_value(F.col("wikitext")).alias("value"))
+    return _rendered(spark, d, "{{code|%p_name%}}; {{code|%p_brand%}}").select("p_partkey", W.clean_value(F.col("wikitext")).alias("value"))
 
 
 @query("SELECT p_partkey, concat(p_name, chr(10)) AS lead FROM part")
