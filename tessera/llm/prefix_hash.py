@@ -116,14 +116,14 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, row
 
     Ids are cut into buckets at quantiles (a few numbers per thousand rows come to the driver). The first row of each
     bucket also goes, as a sentinel, to the end of the bucket before, that of the first one to the last. So every task has the next row
-    of all its own, and holds two texts at a time.
+    of all its own, and holds two texts at a time, however large a bucket is.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, {schema}")
-    wanted = max(1, min(-(-n // rows_per_bucket), 16 * partitions(spark)))
+    wanted = max(1, min(-(-n // rows_per_bucket), 16 * partitions(spark), 4_096))
     cuts = rows.approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
     heads = sorted({int(x) for x in cuts})
     bucket = F.coalesce(_searched(F.col("id"), heads), F.lit(0))
