@@ -86,7 +86,7 @@ def source_weights(per_source: DataFrame, entropy_share: float | None = None, re
     return rows.select("x.s.source", F.col("x.s.tokens").cast("long").alias("tokens"), F.round("exponent", 9).alias("exponent"), F.coalesce("x.w", F.lit(0.0)).alias("weight"), F.ceil(F.round(F.coalesce("x.w", F.lit(0.0)) * F.col("budget"), 3)).cast("long").alias("quota"))
 
 
-def mixed(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, seed: int = 1, rows_per_block: int = 2_000, **targets) -> DataFrame:
+def mixed(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, seed: int = 1, rows_per_block: int = 500, **targets) -> DataFrame:
     """docs' rows, each as often as it is drawn, with epoch (from 0), block, position (in its source's epoch, in tokens), source_weight, n_tokens."""
     keep = docs.columns if keep is None else keep
     clash = {"epoch", "block", "position", "source_weight", "n_tokens"}

@@ -36,7 +36,7 @@ from .common import scratch, text_of
 
 #: Hashes of the start mark and the end token, which no word is likely to have.
 BOS, EOS = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 
 
 class _Hashes(dict):
@@ -212,7 +212,7 @@ def _local(path: str) -> str:
     return path
 
 
-def train(docs: DataFrame, text_col: str = "text", chars_per_shard: int = 32_000_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", chars_per_shard: int = 16_000_000) -> Model:
     """Count all of docs' texts; the model stays in the shared folder until it is deleted."""
     rows = docs.select(text_of(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
