@@ -181,7 +181,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """docs with one row of each component: that of the smallest id (and text_key, where rows share the id). All columns stay as they are."""
-    groups = simhash_groups(docs, id_col, text_col, width, most)
+    return keep_first(docs, simhash_groups(docs, id_col, text_col, width, most), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of each component that groups (id, text_key, component_id, rep_key) names."""
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("rep_key")))
     kept = kept.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_kept")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64(text_of(text_col)))
