@@ -2,14 +2,15 @@
 
 A text is cut into units: lines of `line_words` words or more, and inside lines, sentences of `sentence_words` words or more, so that a passage
 is also found where the rest of its line differs. A unit is normalised (A-Z lower-cased, ASCII white space as one space, trimmed) and
-hashed to 128 bits. Digests are grouped over all documents; of each digest that occurs more than once, the earliest occurrence, in the order of
+hashed to 128 bits. Shorter pieces go with the passage they belong to: every two neighbouring pieces (sentences, or lines of one sentence, of any length)
+are hashed as a pair, and a run of consecutive repeated pairs of `passage_words` words or more is removed as one span. Digests are grouped over all documents; of each digest that occurs more than once, the earliest occurrence, in the order of
 (id, text key, start), stays and the others are removed. Removed spans keep their offsets (code points) in the original text.
 
 The group step combines before its shuffle, so a line that a third of all documents have is one row per task; the join that finds
 its occurrences again is a plain equi-join that adaptive execution splits where it is skewed.
 
 Defined cases: null text is empty and has no units; null ids rank last; rows that agree in id and text are one document, so neither is removed
-for the other; shorter units are never removed by themselves; an empty table gives no rows; extra columns stay in `deduplicated`,
+for the other; shorter units are never removed by themselves, only in such a run; an empty table gives no rows; extra columns stay in `deduplicated`,
 columns named removed, n_removed and removed_chars are replaced.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -52,37 +53,71 @@ def units(text: str, line_words: int = 4, sentence_words: int = 8) -> list[tuple
     return out
 
 
+def pieces(text: str) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, normalised bytes, words) of every sentence, in order and of any length; together they have every line's words."""
+    out = []
+    for m in _LINE.finditer(text):
+        begin = m.start()
+        for s in _SENTENCE.finditer(m[0]):
+            # what lies between two matches (signs alone) goes with the later one
+            part = text[begin : m.start() + s.end()]
+            words = part.encode("utf-8", "surrogatepass").lower().split()
+            if words:
+                left = begin + len(part) - len(part.lstrip(" \t\r\f\v"))
+                out.append((left, begin + len(part.rstrip(" \t\r\f\v")), b" ".join(words), len(words)))
+            begin = m.start() + s.end()
+    return out
+
+
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 4, sentence_words: int = 8) -> DataFrame:
-    """(id, text_key, start, end, d1, d2), one row per unit."""
+    """(id, text_key, start, end, seq, w1, w2, d1, d2): a row per unit (seq -1), and one per two neighbouring pieces, seq the number of the first, with the words of either."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            at, start, end, digest = [], [], [], []
+            at, spans, digests = [], [], []
             for i, text in enumerate(batch["text"]):
                 for a, b, data in units(text, line_words, sentence_words):
                     at.append(i)
-                    start.append(a)
-                    end.append(b)
-                    digest.append(xxhash.xxh3_128_digest(data))
-            pairs = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            picked = batch.iloc[at]
-            yield pd.DataFrame({"id": picked["id"].array, "text_key": picked["text_key"].array, "start": np.array(start, np.int32), "end": np.array(end, np.int32), "d1": pairs[:, 0], "d2": pairs[:, 1]})
+                    spans.append((a, b, -1, 0, 0))
+                    digests.append(digest(data))
+                row = pieces(text)
+                for k, (x, y) in enumerate(zip(row, row[1:])):
+                    at.append(i)
+                    spans.append((x[0], y[1], k, x[3], y[3]))
+                    digests.append(digest(x[2] + b"\n" + y[2]))
+                if len(at) > 1 << 16:
+                    yield framed(batch, at, spans, digests)
+                    at, spans, digests = [], [], []
+            if at:
+                yield framed(batch, at, spans, digests)
+
+    def framed(batch: pd.DataFrame, at: list, spans: list, digests: list) -> pd.DataFrame:
+        pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        picked, numbers = batch.iloc[at], np.array(spans, np.int32)
+        named = {c: numbers[:, k] for k, c in enumerate(("start", "end", "seq", "w1", "w2"))}
+        return pd.DataFrame({"id": picked["id"].array, "text_key": picked["text_key"].array, **named, "d1": pairs[:, 0], "d2": pairs[:, 1]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, text_key bigint, start int, end int, d1 bigint, d2 bigint")
+    return rows.mapInPandas(run, f"id {kind}, text_key bigint, start int, end int, seq int, w1 int, w2 int, d1 bigint, d2 bigint")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 4, sentence_words: int = 8) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 4, sentence_words: int = 8, passage_words: int = 50) -> DataFrame:
     """(id, text_key, removed): per document that loses anything, its removed spans, merged, in order."""
     rows = unit_rows(docs, id_col, text_col, line_words, sentence_words)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "start")
     seen = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select("d1", "d2", "first")
     again = rows.join(seen, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
-    spans = again.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    # pairs of pieces: runs over (document, position)
+    marked = again.where("seq >= 0").groupBy("id", "text_key", "seq").agg(*(F.first(c).alias(c) for c in ("start", "end", "w1", "w2")))
+    run = F.col("seq") - F.row_number().over(Window.partitionBy("id", "text_key").orderBy("seq"))
+    runs = marked.withColumn("run", run).groupBy("id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("w1") + F.max_by("w2", "seq")).alias("words"))
+    found = again.where("seq < 0").select("id", "text_key", "start", "end").union(runs.where(F.col("words") >= passage_words).select("id", "text_key", "start", "end"))
+    spans = found.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
 
     def add(done, x):
         last = F.element_at(done, -1)
