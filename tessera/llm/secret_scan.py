@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of the base64, hexadecimal and name alphabets that isn't plain lower-case or capitalised
-letters. Features: length, class shares, class changes between neighbouring characters, entropy and mean surprise of its
+A candidate is the value after a name that announces a secret (6 or more signs, none of them white space), whatever its letters, or else a run
+of 16 or more characters of the base64, hexadecimal and name alphabets that isn't plain lower-case, upper-case or capitalised letters; a
+name and '=' before a value are no part of it. Features: length, class shares, class changes between neighbouring characters, entropy and mean surprise of its
 character transitions under a table learnt from ordinary words, dictionary coverage, signs of a path or an address, and words beside it that
 announce secrets or, on the other hand, digests, ids and examples. The forest (Spark ML) is trained on labelled findings.
 
@@ -28,10 +29,14 @@ from .common import text_of
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
 NEAR = 48
+_NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_\-]?key|credential|auth|bearer|private|key)"
+ANNOUNCED = re.compile(rf"{_NAME}[A-Za-z0-9_\-]{{0,24}}[\"'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:\"([^\s\"]{{6,}})\"|'([^\s']{{6,}})'|`([^\s`]{{6,}})`|([^\s\"'`]{{6,}}))", re.I)
+_NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*=(?=[^=]{8})")
 # Words that announce a secret, words that announce something else, words that occur in placeholders and names.
 ANNOUNCE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private", "credential", "auth", "bearer", "client_secret", "key")
 OTHERWISE = ("sha", "sha1", "sha256", "md5", "digest", "checksum", "commit", "revision", "uuid", "guid", "etag", "hash", "id", "fingerprint", "example", "sample", "version", "build", "card", "phone", "isbn", "account", "iban")
 DICTIONARY = ("example", "sample", "test", "your", "here", "change", "change_me", "placeholder", "default", "password", "secret", "token", "dummy", "fake", "value", "insert", "config", "application", "service", "settings", "static", "assets", "image", "images", "index", "main", "module", "package", "function", "class", "model", "controller", "component", "public", "private", "internal", "version", "release", "library", "system", "network", "server", "client", "request", "response", "handler", "manager", "factory", "builder", "context", "process", "database", "connection", "session", "object", "string", "number", "array", "license", "information", "national", "international", "the", "and", "for", "with", "tion", "ment", "ing")
+PLAIN = ("optional", "missing", "invalid", "enabled", "disabled", "unknown", "expired", "available", "protected", "management", "security", "difference", "question", "finding", "people", "remember", "something", "together", "changed", "reset", "strength", "policy", "authority", "generated", "rotated", "stored", "encrypted", "authentication", "understanding", "however", "nothing", "length", "minimum", "character", "letters", "forever", "repeated", "business", "research", "learning", "quality", "government")
 FEATURES = ["length", "lower", "upper", "digit", "mark", "hex", "changes", "entropy", "surprise", "coverage", "longest_word", "repeat", "path", "address", "assigned", "quoted", "announce", "otherwise", "digits_only"]
 _WORDS_ONLY = re.compile(r"[A-Z]?[a-z]+|[a-z]+")
 _LETTERS = re.compile("|".join(sorted(map(re.escape, DICTIONARY), key=len, reverse=True)))
@@ -73,28 +78,54 @@ def features(candidate: str, left: str, right: str) -> list[float]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    spans = []
+    for m in ANNOUNCED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:  # without quotes: marks of the sentence around it go
+            b = a + len(text[a:b].rstrip(".,;:)]}>"))
+        if b - a >= 6:
+            spans.append((a, b))
+    found, k = list(spans), 0
     for m in CANDIDATE.finditer(text):
-        # plain words, and rules made of one sign, are none
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        # plain words, and rules made of one sign, are none; nor is what overlaps a value after its name
+        if k < len(spans) and spans[k][0] < m.end():
+            continue
         if not _WORDS_ONLY.fullmatch(m[0]) and not m[0].isupper() and len(set(m[0])) > 2 or m[0].isupper() and any(c.isdigit() for c in m[0]):
-            yield m.start(), m.end()
+            named = _NAMED.match(m[0])
+            found.append((m.start() + (named.end() if named else 0), m.end()))
+    return iter(sorted(found))
 
 
 def labelled_findings(rows: int = 4_000, seed: int = 7) -> list[tuple[str, str, str, int]]:
-    """(candidate, left, right, label) of seeded known kinds; half are secrets."""
+    """(candidate, left, right, label) of seeded known kinds, cut by candidates(); half are secrets."""
     r = random.Random(seed)
     pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     syllables = [w[i : i + 3] for w in DICTIONARY for i in range(0, max(1, len(w) - 2), 2)]
     prose = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(r.randint(2, 6)))
     out = []
+
+    def add(value: str, left: str, right: str, label: int) -> None:
+        """The candidate that overlaps the value as it stands in its text, or the value itself."""
+        text, begin, end = left + value + right, len(left), len(left) + len(value)
+        a, b = next(((a, b) for a, b in candidates(text) if a < end and b > begin), (begin, end))
+        out.append((text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], label))
+
+    def password() -> str:
+        word = r.choice(DICTIONARY + ("troubador", "dragon", "summer", "monkey")).translate(str.maketrans("aeio", r.choice(("4310", "@3!0", "43io"))))
+        return word.capitalize() + r.choice("!&#$%@*") + pick("0123456789", r.randint(1, 4)) + r.choice(("", pick(b64 + "!#", r.randint(3, 9))))
+
     for i in range(rows):
         if i % 2:
             name = r.choice(("token", "api_key", "apikey", "secret", "password", "access_token", "client_secret", "auth_token", "SECRET_KEY", "aws_secret_access_key", "bearer"))
             sign = r.choice((" = ", "=", ": ", " := ", ' = "', '="', ': "', " ", "='"))
-            value = r.choice((lambda: pick(hexa, r.choice((32, 40, 40, 64))), lambda: pick(b64, r.randint(20, 44)), lambda: "AKIA" + pick(b64[:26] + b64[52:], 16), lambda: "ghp_" + pick(b64, 36), lambda: pick(b64 + "+/", 40), lambda: "sk_live_" + pick(b64, 24)))()
-            out.append((value, f"{prose()} {name}{sign}", r.choice(('"', "'", "", ";")) + " " + prose(), 1))
+            value = r.choice((lambda: pick(hexa, r.choice((32, 40, 40, 64))), lambda: pick(b64, r.randint(20, 44)), lambda: "AKIA" + pick(b64[:26] + b64[52:], 16), lambda: "ghp_" + pick(b64, 36), lambda: pick(b64 + "+/", 40), lambda: "sk_live_" + pick(b64, 24), password, lambda: pick(b64 + "!#$%&*+-.:?@^_~", r.randint(9, 24)), lambda: pick(b64[26:52], r.randint(12, 28)), lambda: pick(b64[:26], r.randint(12, 28)), lambda: pick(hexa, r.randint(10, 16))))()
+            quote = sign[-1] if sign[-1] in "\"'" else r.choice(("", ";"))
+            add(value, f"{prose()} {name}{sign}", quote + " " + prose(), 1)
             continue
-        kind = r.randrange(9)
+        kind = r.randrange(15)
         left, right = prose() + " ", " " + prose()
         if kind == 0:
             value, left = pick(hexa, r.choice((32, 40, 64))), left + r.choice(("commit ", "sha256: ", "md5 ", "checksum = ", "digest: ", "revision "))
@@ -112,9 +143,13 @@ def labelled_findings(rows: int = 4_000, seed: int = 7) -> list[tuple[str, str,
             value = r.choice(DICTIONARY) + "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(3, 5)))
         elif kind == 7:
             value, left = "=" * 8 + r.choice(DICTIONARY) + "-" * 8, left
+        elif kind >= 9:  # names before plain words, places of a value, code
+            value = r.choice((lambda: r.choice(PLAIN), lambda: r.choice(PLAIN), lambda: r.choice(PLAIN).capitalize(), lambda: r.choice(DICTIONARY) + r.choice(("", "s", "ed", "-")), lambda: "".join(r.choice(DICTIONARY) for _ in range(2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5))), lambda: "${" + r.choice(DICTIONARY).upper() + "_KEY}", lambda: "<" + r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY) + ">", lambda: "get_" + r.choice(DICTIONARY) + "()", lambda: "https://" + r.choice(DICTIONARY) + ".org/" + r.choice(DICTIONARY), lambda: "********"))()
+            value, left = value.ljust(6, "s"), left + r.choice(("password: ", "key: ", "token = ", "secret: ", "api_key=", "auth: ", "pwd: ", 'password = "'))
+            right = ('"' if left.endswith('"') else "") + right
         else:
             value = "".join(r.choice(syllables) for _ in range(r.randint(5, 9))) + r.choice(("-", "_", "=", "/")) + "".join(r.choice(syllables) for _ in range(2)) + "word"
-        out.append((value, left, right, 0))
+        add(value, left, right, 0)
     return out
 
 
