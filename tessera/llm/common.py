@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the six ASCII white-space characters, as a character class.
@@ -23,10 +24,12 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; set only where it is unset (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -46,28 +49,61 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def take_one_row(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of those that agree in keys. Rows are compared by key only, so which of equal rows stays has no effect on keys."""
-    from pyspark.sql import Window
+def starts(totals: DataFrame, group: list[str], high: list[str], order: list[str], n: str, out: str) -> DataFrame:
+    """Add the sum of n over the rows before, within a group, in the order (high, order).
 
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("_nth = 1").drop("_nth")
+    Sums run on two levels: inside each (group, high), and over the sums of these, so no task holds all totals of a group.
+    """
+    inner = Window.partitionBy(*group, *high).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*group).orderBy(*high).rowsBetween(Window.unboundedPreceding, -1)
+    upper = totals.groupBy(*group, *high).agg(F.sum(n).alias("_all")).withColumn("_base", F.coalesce(F.sum("_all").over(outer), F.lit(0)))
+    upper = upper.select(*(F.col(c).alias(f"_u{i}") for i, c in enumerate([*group, *high])), "_base")
+    same = F.lit(True)
+    for i, c in enumerate([*group, *high]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_u{i}"))
+    added = totals.withColumn("_inner", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(upper, same)
+    return added.withColumn(out, F.col("_base") + F.col("_inner")).select(*totals.columns, out)
 
 
 def numbered(df: DataFrame, lead: list[str], rank: list[str], out: str, rows_per_block: int = 20_000) -> DataFrame:
     """Add a dense 0-based number in the order (lead, block, rank), without sorting all rows in one place.
 
-    Rows go to hash blocks of about rows_per_block; only the block totals, a few per thousand rows, are summed in one
+    Rows go to hash blocks of about rows_per_block; block totals are summed per 4,096 blocks, and only these sums in one
     window. df is read twice and must be stable (a checkpoint or a table). rank must tell rows apart for a stable number.
     """
-    from pyspark.sql import Window
-
     blocks = max(1, -(-df.count() // rows_per_block))
     keyed = df.withColumn("_block", F.pmod(F.xxhash64(*rank), F.lit(blocks)).cast("int"))
-    totals = keyed.groupBy(*lead, "_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*lead, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(c).alias(f"_{c}") for c in lead), F.col("_block").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = (F.col("_block") == F.col("_of"))
+    totals = keyed.groupBy(*lead, "_block").agg(F.count("*").alias("_n")).withColumn("_high", F.shiftright("_block", 12))
+    begin = starts(totals, [], [*lead, "_high"], ["_block"], "_n", "_start")
+    begin = begin.select(*(F.col(c).alias(f"_{c}") for c in lead), F.col("_block").alias("_of"), "_start")
+    same = F.col("_block") == F.col("_of")
     for c in lead:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     within = Window.partitionBy(*lead, "_block").orderBy(*rank)
-    return keyed.withColumn("_row", F.row_number().over(within)).join(starts, same).withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_block", "_row", "_of", "_start", *(f"_{c}" for c in lead))
+    return keyed.withColumn("_row", F.row_number().over(within)).join(begin, same).withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_block", "_row", "_of", "_start", *(f"_{c}" for c in lead))
+
+
+#: Most rows of a list of rows to drop that is sent to all executors (17 bytes each); longer lists are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def without(docs: DataFrame, marks: DataFrame, id_col: str, key: Column, columns: list[str]) -> DataFrame:
+    """docs without the rows that marks names: (id, key, once), once false to drop all rows of (id, key), true to keep one of them.
+
+    Texts stay where they are if the list is short; else one anti-join shuffles them. Only rows that are there several times go through a window.
+    """
+    marks = cut(marks)
+    some = marks.groupBy("once").count().collect()
+    n = {r["once"]: r["count"] for r in some}
+    if not n:
+        return docs.select(*columns)
+    listed = marks.select(F.col("id").alias("_mid"), F.col("key").alias("_mkey"), F.col("once").alias("_once"))
+    listed = F.broadcast(listed) if sum(n.values()) <= MOST_SENT else listed
+    keyed = docs.withColumn("_key", key)
+    same = lambda marked: keyed[id_col].eqNullSafe(marked["_mid"]) & (keyed["_key"] == marked["_mkey"])
+    left = keyed.join(listed, same(listed), "left_anti").select(*columns)
+    if n.get(True):
+        again = listed.where("_once")
+        first = F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(id_col))
+        left = left.unionByName(keyed.join(again, same(again), "left_semi").withColumn("_nth", first).where("_nth = 1").select(*columns))
+    return left

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, without
 from .components import components
 
 SEGMENT, LOW = 31, np.uint64((1 << 31) - 1)
@@ -186,8 +186,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the row of each component that groups (id, text_key, component_id, rep_key) names."""
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("rep_key")))
-    kept = kept.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_kept")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(text_of(text_col)))
-    found = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_kept"]), "left_semi")
-    return found.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(id_col))).where("_nth = 1").select(*docs.columns)
+    stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("rep_key"))
+    marks = groups.groupBy(F.col(id_col).alias("id"), F.col("text_key").alias("key")).agg(F.max(stays).alias("once"), F.count("*").alias("_n"))
+    return without(docs, marks.where("NOT once OR _n > 1").select("id", "key", "once"), id_col, F.xxhash64(text_of(text_col)), docs.columns)

@@ -1,39 +1,21 @@
 """Every stage of the pipeline against brute force on its own input, and run() against the stages one after the other."""
 
+import os
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
 
 import corpus_pipeline as cp
 from tessera.llm import quality_crf, queries
 
 SF = "/root/testdata/sf0.001"
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-
+sys.path.insert(0, os.path.dirname(__file__))
+from test_jaccard import brute  # noqa: E402
 
-def near_brute(rows, width=5, most=3):
-    def fingerprint(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        n = min(width, len(w))
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]).encode(), 42) for i in range(len(w) - n + 1)] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    ids = sorted(r["doc_id"] for r in rows)
-    text = {r["doc_id"]: r["text"] for r in rows}
-    prints = np.array([fingerprint(text[i]) for i in ids], np.uint64)
-    label, todo = {}, list(range(len(ids)))
-    for i in todo:
-        if i not in label:
-            stack, label[i] = [i], i
-            while stack:
-                for k in np.flatnonzero(np.bitwise_count(prints ^ prints[stack.pop()]) <= most).tolist():
-                    if k not in label:
-                        label[k] = i
-                        stack.append(k)
-    return [ids[i] for i in label if label[i] == i]
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -59,7 +41,7 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(r["doc_id"] for r in after) == sorted(first.values())
 
     before, after = at["near"]
-    assert sorted(r["doc_id"] for r in after) == sorted(near_brute(before))
+    assert sorted(r["doc_id"] for r in after) == brute(before)  # every link of 0.8 or more on five-word shingles
 
     before, after = at["mix"]
     times = Counter(r["doc_id"] for r in after)
@@ -75,9 +57,9 @@ def test_stages_and_run(spark, tmp_path):
         ids, start = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], np.uint32), 0
         while start < len(ids):
             n = min(2048, 1 << (len(ids) - start).bit_length() - 1)
-            want[r["doc_id"], start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+            want[r["doc_id"], start, n, zlib.crc32(ids[start : start + n].tobytes()), tuple(ids[start : start + n].tolist())] += 1
             start += n
-    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in after) == want
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in after) == want
     assert sorted(r["sequence_id"] for r in after) == list(range(len(after)))
 
     whole = cp.run(spark, SF).collect()
