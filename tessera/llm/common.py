@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: text columns, shared folder, row numbering."""
+"""Shared pieces of the training-data operators: text columns, shared folder, sums over blocks, lists of rows to drop."""
 
 from __future__ import annotations
 
@@ -65,28 +65,16 @@ def starts(totals: DataFrame, group: list[str], high: list[str], order: list[str
     return added.withColumn(out, F.col("_base") + F.col("_inner")).select(*totals.columns, out)
 
 
-def numbered(df: DataFrame, lead: list[str], rank: list[str], out: str, rows_per_block: int = 20_000) -> DataFrame:
-    """Add a dense 0-based number in the order (lead, block, rank), without sorting all rows in one place.
-
-    Rows go to hash blocks of about rows_per_block; block totals are summed per 4,096 blocks, and only these sums in one
-    window. df is read twice and must be stable (a checkpoint or a table). rank must tell rows apart for a stable number.
-    """
-    blocks = max(1, -(-df.count() // rows_per_block))
-    keyed = df.withColumn("_block", F.pmod(F.xxhash64(*rank), F.lit(blocks)).cast("int"))
-    totals = keyed.groupBy(*lead, "_block").agg(F.count("*").alias("_n")).withColumn("_high", F.shiftright("_block", 12))
-    begin = starts(totals, [], [*lead, "_high"], ["_block"], "_n", "_start")
-    begin = begin.select(*(F.col(c).alias(f"_{c}") for c in lead), F.col("_block").alias("_of"), "_start")
-    same = F.col("_block") == F.col("_of")
-    for c in lead:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    within = Window.partitionBy(*lead, "_block").orderBy(*rank)
-    return keyed.withColumn("_row", F.row_number().over(within)).join(begin, same).withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_block", "_row", "_of", "_start", *(f"_{c}" for c in lead))
-
-
-#: Most rows of a list of rows to drop that is sent to all executors (17 bytes each); longer lists are joined by a shuffle.
+#: Most rows of a narrow list (some 30 bytes a row) that is sent to all executors; longer lists are joined by a shuffle.
 MOST_SENT = 500_000
 
 
+def sized(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """rows as a stable table, marked to be sent to all executors if there are few enough of them."""
+    stable = cut(rows)
+    return F.broadcast(stable) if stable.count() <= most else stable
+
+
 def without(docs: DataFrame, marks: DataFrame, id_col: str, key: Column, columns: list[str]) -> DataFrame:
     """docs without the rows that marks names: (id, key, once), once false to drop all rows of (id, key), true to keep one of them.
 

@@ -9,12 +9,12 @@ lost. A source's quota is weight * budget. It is realised in epochs: each epoch
 blocks, and of the rows in each block, both by keyed hashes. Whole epochs take every row; the last one takes rows while the sum
 before them is below what is left, so a quota is overshot by less than one document.
 
-Rows are dealt to blocks by a hash; sums run within a block and over block totals only, so a source with a third of all
-rows is never in one task.
+Rows are dealt to blocks by a hash; sums run within a block, over some thousand block totals, and over the sums of these, so a source with a
+third of all rows is never in one task.
 
 Defined cases: null text counts no tokens, a null source is a source of its own; rows without tokens are taken once in every epoch that
-is begun for their source; repeated rows count as rows of their own; an empty table gives no rows; extra columns stay in `mixed`, the four
-columns epoch, block, position and source_weight are replaced where they clash.
+is begun for their source; repeated rows count as rows of their own; an empty table gives no rows; extra columns stay in `mixed`, the five
+columns epoch, block, position, source_weight and n_tokens are replaced where they clash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_of
+from .common import SPACE, cut, starts, text_of
 
 
 def word_count(column: str = "text") -> Column:
@@ -32,10 +32,11 @@ def word_count(column: str = "text") -> Column:
 
 
 def _weights(totals: Column, a: Column) -> Column:
-    """p^a / sum(p^a) for each of the totals; a total of zero gets no weight."""
-    whole = F.aggregate(totals, F.lit(0.0), lambda s, t: s + t)
-    raised = F.transform(totals, lambda t: F.when(t > 0, F.pow(t / whole, a)).otherwise(F.lit(0.0)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+    """p^a / sum(p^a) for each of the totals; a total of zero gets no weight. Each sum is made once."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    added = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    raised = once(added(totals), lambda whole: F.transform(totals, lambda t: F.when(t > 0, F.pow(t / whole, a)).otherwise(F.lit(0.0))))
+    return once(F.struct(raised.alias("r")), lambda x: once(F.struct(x["r"].alias("r"), added(x["r"]).alias("s")), lambda y: F.transform(y["r"], lambda r: r / y["s"])))
 
 
 def _entropy(weights: Column) -> Column:
@@ -106,9 +107,10 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id"
     same = per_block["_source"].eqNullSafe(weights["_of"])
     # each epoch has its own order of blocks; `before` is what the blocks before it hold
     shuffled = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block"))
-    before = Window.partitionBy("_source", "_epoch").orderBy(shuffled, "_block").rowsBetween(Window.unboundedPreceding, -1)
     dealt = per_block.join(weights, same).withColumn("_epoch", F.explode(F.when(F.col("_epochs") > 0, F.sequence(F.lit(0), F.col("_epochs") - 1))))
-    dealt = dealt.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where((F.col("_epoch") < F.col("_whole")) | (F.col("_before") < F.col("_left")))
+    # (blocks of an epoch come in groups of some 4,096, so that no task has all of them)
+    dealt = dealt.withColumn("_order", shuffled).withColumn("_high", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_epoch"), F.col("_block")), F.lit(-(-spread // 4_096))))
+    dealt = starts(dealt, ["_source", "_epoch"], ["_high"], ["_order", "_block"], "_sum", "_before").where((F.col("_epoch") < F.col("_whole")) | (F.col("_before") < F.col("_left")))
     dealt = dealt.select(F.col("_source").alias("_of"), F.col("_block").alias("_in"), "_weight", "_epoch", "_before", "_whole", "_left")
     inner = Window.partitionBy("_source", "_block", "_epoch").orderBy(F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_key")), "_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
     drawn = slim.join(dealt, slim["_source"].eqNullSafe(dealt["_of"]) & (slim["_block"] == dealt["_in"]))

@@ -6,8 +6,9 @@ pairs spread over all shards. A shard's merge writes the sorted bigram hashes wi
 knows of it: its count, its continuation count, its count as a context and how many of its pairs occur once, twice or more often. A second
 merge, by word, writes the sorted word hashes with these numbers. Only sums over all shards (a dozen numbers) come to the driver.
 
-Scoring: every task maps the model's files, looks up the distinct words and bigrams of a block in sorted order, so that pages are read
-in sequence, and adds up log10 probabilities per text.
+A shard is one file with all its arrays, made by one task. Scoring: every task looks up the distinct words and bigrams of a block in sorted order,
+mapping the shards that have any one after the other, a bounded number at a time and without keeping their descriptors, and
+adds up log10 probabilities per text. Work per block follows its distinct n-grams, not the number of shards.
 
 P(w | h) = max(c(h w) - D(c), 0) / c(h) + g(h) P(w);  P(w) = max(N(. w) - D'(N), 0) / N(. .) + g' / (V + 1), V known words and one for all
 others. Discounts are those of Chen and Goodman, from the counts of counts. A text starts after a start mark and ends with an end token.
@@ -22,8 +23,10 @@ count each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import mmap
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,20 +114,39 @@ def _count(bits: int):
             h, w, shard = h[first], w[first], (key[first] >> np.uint64(64 - bits) if bits else np.zeros(len(first), np.uint64))
             order = np.argsort(shard << np.uint64(64 - bits) | h >> np.uint64(bits) if bits else h)  # equal contexts side by side, for the shuffle's compression
             h, w, counts, shard = h[order], w[order], counts[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1, dtype=np.uint64))
-            rows = [(s, h[i:j].tobytes(), w[i:j].tobytes(), _small(counts[i:j]).tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+            rows = [(int(s), h[i:j].tobytes(), w[i:j].tobytes(), _small(counts[i:j]).tobytes()) for s, i, j in _runs(shard)]
             yield pd.DataFrame(rows, columns=["shard", "h", "w", "c"])
 
     return run
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[np.generic, int, int]]:
+    """(value, begin, end) of each run of equal neighbours."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, int)
+    return zip(x[first], first.tolist(), np.append(first[1:], len(x)).tolist(), strict=True)
+
+
 def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the number of arrays, (length, bytes a number) of each, the arrays; each starts at a multiple of 8."""
     os.makedirs(folder, exist_ok=True)
-    for part, array in arrays.items():
-        own = f"{folder}/.{name}.{part}.{uuid.uuid4().hex}"
-        with open(own, "wb") as f:
-            np.save(f, array)
-        os.replace(own, f"{folder}/{name}.{part}.npy")
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.write(np.array([len(arrays), *(x for a in arrays.values() for x in (len(a), a.itemsize))], np.int64).tobytes())
+        for a in arrays.values():
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+    os.replace(own, f"{folder}/{name}")
+
+
+def _read(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; the map ends with its arrays, and no descriptor stays open."""
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    head = np.frombuffer(data, np.int64, 2 * len(names), 8).reshape(-1, 2).tolist()
+    out, at = {}, 8 + 16 * len(names)
+    for name, (n, size) in zip(names, head, strict=True):
+        out[name] = np.frombuffer(data, f"u{size}", n, at)
+        at += n * size + -(n * size) % 8
+    return out
 
 
 def _sums(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -152,12 +174,10 @@ def _merge_pairs(folder: str, word_bits: int):
         as_h, b = _sums(h, [c, (c == 1) * one, (c == 2) * one, (c > 2) * one])
         words, columns = _sums(np.concatenate([as_w, as_h]), [np.concatenate(x) for x in [*((v, np.zeros(len(as_h), np.int64)) for v in a), *((np.zeros(len(as_w), np.int64), v) for v in b)]])
         of = (words >> np.uint64(64 - word_bits)).astype(np.int64) if word_bits else np.zeros(len(words), np.int64)
-        cuts = np.searchsorted(of, np.arange((1 << word_bits) + 1))
         seen = [int((c == k).sum()) for k in (1, 2, 3, 4)]
         out = []
-        for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if j > i or s == 0:
-                out.append((s, words[i:j].tobytes(), *(_small(x[i:j]).tobytes() for x in columns), *(seen if s == 0 else [0] * 4)))
+        for s, i, j in _runs(of):
+            out.append((int(s), words[i:j].tobytes(), *(_small(x[i:j]).tobytes() for x in columns), *([0] * 4 if out else seen)))
         return pd.DataFrame(out, columns=["word_shard", "words", *STATS, "n1", "n2", "n3", "n4"])
 
     return run
@@ -212,59 +232,64 @@ def _local(path: str) -> str:
     return path
 
 
-def train(docs: DataFrame, text_col: str = "text", chars_per_shard: int = 16_000_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", chars_per_shard: int = 12_000_000) -> Model:
     """Count all of docs' texts; the model stays in the shared folder until it is deleted."""
     rows = docs.select(text_of(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, chars / chars_per_shard))))
     word_bits = max(2, bits - 1)
     folder = _local(scratch(docs.sparkSession, "bigrams"))
-    shards = rows.mapInPandas(_count(bits), "shard int, h binary, w binary, c binary").groupBy("shard").applyInPandas(_merge_pairs(folder, word_bits), PAIR_ROWS)
-    sums = shards.groupBy("word_shard").applyInPandas(_merge_words(folder), TOTALS)
+    # one shard a task, so that what a task reads doesn't grow with the number of shards
+    shards = rows.mapInPandas(_count(bits), "shard int, h binary, w binary, c binary").repartitionById(1 << bits, "shard").groupBy("shard").applyInPandas(_merge_pairs(folder, word_bits), PAIR_ROWS)
+    sums = shards.repartitionById(1 << word_bits, "word_shard").groupBy("word_shard").applyInPandas(_merge_words(folder), TOTALS)
     totals = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns)).first().asDict()
     return Model(folder, bits, word_bits, totals)
 
 
 class _Mapped:
-    """The model's files, mapped on first use."""
+    """The model's files, mapped when asked for; the `most` last used ones stay."""
+
+    NAMES = {"pairs": ("key", "count", "big_at", "big_count"), "words": ("key", *STATS)}
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.files = model, {}
+    def __init__(self, model: Model, most: int = 32) -> None:
+        self.model, self.most, self.files = model, most, OrderedDict()
 
-    def file(self, name: str) -> np.ndarray | None:
+    def shard(self, kind: str, number: int) -> dict[str, np.ndarray] | None:
+        name = f"{kind}-{number:06d}"
         if name not in self.files:
-            path = f"{self.model.folder}/{name}.npy"
-            # an empty array can't be mapped
-            self.files[name] = (np.load(path, mmap_mode="r") if os.path.getsize(path) > 200 else np.load(path)) if os.path.exists(path) else None
+            path = f"{self.model.folder}/{name}"
+            self.files[name] = _read(path, self.NAMES[kind]) if os.path.exists(path) else None
+            if len(self.files) > self.most:
+                self.files.popitem(last=False)
+        self.files.move_to_end(name)
         return self.files[name]
 
-    def find(self, kind: str, bits: int, keys: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """keys are sorted; per shard: its name, where in keys, and where in the shard's arrays the keys are that it has."""
+    def find(self, kind: str, bits: int, keys: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """keys are sorted; per shard: its arrays, where in keys, and where in the arrays the keys are that it has."""
         of = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
-        cuts = np.searchsorted(of, np.arange((1 << bits) + 1, dtype=np.uint64))
-        for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            name = f"{kind}-{s:06d}"
-            have = self.file(f"{name}.key") if j > i else None
-            if have is None or not len(have):
+        for s, i, j in _runs(of):
+            arrays = self.shard(kind, int(s))
+            if arrays is None or not len(arrays["key"]):
                 continue
+            have = arrays["key"]
             at = np.minimum(np.searchsorted(have, keys[i:j]), len(have) - 1)
             hit = np.flatnonzero(have[at] == keys[i:j])
-            yield name, hit + i, at[hit]
+            yield arrays, hit + i, at[hit]
 
     def words(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         out = {c: np.zeros(len(keys), np.int64) for c in STATS}
-        for name, to, at in self.find("words", self.model.word_bits, keys):
+        for arrays, to, at in self.find("words", self.model.word_bits, keys):
             for c in STATS:
-                out[c][to] = self.file(f"{name}.{c}")[at]
+                out[c][to] = arrays[c][at]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for name, to, at in self.find("pairs", self.model.bits, keys):
-            got = self.file(f"{name}.count")[at].astype(np.int64)
+        for arrays, to, at in self.find("pairs", self.model.bits, keys):
+            got = arrays["count"][at].astype(np.int64)
             big = np.flatnonzero(got == 255)
             if len(big):
-                got[big] = self.file(f"{name}.big_count")[np.searchsorted(self.file(f"{name}.big_at"), at[big])]
+                got[big] = arrays["big_count"][np.searchsorted(arrays["big_at"], at[big])]
             out[to] = got
         return out
 

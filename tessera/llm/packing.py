@@ -4,9 +4,10 @@ A document's token ids, with an end id, are cut into pieces whose lengths are po
 fit, then one piece for each bit that is set in the rest, longest first. Each piece is a sequence of its own; sequences of equal length form
 a bucket and are numbered one after the other, so a batch of a bucket needs no padding and no sequence crosses documents.
 
-Tokenising looks up pieces in a bounded cache. The tokenizer's pre-tokenizer never crosses white space and drops it, so the ids of a text
-are those of its chunks; texts of ASCII and Latin letters are cut further, as the pre-tokenizer does, since pieces repeat more often.
-Texts that spell a special token go through the tokenizer whole.
+A tokenizer file whose normaliser and pre-tokenizer are the ones in KNOWN (lower case, white space dropped) is asked for pieces only, and
+these are kept in a bounded cache: its pre-tokenizer never crosses white space, so the ids of a text are those of its chunks; texts of
+ASCII and Latin letters are cut further, as the pre-tokenizer does, since pieces repeat more often. Texts that spell a special token, and all texts
+of any other tokenizer, go through the tokenizer whole.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are documents of their own, told apart by
 `copy` (0, 1, ...); an empty table gives no rows; extra columns are ignored.
@@ -14,6 +15,7 @@ Defined cases: null text is empty and gives the end id alone; repeated rows are
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, text_of
+from .common import cut, sized, text_of
 
 _STATE: dict = {}
 
@@ -36,8 +39,26 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \\t\\n\\r\\
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 
 
+# The settings of a tokenizer file that the patterns above stand for.
+KNOWN = {
+    "truncation": None, "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def can_cut(settings: dict) -> bool:
+    """Do a tokenizer file's settings (its JSON) give a text the ids of its pieces, one after the other?"""
+    added = settings.get("added_tokens", [])
+    plain = all(not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in added)
+    return plain and settings.get("post_processor") is None and not settings.get("model", {}).get("dropout") and all(settings.get(k) == v for k, v in KNOWN.items())
+
+
 class Ids:
-    """Piece-cached ids of one tokenizer file; one per worker process."""
+    """Ids of one tokenizer file, by cached pieces where its settings allow; one per worker process."""
 
     def __init__(self, path: str, keep: int = 1_000_000) -> None:
         import os
@@ -47,6 +68,9 @@ class Ids:
 
         self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.cuts = can_cut(json.load(f))
+        self.narrow = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def many(self, texts: list[str], end: int, chars: int = 1_000_000) -> Iterator[np.ndarray]:
         """Ids of each text and the end id; unknown pieces of about `chars` characters of text go to the tokenizer together."""
@@ -60,6 +84,10 @@ class Ids:
             i = j
 
     def _some(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+        if not self.cuts:
+            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+                yield np.array([*e.ids, end], np.uint32)
+            return
         # texts in plain letters are cut as the pre-tokenizer cuts them; others at white space only
         cut = [None if any(s in t for s in self.special) else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) else _CHUNK.findall(t) for t in texts]
         cache = self.cache
@@ -87,22 +115,29 @@ def decompose(n: int, longest: int = 2048) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
+SCHEMA = "row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens and, if asked for, ids (array<int>)."""
+    """One row per piece: id, row_key (a hash of the text), row (a number for the document's row), start, length, ids_crc32, doc_tokens and, if asked
+    for, ids (binary, unsigned 32-bit numbers; 16-bit where the vocabulary allows)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = ids_of(tokenizer)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], [], []]
             for doc, key, ids in zip(batch["id"], batch["row_key"], encode.many(batch["text"].tolist(), end), strict=True):
                 start = 0
                 data = memoryview(ids.astype("<u4").tobytes())
+                kept = ids.astype(encode.narrow) if with_ids else None
                 for n in decompose(len(ids), longest):
-                    for column, x in zip(rows, (doc, key, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids), ids[start : start + n].astype(np.int32) if with_ids else None), strict=True):
+                    for column, x in zip(rows, (doc, key, number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids), kept[start : start + n].tobytes() if with_ids else None), strict=True):
                         column.append(x)
                     start += n
-            out = pd.DataFrame(dict(zip(("id", "row_key", "start", "length", "ids_crc32", "doc_tokens", "ids"), rows, strict=True)))
+                number += 1
+            out = pd.DataFrame(dict(zip(("id", "row_key", "row", "start", "length", "ids_crc32", "doc_tokens", "ids"), rows, strict=True)))
             if not with_ids:
                 out = out.drop(columns="ids")
             if kind.endswith("int"):
@@ -110,15 +145,40 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, row_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    return rows.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
+
+
+def _numbered(stable: DataFrame, kind: str, longest: int, narrow: str | None) -> DataFrame:
+    """Add sequence_id: dense, by length, then partition of the checkpoint, then place in it. Rows stay where they are.
+
+    What each task must know is the number of its first sequence of each length: partitions times lengths, 8 bytes each.
+    """
+    lengths = [1 << b for b in range(longest.bit_length())]
+    counts = np.zeros((len(lengths), stable.rdd.getNumPartitions()), np.int64)
+    for r in stable.groupBy("length", F.spark_partition_id().alias("p")).count().collect():
+        counts[int(r["length"]).bit_length() - 1, r["p"]] = r["count"]
+    begin = (np.cumsum(counts.ravel()) - counts.ravel()).reshape(counts.shape)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = begin[:, TaskContext.get().partitionId()].copy()
+        for batch in batches:
+            which = np.log2(batch["length"].to_numpy(np.int64)).astype(np.int64)
+            nth = pd.Series(which).groupby(which).cumcount().to_numpy()
+            batch = batch.assign(sequence_id=at[which] + nth)
+            at += np.bincount(which, minlength=len(at))
+            if narrow:
+                batch["ids"] = [np.frombuffer(x, narrow).astype(np.int32) for x in batch["ids"]]
+            yield batch.astype({"id": "Int64"}) if kind.endswith("int") else batch
+
+    return stable.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids array<int>" * bool(narrow) + ", sequence_id bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces with sequence_id (dense, bucket by bucket, longest bucket last), offset (always 0) and copy."""
-    from pyspark.sql import Window
-
-    cutup = pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids)
-    copy = F.row_number().over(Window.partitionBy("id", "row_key", "start").orderBy("length")) - 1
-    stable = cut(cutup.withColumn("copy", copy.cast("long")))
-    out = numbered(stable, ["length"], ["id", "row_key", "start", "copy"], "sequence_id")
-    return out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long"), F.lit(0).cast("long").alias("offset"), "copy", *(["ids"] if with_ids else []))
+    """Pieces with sequence_id (dense, bucket by bucket, longest bucket last), offset (always 0), copy and, if asked for, ids (array<int>)."""
+    stable = cut(pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids))
+    out = _numbered(stable, docs.schema[id_col].dataType.simpleString(), longest, ids_of(tokenizer).narrow if with_ids else None)
+    # rows that share id and text: their pieces are numbered by the row
+    same = Window.partitionBy("id", "row_key").orderBy("row")
+    again = stable.where("start = 0").select(F.col("row").alias("_row"), (F.row_number().over(same) - 1).cast("long").alias("_copy")).where("_copy > 0")
+    out = out.join(sized(again), F.col("row") == F.col("_row"), "left")
+    return out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.coalesce("_copy", F.lit(0).cast("long")).alias("copy"), *(["ids"] if with_ids else []))

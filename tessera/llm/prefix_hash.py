@@ -111,54 +111,72 @@ def likeness(a: str, b: str) -> float:
     return 2 * j / (1 + j)
 
 
-def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, rows_per_bucket: int = 2_000) -> DataFrame:
-    """Stream rows in id order through run(id, text, next text), which gives a tuple of the schema; one shuffle of the texts.
-
-    Ids are cut into buckets at quantiles (a few numbers per thousand rows come to the driver). The first row of each
-    bucket also goes, as a sentinel, to the end of the bucket before, that of the first one to the last. So every task has the next row
-    of all its own, and holds two texts at a time, however large a bucket is.
+def _placed(heads: pd.DataFrame):
+    """heads (id, k), sorted, null ids first: what cuts rows into buckets. -> f(ids, keys) giving (bucket, is the row the head of its bucket?)."""
+    none = int(heads["id"].isna().sum())
+    of_none, known, keys = heads["k"].to_numpy(np.int64)[:none], heads["id"].to_numpy()[none:], heads["k"].to_numpy(np.int64)[none:]
+
+    def place(ids: pd.Series, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        missing = ids.isna().to_numpy()
+        bucket = np.searchsorted(of_none, k, "right")
+        some = np.flatnonzero(~missing)
+        values = ids.iloc[some].to_numpy(dtype=known.dtype)
+        low, high = (np.searchsorted(known, values, side) for side in ("left", "right"))
+        at = low.copy()
+        for i in np.flatnonzero(high > low):  # ids that are a head's own: the text key decides
+            at[i] += np.searchsorted(keys[low[i] : high[i]], k[some[i]], "right")
+        bucket[some] = none + at
+        bucket = np.maximum(bucket - 1, 0)  # the first head has all rows up to the second
+        head = heads["k"].to_numpy(np.int64)[bucket] == k
+        head[some] &= np.asarray(np.append(known[:1].repeat(none), known)[bucket[some]] == values, bool) & (bucket[some] >= none) if len(known) else False
+        head[missing] &= bucket[missing] < none
+        return bucket, head
+
+    return place
+
+
+def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, rows_per_bucket: int = 20_000) -> DataFrame:
+    """Stream rows in (id, text key) order through run(text, next text), which gives a tuple of the schema; one shuffle of the texts.
+
+    Spark range-partitions the ids and text keys alone; the first of each range is a head (one id per rows_per_bucket rows comes to the driver,
+    fewer rows on small tables). Heads cut rows into buckets, one per task. A bucket's head also goes, as a sentinel, to the end of the bucket before,
+    that of the first one to the last. So every task has the next row of all its own, and holds two texts at a time, however large a bucket
+    is. Ids may be of any type that Spark orders and pandas compares alike (numbers, texts, dates, timestamps).
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
+    names = [c.split()[0] for c in f"id {kind}, {schema}".split(", ")]
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, {schema}")
-    wanted = max(1, min(-(-n // rows_per_bucket), 16 * partitions(spark), 4_096))
-    cuts = rows.approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
-    heads = sorted({int(x) for x in cuts})
-    bucket = F.coalesce(_searched(F.col("id"), heads), F.lit(0))
-    # the smallest id of every bucket that has rows: a few numbers per thousand rows
-    least = {r[0]: r[1] if not r[2] else None for r in rows.groupBy(bucket.alias("b")).agg(F.min("id"), F.max(F.col("id").isNull())).collect()}
-    filled = sorted(least)
-    before = {k: filled[i - 1] for i, k in enumerate(filled)}
-    at = lambda values: F.get(F.array(*(F.lit(values.get(k)).cast("bigint") for k in range(len(heads) + 1))), bucket)
-    sent = F.when(F.col("id").cast("bigint").eqNullSafe(at(least)), at(before).cast("int"))
-    copies = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("sentinel")), F.when(sent.isNotNull(), F.struct(sent.alias("bucket"), F.lit(True).alias("sentinel")))))
-    dealt = rows.withColumn("c", F.explode(copies)).select("c.bucket", "c.sentinel", "id", F.xxhash64("text").alias("k"), "text")
-    kind = docs.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"id {kind}, {schema}")
+    wanted = max(-(-n // rows_per_bucket), min(4 * partitions(spark), -(-n // 200)))
+    ranges = rows.select("id", "k").repartitionByRange(wanted, F.asc_nulls_first("id"), "k").groupBy(F.spark_partition_id().alias("p"))
+    heads = ranges.agg(F.min(F.struct("id", "k")).alias("head")).select("head.id", "head.k").orderBy(F.asc_nulls_first("id"), "k").toPandas()
+    place, buckets = _placed(heads), len(heads)
+
+    @F.pandas_udf("struct<bucket int, head boolean>")
+    def dealt_to(ids: pd.Series, k: pd.Series) -> pd.DataFrame:
+        bucket, head = place(ids, k.to_numpy(np.int64))
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "head": head})
+
+    at = F.col("at")
+    copies = F.array(F.struct(at["bucket"].alias("bucket"), F.lit(False).alias("sentinel")), F.when(at["head"], F.struct(F.pmod(at["bucket"] - 1, F.lit(buckets)).cast("int").alias("bucket"), F.lit(True).alias("sentinel"))))
+    dealt = rows.withColumn("at", dealt_to("id", "k")).withColumn("c", F.explode(F.array_compact(copies))).select("c.bucket", "c.sentinel", "id", "k", "text")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row that waits for its next one
+        held, over = None, False  # held: the row that waits for its next one
         for batch in batches:
             out = []
-            for at, sentinel, doc, text in zip(batch["bucket"], batch["sentinel"], batch["id"], batch["text"], strict=True):
-                if held is not None and held[0] == at:
-                    out.append((held[1], *run(held[2], text)))
-                held = None if sentinel else (at, doc, text)
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in f"id {kind}, {schema}".split(", ")])
-            if kind.endswith("int"):
-                frame["id"] = frame["id"].astype("Int64")
-            yield frame
-
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "sentinel", "id", "k").mapInPandas(stream, f"id {kind}, {schema}")
-
-
-def _searched(x, heads: list[int]):
-    """How many of the sorted heads are x or less, as a balanced tree of comparisons."""
-    if not heads:
-        return F.lit(0)
-    mid = len(heads) // 2
-    return F.when(x >= F.lit(heads[mid]), _searched(x, heads[mid + 1 :]) + F.lit(mid + 1)).otherwise(_searched(x, heads[:mid]))
+            for sentinel, doc, text in zip(batch["sentinel"], batch["id"], batch["text"], strict=True):
+                if over:
+                    break  # rows that agree with the next head in id and text come again
+                if held is not None:
+                    out.append((held[0], *run(held[1], text)))
+                held, over = (doc, text), sentinel
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.astype({"id": "Int64"}) if kind.endswith("int") else frame
+
+    return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("sentinel", F.asc_nulls_first("id"), "k").mapInPandas(stream, f"id {kind}, {schema}")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, slots: int = 128) -> DataFrame:

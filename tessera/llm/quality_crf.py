@@ -5,7 +5,8 @@ marginals, weighted by line length, add up to the document's score. Labels are k
 line of a labelled document carries the document's label.
 
 Training uses a bounded sample: the `sample` labelled rows with the smallest hashed ids (default 3,000), which are
-found among the labels alone and then met in one pass over the documents. Scoring runs in every task with a few hundred numbers.
+found among the labels alone and then met in one pass over the documents, and of these the first ones that together have `sample_chars` characters
+(default 64 million) at most. Scoring runs in every task with a few hundred numbers.
 
 Defined cases: null text is empty; a text without characters is one empty line and gets a score as any other; the last of an empty
 line after a final line break counts as a line of weight 1; extra columns are ignored; without usable labels of both kinds, fitting
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -89,8 +90,6 @@ class Chain:
     pull: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
@@ -157,7 +156,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, steps: int = 150, decay: flo
     return Chain(p[:-4].copy(), p[-4:].reshape(2, 2).copy(), mean, scale)
 
 
-def score_texts(chain: Chain, texts: list[str], lines_at_once: int = 200_000) -> np.ndarray:
+def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
     """Length-weighted mean of the marginals, per text."""
     out, i = [], 0
     while i < len(texts):
@@ -177,13 +176,15 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample: int = 3_000, usable=None) -> Chain:
-    """Chain fitted on at most `sample` labelled rows; usable: a condition on the id that a label must meet."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample: int = 3_000, sample_chars: int = 64_000_000, usable=None) -> Chain:
+    """Chain fitted on at most `sample` labelled rows and `sample_chars` characters; usable: a condition on the id that a label must meet."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
     chosen = known.groupBy(id_col).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     met = docs.select(id_col, text_of(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # at most `sample` ids
-    rows = met.orderBy(F.xxhash64(id_col), id_col, "_text").limit(sample).select("_text", "_label").collect()
+    rows = met.orderBy(F.xxhash64(id_col), id_col, "_text").limit(sample)
+    before = Window.orderBy(F.xxhash64(id_col), id_col, "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_sum", F.sum(F.length("_text")).over(before)).where(F.col("_sum") <= sample_chars).select("_text", "_label").collect()
     return fit_chain([r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64))
 
 

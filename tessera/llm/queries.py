@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,25 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Roles stay as the table has them.
+PLAIN_ROLES = tuple(replace(m, roles={}) for m in chat_format.MAPPINGS)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.sql(f"SELECT -1L AS conv_id, x.turn, x.role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(turn, role)")
-    message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", message.alias("m"))))
-    records = rows.unionByName(own).groupBy("conv_id").agg(F.transform(turns, lambda t: t["m"]).alias("messages"))
-    chats = chat_format.format_chats(records.select("conv_id", F.to_variant_object(F.struct("messages")).alias("record")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    records = rows.unionByName(own).groupBy("conv_id").agg(turns.alias("t"))
+    # conversations come in three layouts, by their id, as those of several collections would
+    listed = lambda role, text, *more: F.transform("t", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text), *more))
+    kind = F.pmod("conv_id", F.lit(3))
+    record = (
+        F.when(kind == 0, F.to_variant_object(F.struct(listed("role", "content").alias("messages"))))
+        .when(kind == 1, F.to_variant_object(F.struct(F.col("conv_id").alias("id"), listed("role", "text", F.lit("x").alias("name")).alias("turns"))))
+        .otherwise(F.to_variant_object(F.struct(F.lit("table").alias("source"), listed("role", "content").alias("conversations"))))
+    )
+    chats = chat_format.format_chats(records.select("conv_id", record.alias("record")), mappings=PLAIN_ROLES)
     back = chats.select("conv_id", "schema_fingerprint", "layout", "formatted", chat_format.turns_of(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -96,7 +109,7 @@ ORACLE_SQL = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_chars,
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-               sum(n)::BIGINT AS formatted_chars, 'messages' AS layout
+               sum(n)::BIGINT AS formatted_chars, CASE WHEN conv_id % 3 = 0 THEN 'messages' WHEN conv_id % 3 = 1 THEN 'turns' ELSE 'conversations by role' END AS layout
         FROM e GROUP BY conv_id
     """,
     "op3_exact_dedup": r"""

@@ -176,34 +176,35 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate: id, start, end, candidate, features, probability (of a secret), secret."""
+    """One row per candidate: id, text_key (a hash of the text), start, end, candidate, features, probability (of a secret), secret."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
+            rows: list[list] = [[], [], [], [], [], []]
+            for doc, key, text in zip(batch["id"], batch["text_key"], batch["text"], strict=True):
                 for a, b in candidates(text):
-                    for column, x in zip(rows, (doc, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])), strict=True):
+                    for column, x in zip(rows, (doc, key, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])), strict=True):
                         column.append(x)
-            out = pd.DataFrame(dict(zip(("id", "start", "end", "candidate", "features"), rows, strict=True)))
+            out = pd.DataFrame(dict(zip(("id", "text_key", "start", "end", "candidate", "features"), rows, strict=True)))
             out = out.astype({"candidate": object, "features": object})  # also where there are none
             yield out.astype({"id": "Int64"}) if kind.endswith("int") else out
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    found = rows.mapInPandas(run, f"id {kind}, start bigint, end bigint, candidate string, features array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
+    found = rows.mapInPandas(run, f"id {kind}, text_key bigint, start bigint, end bigint, candidate string, features array<double>")
     scored = model.transform(found.withColumn("_v", array_to_vector("features")).withColumnRenamed("features", "_f").withColumnRenamed("_v", "features"))
     p = vector_to_array("probability")[1]
-    return scored.select(F.col("id").alias(id_col), "start", "end", "candidate", F.col("_f").alias("features"), p.alias("probability"), (p >= 0.5).alias("secret"))
+    return scored.select(F.col("id").alias(id_col), "text_key", "start", "end", "candidate", F.col("_f").alias("features"), p.alias("probability"), (p >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with the findings marked as secrets replaced; rows of one id must have one text."""
-    spans = findings.where("secret").groupBy(F.col(id_col).alias("_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_s"))
+    """docs with the findings marked as secrets replaced. Rows that share an id are told apart by their texts."""
+    spans = findings.where("secret").groupBy(F.col(id_col).alias("_of"), F.col("text_key").alias("_tk")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_s"))
     text = text_of(text_col)
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_s", lambda x: x["end"]))
     begins = F.concat(F.transform("_s", lambda x: x["start"]), F.array(F.length(text).cast("long")))
     new = F.array_join(F.zip_with(ends, begins, lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))), mark)
-    return docs.join(spans, F.col(id_col).eqNullSafe(F.col("_of")), "left").withColumn(text_col, F.when(F.col("_s").isNotNull(), new).otherwise(F.col(text_col))).drop("_of", "_s")
+    same = F.col(id_col).eqNullSafe(F.col("_of")) & (F.xxhash64(text) == F.col("_tk"))
+    return docs.join(spans, same, "left").withColumn(text_col, F.when(F.col("_s").isNotNull(), new).otherwise(F.col(text_col))).drop("_of", "_tk", "_s")

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,14 @@ def test_packing(docs, none):
     assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
     assert packing.pack(none, queries.word_tokenizer()).count() == 0
     assert [packing.decompose(n) for n in (0, 1, 13, 2048, 5000)] == [[], [1], [8, 4, 1], [2048], [2048, 2048, 512, 256, 128, 8]]
+    other = __import__("public_tokenizers").path("byte_bpe_50k.json")  # settings that the fast path doesn't stand for
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(str(other)), {r[0]: r[1] or "" for r in ROWS if r[0] in (1, 5, 6)}
+    met: dict = {}
+    for r in packing.pack(docs.where("doc_id IN (1, 5, 6)"), str(other), with_ids=True).orderBy("doc_id", "start").collect():
+        met.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert met == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
     ids = packing.pack(docs.where("doc_id = 6"), queries.word_tokenizer(), with_ids=True).orderBy("start").collect()
     assert 49407 in [x for r in ids for x in r["ids"]]
 
@@ -63,6 +73,17 @@ def test_prefix_hash(docs, none):
     assert prefix_hash.edited_fingerprints(none).count() == 0
     one = prefix_hash.edited_fingerprints(docs.where("doc_id = 1")).first()
     assert one["near_next"] == 1.0
+    # ids of other types, many buckets, repeated rows at the ends of buckets
+    many = docs.sparkSession.createDataFrame([(f"k{i // 2:04d}", f"text {i // 3}") for i in range(900)], "doc_id string, text string").union(docs.selectExpr("CAST(doc_id AS STRING)", "text").where("doc_id IS NULL"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in many.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+    near = prefix_hash.edited_fingerprints(many)
+    assert near.count() == len(rows) and {r["doc_id"] for r in near.collect()} == {r[0] for r in rows}
+    for kind in ("bigint", "date", "decimal(10,0)"):
+        typed = docs.sparkSession.range(500).selectExpr(f"CAST({'date_add(DATE 2020-01-01, CAST(id AS INT))'.replace('DATE 2020-01-01', chr(39) + '2020-01-01' + chr(39)) if kind == 'date' else 'id'} AS {kind}) AS doc_id", "concat('w', id) AS text")
+        got = {r["doc_id"]: (r["edited_sha256"], r["n_chars"]) for r in prefix_hash.edited_fingerprints(typed).collect()}
+        texts = [(r["doc_id"], r["text"]) for r in typed.orderBy("doc_id").collect()]
+        edited = lambda t, u: t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert got == {i: (hashlib.sha256(edited(t, texts[(k + 1) % 500][1]).encode()).hexdigest(), len(t)) for k, (i, t) in enumerate(texts)}
     a, b = prefix_hash.PrefixHashes("abracadabra"), prefix_hash.PrefixHashes("xxabracad!")
     assert a.extension(0, b, 2) == 7 and a.equal(0, b, 2, 4) and not a.equal(0, b, 3, 4) and a.extension(7, a, 0) == 4
 
@@ -125,28 +146,46 @@ def test_substrings(docs, none):
 def test_secrets(spark, docs, none):
     model = secret_scan.train(spark, trees=5)
     assert secret_scan.scan(none, model).count() == 0
-    assert secret_scan.scan(docs, model).columns == ["doc_id", "start", "end", "candidate", "features", "probability", "secret"]
+    assert secret_scan.scan(docs, model).columns == ["doc_id", "text_key", "start", "end", "candidate", "features", "probability", "secret"]
     leak = spark.createDataFrame([(1, 'my api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" here'), (2, None)], "doc_id bigint, text string")
     model = secret_scan.train(spark)
     hidden = {r["doc_id"]: r["text"] for r in secret_scan.redact(leak, secret_scan.scan(leak, model)).collect()}
     assert hidden == {1: 'my api_key = "[secret]" here', 2: None}
+    shared = leak.union(spark.createDataFrame([(1, "x" * 60)], leak.schema))  # a row of the same id without a secret stays as it is
+    hidden = sorted(str(r["text"]) for r in secret_scan.redact(shared, secret_scan.scan(shared, model)).collect())
+    assert hidden == ["None", 'my api_key = "[secret]" here', "x" * 60]
 
 
 def test_chat_layouts(spark):
     records = [
         '{"messages":[{"role":"user","content":"a <|im_end|> <\\\\| b"},{"role":"assistant","content":null}]}', '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo<|im_start|>"}]}',
         '{"instruction":"do","input":"it","output":"done"}', '{"prompt":"p","response":"r"}', '{"other":{"x":[{"z":1},{"y":2}]}}', '{"messages":[]}', '{"id":"7","messages":[{"role":"a\\n<|b","content":"x<"}]}', None,
+        '{"messages":[{"role":"user","content":"a","name":"Bo"},{"role":"assistant","content":"b"}],"tools":[{"type":"f"}]}', '{"system":"be kind","messages":[{"role":"user","content":"a"}]}',
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"one"},{"type":"image","url":"u"},{"type":"text","text":"two"}]}]}', '{"system":"","instruction":"do","output":"done","meta":{"k":1}}',
+        '{"messages":[{"role":"user"}]}', '{"prompt":"p","messages":[{"role":"user","content":"a"}],"response":"r"}', '{"messages":"none"}', '{"messages":[{"role":"user","content":"x"},{"role":"user","content":"x"},{"role":"user","content":["y",{"text":"z"}]}]}',
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, r string").select("i", F.try_parse_json("r").alias("record"), F.lit(1).alias("turns"))
     chats = chat_format.format_chats(df)
     back = chats.select("i", "layout", "turns", "schema_paths", "formatted", chat_format.turns_of(F.col("formatted")).alias("back"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).orderBy("i").collect()
-    assert [r["layout"] for r in back] == ["messages", "conversations", "instruction with input", "prompt and response", None, None, "messages with id", None]
+    assert [r["layout"] for r in back] == ["messages", "conversations", "instruction", "prompt and response", None, "messages", "messages", None, "messages", "messages", "messages", "instruction", "messages", None, "messages", "messages"]
     assert all(r["back"] == r["turns"] for r in back if r["turns"] is not None)
-    assert [(t["role"], t["text"]) for t in back[0]["turns"]] == [("user", "a <|im_end|> <\\| b"), ("assistant", "")]
-    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("user", "hi"), ("assistant", "yo<|im_start|>")] and back[1]["loss"] == "yo<|im_start|>"
-    assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [("user", "do\n\nit"), ("assistant", "done")]
+    said = lambda i: [(t["role"], t["text"]) for t in back[i]["turns"]]
+    assert said(0) == [("user", "a <|im_end|> <\\| b"), ("assistant", "")]
+    assert said(1) == [("user", "hi"), ("assistant", "yo<|im_start|>")] and back[1]["loss"] == "yo<|im_start|>"
+    assert said(2) == [("user", "do\n\nit"), ("assistant", "done")]
     assert back[4]["schema_paths"] == ["$.other", "$.other.x", "$.other.x[].y", "$.other.x[].z"] and back[4]["formatted"] is None
+    assert said(5) == [] and back[5]["formatted"] == ""
+    assert said(8) == [("user", "a"), ("assistant", "b")] and said(9) == [("system", "be kind"), ("user", "a")]
+    assert said(10) == [("user", "onetwo")] and said(11) == [("user", "do"), ("assistant", "done")] and said(12) == [("user", "")]
+    assert back[14]["turns"] is None and said(15) == [("user", "x"), ("user", "x"), ("user", "yz")]
     assert all(r["formatted"].count("<|im_start|>") == len(r["turns"]) for r in back if r["turns"] is not None)
+    assert chat_format.format_chats(df.where("false")).count() == 0
+
+
+def test_long_conversation(spark, tmp_path):
+    spark.range(3_000).select(F.lit(4).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("long <| text "), 20).alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in queries.op1_chat_format(spark, str(tmp_path)).collect()}
+    assert (got[4]["n_turns"], got[4]["loss_chars"]) == (3_000, 1_500 * 13 * 20)
 
 
 def test_conversations_with_nulls(spark, tmp_path):

@@ -75,3 +75,46 @@ def test_no_training_rows_and_no_rows(spark):
     one = spark.createDataFrame([(1, "x y")], "doc_id bigint, text string")
     assert ngram_lm.score(one, model).first()["score"] == 0.0
     assert ngram_lm.score(empty, model).count() == 0
+
+
+def test_query_by_hand(spark):
+    """op5's own rows, with the training split made here."""
+    from tessera.llm import queries
+
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    out = lambda i: crc32(str(i).encode()) % 7 == 2
+    want = brute([t for i, t in rows if not out(i)], [t for _, t in rows])[0]
+    got = sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in queries.op5_ngram_lm(spark, "/root/testdata/sf0.001").collect())
+    assert [g[:5] for g in got] == [(i, out(i), *w[:3]) for (i, _), w in zip(rows, want)]
+    assert np.allclose([g[5:] for g in got], [w[3:] for w in want], rtol=1e-9)
+
+
+def test_many_shards_and_few_descriptors(spark):
+    """Over 2,000 shards, read by one process that may open 256 files."""
+    import subprocess
+    import sys
+
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 900}" for j in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = ngram_lm.train(df, chars_per_shard=50)
+    assert model.bits >= 11
+    code = """
+import resource, pickle, sys
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+from tessera.llm import ngram_lm
+model, rows = pickle.load(open(sys.argv[1], "rb"))
+mapped = ngram_lm._Mapped(model, most=5000)
+out = ngram_lm._scored(mapped, [ngram_lm.token_hashes(t) for _, t in rows])
+assert len(mapped.files) > 2000
+pickle.dump(out["score"].tolist(), open(sys.argv[2], "wb"))
+"""
+    import os
+    import pickle
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        pickle.dump((model, rows), open(f"{d}/in", "wb"))
+        subprocess.run([sys.executable, "-c", code, f"{d}/in", f"{d}/out"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+        scores = pickle.load(open(f"{d}/out", "rb"))
+    want = brute([t for _, t in rows], [t for _, t in rows])[0]
+    assert np.allclose(scores, [w[4] for w in want], rtol=1e-9)
