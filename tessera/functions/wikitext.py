@@ -1,14 +1,15 @@
 """Template parameters out of wiki markup.
 
-Balanced markup is beyond regular expressions, so three small helpers run as Arrow-batched UDFs: the parameters of the first
-matching transclusion (`template_params`), the cleaned value (`clean_value`), and the unnamed parameters of a nested one.
-All else (comments, references, lead section, names) is done in Column expressions around them.
+Balanced markup is beyond regular expressions, so two small helpers run as Arrow-batched UDFs: the parameters of the first
+matching transclusion (`template_params`) and the cleaned value (`clean_value`). Both read a text once, in linear time, into a tree of its
+transclusions (`tree`) and walk over that. All else (comments, references, lead section, names) is done in Column expressions around them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,50 +18,88 @@ from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.numbers import let
 
-_MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]|[|=]|(?i:<nowiki>(?s:.*?)(?:</nowiki>|\Z))")
-_LINK = re.compile(r"\[\[([^\[\]|]*)\|[^\[\]]*\]\]")
+_SIGN = re.compile(r"\{\{|\}\}|\[\[|\]\]|[|=]|(?i:<nowiki>)")
+_NOWIKI_END = re.compile("(?i:</nowiki>)")
+_LABEL = re.compile(r"\[\[([^\[\]|]*)\|[^\[\]]*\]\]")
+_LINK_OR_PIPE = re.compile(r"\[\[|\]\]|\|")
 
 
-def _marks(text: str, at: int, opaque: bool) -> Iterator[tuple[str, int, int]]:
-    """(mark, depth of braces, depth of links) after each mark; opaque: nowiki blocks hide what they hold."""
-    while m := _MARK.search(text, at):
-        sign = m[0]
-        if sign[0] == "<":
-            at = m.end() if opaque else m.start() + 1
-            continue
-        yield sign, m.start(), m.end()
-        at = m.end()
+@dataclass(slots=True)
+class Call:
+    """A transclusion text[begin:end], or braces that never close (no parts, end two after begin).
+
+    parts: (begin, end, place of the sign that ends the parameter's name, or -1); inner: transclusions inside, in order.
+    """
+
+    begin: int
+    end: int = -1
+    parts: list[tuple[int, int, int]] = field(default_factory=list)
+    inner: list[Call] = field(default_factory=list)
+    #: while it is open: where the current part begins, its name's end, and the fewest links that were open since the call began
+    at: int = 0
+    name_end: int = -1
+    floor: int = 0
 
 
-def call_at(text: str, start: int) -> tuple[list[str], int] | None:
-    """Parts and end of the transclusion whose braces open at start; None if they don't close."""
-    depth, links, begin, parts = 0, 0, start + 2, []
-    for sign, a, b in _marks(text, begin, True):
+def tree(text: str) -> list[Call]:
+    """The transclusions of a text that stand in no other one, each with those inside; one pass, whatever the nesting.
+
+    Open calls lie on a stack. A pipe belongs to the innermost one, unless a link is open there; links are counted over the whole text, and a call
+    remembers the lowest count since it began, so what is open in it is the difference. In a call, a nowiki block hides its signs from
+    the calls around it, but a transclusion inside the block is found.
+    """
+    found, stack, links, at = [], [], 0, 0
+    while m := _SIGN.search(text, at):
+        sign, a, at = m[0], m.start(), m.end()
+        top = stack[-1] if stack else None
         if sign == "{{":
-            depth += 1
-        elif sign == "}}" and depth:
-            depth -= 1
+            stack.append(Call(a, at=at, floor=links))
+        elif top is None:
+            continue
         elif sign == "}}":
-            return [*parts, text[begin:a]], b
+            top.parts.append((top.at, a, top.name_end))
+            top.end = at
+            stack.pop()
+            if stack:
+                stack[-1].floor = min(stack[-1].floor, top.floor)
+            (stack[-1].inner if stack else found).append(top)
         elif sign == "[[":
             links += 1
         elif sign == "]]":
-            links = max(0, links - 1)
-        elif sign == "|" and not depth and not links:
-            parts.append(text[begin:a])
-            begin = b
-    return None
-
-
-def outside(text: str, needle: str) -> int:
-    """Where the first needle stands that is in no template and no link; -1 if none does."""
-    depth = links = 0
-    for sign, a, _ in _marks(text, 0, False):
-        if sign == needle and not depth and not links:
-            return a
-        depth = depth + 1 if sign == "{{" else max(0, depth - 1) if sign == "}}" else depth
-        links = links + 1 if sign == "[[" else max(0, links - 1) if sign == "]]" else links
-    return -1
+            links -= 1
+            top.floor = min(top.floor, links)
+        elif sign[0] == "<":
+            close = _NOWIKI_END.search(text, at)
+            inside = text[at : close.start() if close else len(text)]
+            name = inside.partition("=")[0]
+            if top.name_end < 0 and links == top.floor and len(name) < len(inside) and "{{" not in name and "[[" not in name:
+                top.name_end = at + len(name)
+            if "{{" in inside:
+                top.inner += _moved(tree(inside), at)
+            at = close.end() if close else len(text)
+        elif links == top.floor:
+            if sign == "|":
+                top.parts.append((top.at, a, top.name_end))
+                top.at, top.name_end = at, -1
+            elif top.name_end < 0:
+                top.name_end = a
+    for open_ in stack:  # what never closes is no call; what it holds stands by itself
+        found += [Call(open_.begin, open_.begin + 2), *open_.inner]
+    return sorted(found, key=lambda c: c.begin)
+
+
+def _moved(calls: list[Call], by: int) -> list[Call]:
+    return [Call(c.begin + by, c.end + by, [(a + by, b + by, e + by if e >= 0 else -1) for a, b, e in c.parts], _moved(c.inner, by)) for c in calls]
+
+
+def in_order(calls: list[Call]) -> Iterator[Call]:
+    """Every call, outer before inner, in the order of the text."""
+    rest = calls[::-1]
+    while rest:
+        call = rest.pop()
+        if call.parts:
+            yield call
+        rest += call.inner[::-1]
 
 
 def plain_name(name: str, prefixes: tuple[str, ...], first_letter: bool) -> str:
@@ -73,52 +112,42 @@ def plain_name(name: str, prefixes: tuple[str, ...], first_letter: bool) -> str:
     return name[:1].upper() + name[1:] if first_letter else name
 
 
-def first_call(text: str, wanted) -> list[str] | None:
-    """Parts of the first transclusion, in document order, outer before inner, whose name is wanted."""
-    at = 0
-    while (start := text.find("{{", at)) >= 0:
-        call = call_at(text, start)
-        if call is None:
-            at = start + 2
-            continue
-        parts, at = call
-        if wanted(parts[0]):
-            return parts
-        for part in parts:
-            if (inner := first_call(part, wanted)) is not None:
-                return inner
-    return None
+def params(text: str, call: Call) -> dict[str, str]:
+    """Named and numbered parameters, trimmed; the later of two of a name counts."""
+    unnamed = (str(i + 1) for i in range(len(call.parts)))
+    return {(text[a:e].strip() if e >= 0 else next(unnamed)): text[max(a, e + 1) : b].strip() for a, b, e in call.parts[1:]}
 
 
-def params_of(parts: list[str]) -> dict[str, str]:
-    """Named and numbered parameters, trimmed; the later of two of a name counts."""
-    out, unnamed = {}, 0
-    for part in parts[1:]:
-        eq = outside(part, "=")
-        if eq < 0:
-            unnamed += 1
-        out[part[:eq].strip() if eq >= 0 else str(unnamed)] = part[eq + 1 :].strip()
-    return out
-
-
-def without_templates(text: str, unwrap: bool) -> str:
-    out, at = [], 0
-    while (start := text.find("{{", at)) >= 0:
-        out.append(text[at:start])
-        call = call_at(text, start)
-        at = start + 2 if call is None else call[1]
-        if call is not None and unwrap:
-            unnamed = next((p for p in call[0][1:] if outside(p, "=") < 0), "")
-            out.append(without_templates(unnamed.strip(), True))
-    return "".join([*out, text[at:]])
+def outside_calls(text: str, calls: list[Call], begin: int, end: int, unwrap: bool) -> str:
+    """text[begin:end] without its calls, or with the first unnamed parameter of each in its place."""
+    out = []
+    for call in calls:
+        out.append(text[begin : call.begin])
+        begin = call.end
+        kept = next(((a, b) for a, b, e in call.parts[1:] if e < 0), None) if unwrap else None
+        if kept is not None:
+            a, b = kept[0] + len(part := text[slice(*kept)]) - len(part.lstrip()), kept[0] + len(part.rstrip())
+            out.append(outside_calls(text, [c for c in call.inner if a <= c.begin < b], a, max(a, b), True))
+    return "".join([*out, text[begin:end]])
+
+
+def first_piece(value: str) -> str:
+    """What stands before the first pipe that is in no link."""
+    links = 0
+    for m in _LINK_OR_PIPE.finditer(value):
+        if m[0] == "|" and not links:
+            return value[: m.start()]
+        links = links + 1 if m[0] == "[[" else max(0, links - 1) if m[0] == "]]" else links
+    return value
 
 
 def cleaned(raw: str, unwrap: bool = False) -> str:
     """What a value parser should see; empty if no letter or digit is left."""
-    value = _LINK.sub(r"[[\1]]", without_templates(raw.replace("{{!}}", "|"), unwrap))
-    value = re.sub(r"'{2,}", "", value).replace("&nbsp;", " ")
-    pipe = outside(value, "|")
-    value = " ".join((value if pipe < 0 else value[:pipe]).split())
+    value = raw.replace("{{!}}", "|")
+    if "{{" in value:
+        value = outside_calls(value, tree(value), 0, len(value), unwrap)
+    value = re.sub(r"'{2,}", "", _LABEL.sub(r"[[\1]]", value)).replace("&nbsp;", " ")
+    value = " ".join(first_piece(value).split())
     return value if any(c.isalnum() for c in value) else ""
 
 
@@ -140,8 +169,8 @@ def template_params(text: Column, names: list[str], prefixes: tuple[str, ...] =
     @pandas_udf("map<string,string>")
     def read(texts: pd.Series) -> pd.Series:
         def one(t):
-            parts = None if t is None else first_call(t, lambda n: plain_name(n, prefixes, first_letter) in known)
-            return None if parts is None else params_of(parts)
+            calls = in_order(tree(t)) if t is not None else ()
+            return next((params(t, c) for c in calls if plain_name(t[slice(*c.parts[0][:2])], prefixes, first_letter) in known), None)
 
         return texts.map(one)
 

@@ -1,14 +1,19 @@
 """The 23 property constraints. A rule adds no rows; it gives a condition (local) or the row ids that violate it (joins).
 
-Rows: row_id, item, property, value fields, qualifiers array<string>. Local rules are Column builders over the definition (a dict of
-qualifier property to list of values); the others are DataFrame builders, each one semi- or anti-join.
+Rows: row_id, item, property, one typed value (v_item, v_text, v_amount, v_unit, v_date, the others null) and used, the properties of its qualifiers.
+A rule about another kind of value is never violated. Local rules are Column builders over the definition; the others are DataFrame builders, each one semi- or
+anti-join. `Definition` is one constraint of a property, `rules` turns definitions into what `first_violation` takes.
 """
 
 from __future__ import annotations
 
+import datetime
 import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.closure import in_classes
@@ -48,25 +53,33 @@ def mandatory_qualifier(used: Column, needed: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, needed)).cast("array<string>"), used)) > 0
 
 
-def allowed_units(unit: Column, allowed: list[str | None]) -> Column:
-    return ~F.coalesce(unit, F.lit("1")).isin(*("1" if u is None else u for u in allowed))
+def allowed_units(amount: Column, unit: Column, allowed: list[str | None]) -> Column:
+    return amount.isNotNull() & ~F.coalesce(unit, F.lit("1")).isin(*("1" if u is None else u for u in allowed))
 
 
-def one_of(value: Column, listed: list[str]) -> Column:
-    return F.coalesce(~value.isin(*listed), F.lit(False))
+def one_of(item: Column, listed: list[str]) -> Column:
+    return F.coalesce(~item.isin(*listed), F.lit(False)) if listed else item.isNotNull()
 
 
-def none_of(value: Column, listed: list[str]) -> Column:
-    return F.coalesce(value.isin(*listed), F.lit(False))
+def none_of(item: Column, listed: list[str]) -> Column:
+    return F.coalesce(item.isin(*listed), F.lit(False)) if listed else F.lit(False)
 
 
-def format_(value: Column, pattern: str) -> Column:
-    """A pattern that doesn't compile is met by all values."""
+def java_pattern(pattern: str) -> str | None:
+    """The pattern as Java's regular expressions read it, with named groups spelt their way; None if it doesn't compile there."""
+    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    jvm = SparkSession.active()._jvm
     try:
-        re.compile(pattern)
-    except re.error:
-        return F.lit(False)
-    return F.coalesce(~value.rlike(rf"(?d)^(?:{pattern})\z"), F.lit(False))
+        jvm.java.util.regex.Pattern.compile(f"(?d)^(?:{named})\\z")
+    except IllegalArgumentException:
+        return None
+    return named
+
+
+def format_(text: Column, pattern: str) -> Column:
+    """A pattern that doesn't compile is met by all values."""
+    named = java_pattern(pattern)
+    return F.lit(False) if named is None else F.coalesce(~text.rlike(rf"(?d)^(?:{named})\z"), F.lit(False))
 
 
 def integer(amount: Column) -> Column:
@@ -112,21 +125,23 @@ def single_best_value(rows: DataFrame, claims: DataFrame) -> DataFrame:
     return _ranks(rows, claims).where("_normal AND NOT _preferred").select("row_id")
 
 
+def _having(claims: DataFrame, prop: str, values: list[str] | None) -> DataFrame:
+    """Statements of a property, of any rank, with one of the values if there are any."""
+    have = claims.where(F.col("property") == prop)
+    return have.where(F.col("item_value").isin(*values)) if values else have
+
+
 def item_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None) -> DataFrame:
-    have = claims.where(F.col("property") == required)
-    have = have.where((F.col("rank") != "deprecated") & F.col("item_value").isin(*values)) if values else have
-    return rows.join(have, "item", "left_anti").select("row_id")
+    return rows.join(_having(claims, required, values), "item", "left_anti").select("row_id")
 
 
 def conflicts_with(rows: DataFrame, claims: DataFrame, other: str, values: list[str] | None = None) -> DataFrame:
-    have = claims.where(F.col("property") == other)
-    have = have.where(F.col("item_value").isin(*values)) if values else have
-    return rows.join(have, "item", "left_semi").select("row_id")
+    return rows.join(_having(claims, other, values), "item", "left_semi").select("row_id")
 
 
 def declared_conflicts(rows: DataFrame, claims: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Conflicts that properties on the item declare with ours. conflicts: property, with_property, with_value (null: any)."""
-    mine = rows.join(conflicts, (rows["property"] == conflicts["with_property"]) & (conflicts["with_value"].isNull() | (rows["value"] == conflicts["with_value"])))
+    """Conflicts that properties on the item declare with ours. conflicts: property, with_property, with_value (an item; null: any)."""
+    mine = rows.join(conflicts, (rows["property"] == conflicts["with_property"]) & (conflicts["with_value"].isNull() | (rows["v_item"] == conflicts["with_value"])))
     mine = mine.select("row_id", "item", conflicts["property"].alias("_declares"))
     have = claims.select(F.col("item").alias("_item"), F.col("property").alias("_has")).distinct()
     return mine.join(have, (F.col("item") == F.col("_item")) & (F.col("_declares") == F.col("_has")), "left_semi").select("row_id").distinct()
@@ -135,50 +150,178 @@ def declared_conflicts(rows: DataFrame, claims: DataFrame, conflicts: DataFrame)
 # rules on other items
 
 
+def truthy(claims: DataFrame) -> DataFrame:
+    """Statements of the best rank that their item and property have, without deprecated ones."""
+    top = F.max(F.col("rank") == "preferred").over(Window.partitionBy("item", "property"))
+    return claims.where("rank <> 'deprecated'").withColumn("_top", top).where("NOT _top OR rank = 'preferred'").drop("_top")
+
+
 def distinct_values(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """Another item has the value. Holders are reduced to their least and greatest per value, so a frequent value joins as one row."""
-    holders = claims.groupBy("property", F.col("item_value").alias("value")).agg(F.min("item").alias("_a"), F.max("item").alias("_b"))
-    return rows.join(holders, ["property", "value"]).where("_a <> item OR _b <> item").select("row_id")
+    """Another item has the value, an item or a text. Holders are reduced to their least and greatest per value, so a frequent value joins as one row."""
+    kinds = [("v_item", "item_value"), ("v_text", "text_value")]
+    held = claims.select("item", "property", F.explode(F.array(*(F.struct(F.lit(v).alias("kind"), F.col(c).cast("string").alias("value")) for v, c in kinds))).alias("h")).where("h.value IS NOT NULL")
+    holders = held.groupBy(F.col("property").alias("_property"), "h").agg(F.min("item").alias("_a"), F.max("item").alias("_b"))
+    mine = rows.select("row_id", "item", "property", F.when(F.col("v_item").isNotNull(), F.struct(F.lit("v_item").alias("kind"), F.col("v_item").alias("value"))).when(F.col("v_text").isNotNull(), F.struct(F.lit("v_text").alias("kind"), F.col("v_text").alias("value"))).alias("_mine"))
+    return mine.where("_mine IS NOT NULL").join(holders, (F.col("property") == F.col("_property")) & (F.col("_mine") == F.col("h"))).where("_a <> item OR _b <> item").select("row_id")
 
 
 def inverse(rows: DataFrame, claims: DataFrame, inverse_property: str | None = None) -> DataFrame:
-    """The value's item doesn't point back, by the inverse property (symmetric: the same one)."""
-    back = claims.select(F.col("item").alias("_value"), F.col("property").alias("_property"), F.col("item_value").alias("_item")).distinct()
+    """The value's item doesn't point back, by the inverse property (symmetric: the same one), in a statement of its best rank."""
+    back = truthy(claims.where(F.col("property") == inverse_property) if inverse_property else claims).select(F.col("item").alias("_value"), F.col("property").alias("_property"), F.col("item_value").alias("_item")).distinct()
     wanted = F.lit(inverse_property) if inverse_property else rows["property"]
-    same = (rows["value"] == back["_value"]) & (back["_property"] == wanted) & (rows["item"] == back["_item"])
-    return rows.where("value LIKE 'Q%'").join(back, same, "left_anti").select("row_id")
+    same = (rows["v_item"] == back["_value"]) & (back["_property"] == wanted) & (rows["item"] == back["_item"])
+    return rows.where("v_item IS NOT NULL").join(back, same, "left_anti").select("row_id")
 
 
 def value_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None) -> DataFrame:
-    have = claims.where(F.col("property") == required)
-    have = (have.where(F.col("item_value").isin(*values)) if values else have).select(F.col("item").alias("_value"))
-    return rows.where("value LIKE 'Q%'").join(have, F.col("value") == F.col("_value"), "left_anti").select("row_id")
+    have = _having(truthy(claims.where(F.col("property") == required)), required, values).select(F.col("item").alias("_value"))
+    return rows.where("v_item IS NOT NULL").join(have, F.col("v_item") == F.col("_value"), "left_anti").select("row_id")
 
 
 def type_(rows: DataFrame, claims: DataFrame, subclass: DataFrame, classes: list[str], relation: tuple[str, ...] = ("P31",), of: str = "item") -> DataFrame:
-    """The item (or, for value type, the value) is in none of the classes; no class is no limit."""
+    """The item (or, for value type, the value's item: of "v_item") is in none of the classes; no class is no limit."""
     if not classes:
         return rows.select("row_id").limit(0)
-    asked = rows if of == "item" else rows.where("value LIKE 'Q%'")
+    asked = rows.where(F.col(of).isNotNull())
     fine = in_classes(asked.select(F.col(of).alias("item")).distinct(), claims, subclass, classes, relation)
     return asked.join(fine.select(F.col("item").alias("_fine")), F.col(of) == F.col("_fine"), "left_anti").select("row_id")
 
 
 def commons_link(rows: DataFrame, pages: DataFrame, namespace: str | None = None) -> DataFrame:
-    """No page of the name. pages: namespace, title."""
+    """A text value without a page of its name. pages: namespace, title."""
     there = pages.where(F.col("namespace") == (namespace or "")).select(F.col("title").alias("_title"))
-    return rows.join(there, F.col("value") == F.col("_title"), "left_anti").select("row_id")
+    return rows.where("v_text IS NOT NULL").join(there, F.col("v_text") == F.col("_title"), "left_anti").select("row_id")
+
 
+def first_violation(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    """rows with `violation`: the first violated rule in the order of definition. Local rules are columns; the others join once each.
 
-def first_violation(rows: DataFrame, rules: list[tuple[str, Column | DataFrame]], exceptions: dict[str, list[str]] | None = None) -> DataFrame:
-    """rows with `violation`: the first violated rule in the order of definition. Local rules are columns; the others join once each."""
+    rules: (name, condition or violating row ids, items that are spared (optional)).
+    """
     out, tests = rows, []
-    for i, (name, rule) in enumerate(rules):
-        spared = F.col("item").isin(*(exceptions or {}).get(name, [])) if (exceptions or {}).get(name) else F.lit(False)
+    for i, (name, rule, *spare) in enumerate(rules):
+        spared = F.col("item").isin(*spare[0]) if spare and spare[0] else F.lit(False)
         if isinstance(rule, DataFrame):
             found = rule.select(F.col("row_id").alias(f"_id{i}")).distinct()
             out = out.join(found, out["row_id"] == found[f"_id{i}"], "left")
             tests.append(F.when(F.col(f"_id{i}").isNotNull() & ~spared, F.lit(name)))
         else:
             tests.append(F.when(rule & ~spared, F.lit(name)))
+    if not tests:
+        return rows.withColumn("violation", F.lit(None).cast("string"))
     return out.withColumn("violation", F.coalesce(*tests)).select(*rows.columns, "violation")
+
+
+# from definitions to rules
+
+# Qualifiers of a constraint, and the items that name a relation.
+ITEMS, PROPERTIES, PATTERN, CLASSES, RELATION, SCOPES, EXCEPTIONS, NAMESPACE = "P2305", "P2306", "P1793", "P2308", "P2309", "P5314", "P2303", "P2307"
+LOW_DATE, HIGH_DATE, HIGH_AMOUNT, LOW_AMOUNT = "P2310", "P2311", "P2312", "P2313"
+SUBCLASS_ONLY, EITHER = "Q21514624", "Q30208840"
+
+
+@dataclass(frozen=True)
+class Definition:
+    """One constraint of a property. qualifiers: property to its values; a value is a text (id, string, amount, time), None for no value, NOW for an unknown one."""
+
+    kind: str
+    status: str = "normal"
+    qualifiers: dict[str, list[str | None]] = field(default_factory=dict)
+
+    def ids(self, prop: str, letter: str = "Q") -> list[str]:
+        return [v for v in self.qualifiers.get(prop, []) if v and re.fullmatch(rf"{letter}[0-9]+", v)]
+
+    def first(self, prop: str) -> str | None:
+        return next(iter(self.qualifiers.get(prop, [])), None)
+
+
+NOW = "unknown value"
+
+
+@dataclass
+class World:
+    """What rules that join read. classes: item, property, item_value (defaults to claims); subclass: child, parent; pages: namespace, title; conflicts: see declared_conflicts."""
+
+    claims: DataFrame
+    classes: DataFrame | None = None
+    subclass: DataFrame | None = None
+    pages: DataFrame | None = None
+    conflicts: DataFrame | None = None
+    today: datetime.date | None = None
+
+
+def _date(text: str | None, today: datetime.date | None) -> tuple[int, int, int] | None:
+    """(year, month, day) of a bound as it is stored, 0 for unknown; an unknown value stands for today."""
+    if text == NOW:
+        now = today or datetime.datetime.now(datetime.UTC).date()
+        return now.year, now.month, now.day
+    m = re.match(r"\+([0-9]+)-([0-9]+)-([0-9]+)", text or "")
+    return (int(m[1]), int(m[2]), int(m[3])) if m else None
+
+
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text) if text is not None and text != NOW else None
+    except ValueError:
+        return None
+
+
+def _range(d: Definition, w: World) -> Column:
+    low, high = _date(d.first(LOW_DATE), w.today), _date(d.first(HIGH_DATE), w.today)
+    return amount_range(F.col("v_amount"), _number(d.first(LOW_AMOUNT)), _number(d.first(HIGH_AMOUNT))) | date_range(F.col("v_date"), low, high)
+
+
+def _conflicts(d: Definition, r: DataFrame, w: World) -> DataFrame | Column:
+    other = next(iter(d.ids(PROPERTIES, "P")), None)
+    parts = [conflicts_with(r, w.claims, other, d.ids(ITEMS))] if other else []
+    parts += [declared_conflicts(r, w.claims, w.conflicts)] if w.conflicts is not None else []
+    return parts[0].union(parts[1]) if len(parts) > 1 else parts[0] if parts else F.lit(False)
+
+
+def _typed(d: Definition, r: DataFrame, w: World, of: str) -> DataFrame:
+    relation = {SUBCLASS_ONLY: ("P279",), EITHER: ("P31", "P279")}.get(next(iter(d.ids(RELATION)), ""), ("P31",))
+    return type_(r, w.classes if w.classes is not None else w.claims, w.subclass, d.ids(CLASSES), relation, of)
+
+
+def _with_property(d: Definition, build: Callable) -> DataFrame | Column:
+    """A rule that needs a property in its definition is never violated without one."""
+    prop = next(iter(d.ids(PROPERTIES, "P")), None)
+    return F.lit(False) if prop is None else build(prop)
+
+
+#: What each kind makes of (definition, rows, world).
+BUILD: dict[str, Callable] = {
+    "allowed entity types": lambda d, r, w: allowed_entity_types(d.ids(ITEMS)),
+    "allowed qualifiers": lambda d, r, w: allowed_qualifiers(F.col("used"), d.ids(PROPERTIES, "P")),
+    "allowed units": lambda d, r, w: allowed_units(F.col("v_amount"), F.col("v_unit"), d.qualifiers.get(ITEMS, [])),
+    "citation needed": lambda d, r, w: never(),
+    "Commons link": lambda d, r, w: commons_link(r, w.pages, d.first(NAMESPACE)),
+    "conflicts with": _conflicts,
+    "distinct values": lambda d, r, w: distinct_values(r, w.claims),
+    "format": lambda d, r, w: format_(F.col("v_text"), d.first(PATTERN)) if d.first(PATTERN) is not None else F.lit(False),
+    "integer": lambda d, r, w: integer(F.col("v_amount")),
+    "inverse": lambda d, r, w: _with_property(d, lambda p: inverse(r, w.claims, p)),
+    "item requires statement": lambda d, r, w: _with_property(d, lambda p: item_requires_statement(r, w.claims, p, d.ids(ITEMS))),
+    "mandatory qualifier": lambda d, r, w: mandatory_qualifier(F.col("used"), d.ids(PROPERTIES, "P")),
+    "no bounds": lambda d, r, w: never(),
+    "none of": lambda d, r, w: none_of(F.col("v_item"), d.ids(ITEMS)),
+    "one of": lambda d, r, w: one_of(F.col("v_item"), d.ids(ITEMS)),
+    "property scope": lambda d, r, w: property_scope(d.ids(SCOPES)),
+    "range": lambda d, r, w: _range(d, w),
+    "single value": lambda d, r, w: single_value(r, w.claims),
+    "single best value": lambda d, r, w: single_best_value(r, w.claims),
+    "symmetric": lambda d, r, w: inverse(r, w.claims),
+    "type": lambda d, r, w: _typed(d, r, w, "item"),
+    "value requires statement": lambda d, r, w: _with_property(d, lambda p: value_requires_statement(r, w.claims, p, d.ids(ITEMS))),
+    "value type": lambda d, r, w: _typed(d, r, w, "v_item"),
+}
+
+
+def selected(definitions: list[Definition], chosen: tuple[str, ...] | None = None) -> list[Definition]:
+    """Those of known kinds that are mandatory, or normal and chosen (None: all normal ones); suggestions are not checked."""
+    return [d for d in definitions if d.kind in NAMES and (d.status == "mandatory" or d.status == "normal" and (chosen is None or d.kind in chosen))]
+
+
+def rules(definitions: list[Definition], rows: DataFrame, world: World) -> list[tuple]:
+    """What first_violation takes, in the order of definition; kinds that aren't known are left out."""
+    return [(NAMES[d.kind], BUILD[NAMES[d.kind]](d, rows, world), d.ids(EXCEPTIONS)) for d in definitions if d.kind in NAMES]

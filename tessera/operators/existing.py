@@ -11,11 +11,12 @@ from tessera.functions.text import mentions
 def already_there(rows: DataFrame, claims: DataFrame, same, any_value: bool = False) -> DataFrame:
     """rows (row_id, item, property, ...) with skip: the value's message first, then, if any_value, the property's.
 
-    same: a condition over row and claim columns (the claim's are prefixed c_); one join on (item, property) and one aggregation.
+    same: a condition over row and claim columns (the claim's are prefixed c_). A deprecated statement doesn't count for the value, but for the
+    property; one join on (item, property) and one aggregation.
     """
     known = claims.select(*(F.col(c).alias(f"c_{c}") for c in claims.columns))
     met = rows.join(known, (rows["item"] == known["c_item"]) & (rows["property"] == known["c_property"]))
-    flags = met.groupBy("row_id").agg(F.max(F.coalesce(same, F.lit(False))).alias("_value"))
+    flags = met.groupBy("row_id").agg(F.max(F.coalesce(same & (F.col("c_rank") != "deprecated"), F.lit(False))).alias("_value"))
     skip = F.when(F.col("_value"), F.lit("the item already has this value"))
     if any_value:
         skip = F.coalesce(skip, F.when(F.col("_value").isNotNull(), F.lit("the item already has the property")))
@@ -26,6 +27,6 @@ def removed_before(rows: DataFrame, history: DataFrame, latest: int = 500) -> Da
     """rows (item, property, value) whose value one of the item's `latest` summaries says was removed."""
     recent = history.join(rows.select("item").distinct(), "item", "left_semi")
     recent = recent.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("rev")))).where(F.col("_n") <= latest)
-    removals = recent.where(F.col("comment").contains("wbremoveclaims")).select(F.col("item").alias("_item"), "comment")
+    removals = recent.where(F.col("comment").contains("wbremoveclaims-remove")).select(F.col("item").alias("_item"), "comment")
     needle = F.concat(F.lit("[[Property:"), F.col("property"), F.lit("]]: "), F.col("value"))
     return rows.join(removals, (rows["item"] == removals["_item"]) & mentions(F.col("comment"), needle), "left_semi")

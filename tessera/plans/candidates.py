@@ -44,9 +44,10 @@ class Filters:
 
 
 def _marked(pages: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
-    """pages with a flag: is the key among keys? One left join, no row is lost or repeated."""
-    known = keys.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct().withColumn(flag, F.lit(True))
-    return pages.join(known, pages[key] == known["_key"], "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_key")
+    """pages with a flag: is the key among keys? One left join, no row is lost or repeated. Pages without a key are spread by their page id, not sent to one task."""
+    known = keys.select(F.col(key).cast("string").alias("_key")).where("_key IS NOT NULL").distinct().withColumn(flag, F.lit(True))
+    asked = pages.withColumn("_of", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.col("page_id").cast("string"))))
+    return asked.join(known, F.col("_of") == F.col("_key"), "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_key", "_of")
 
 
 def cascade(pages: DataFrame, filters: Filters) -> DataFrame:

@@ -1,8 +1,9 @@
-"""From candidate pages to outcomes: extract, parse, check, and plan the statement, as one lazy plan.
+"""From candidate pages to outcomes: extract, parse, check, and plan the statement.
 
 No row is dropped. A row keeps its raw value, its value, a status (ready, skipped, error) and the message of the first step that
 rejected it. The specification is constant, so the branch for its datatype is chosen while the plan is built, and only the lookups that
-this datatype needs are joined.
+this datatype needs are joined. Pages are read once: markup is evaluated, texts are dropped, and the narrow typed rows are checkpointed before they
+meet claims, constraints and history, so that no later join carries a text or repeats the Python part.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from tessera.functions import numbers as N
 from tessera.functions import text as T
 from tessera.functions import wikitext as W
 from tessera.operators import constraints, existing
+from tessera.sources import lookups
 
 from .job import JobSpec, for_extra
+from .lineage import checkpointed
 
 SKIPS = ("the page has no Wikidata item", "template not found", "no value", "the item already has this value", "the item already has the property", "a link to an archived copy", "this value was removed from the item before")
 
 
 @dataclass
 class Catalog:
-    """What lookups read. claims: item, property, rank, item_value, text_value, amount, unit, year, month, day, latitude, longitude."""
+    """What lookups read. claims: item, property, rank, item_value, text_value, amount, unit, year, month, day, latitude, longitude, and
+    precision (of the date; null or missing: a day)."""
 
     claims: DataFrame
     #: title, item (null: the page has none)
@@ -39,10 +43,18 @@ class Catalog:
     file_prefixes: tuple[str, ...] = ("File", "Image")
     months: dict[str, int] = field(default_factory=lambda: N.abbreviated(N.ENGLISH))
     host: str = "en.wikipedia.org"
-    edition: str = "Q328"
-
-
-def _extracted(rows: DataFrame, spec: JobSpec, catalog: Catalog) -> DataFrame:
+    dbname: str = "enwiki"
+    language: str = "en"
+    edition: str | None = "Q328"
+    #: names of namespaces by number
+    namespaces: dict[int, str] = field(default_factory=dict)
+    #: another parser's answers: text, language, year, month, day, precision
+    dates: DataFrame | None = None
+    #: what rules that join read besides claims
+    world: constraints.World | None = None
+
+
+def _extracted(rows: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog) -> DataFrame:
     """rows with params and parts (array of cleaned texts; one but for dates and coordinates in parts), raw_value for display."""
     clean = lambda c: W.clean_value(c, spec.unwrap_templates)
     text = W.lead_section(F.col("text")) if spec.lead_only else F.col("text")
@@ -50,15 +62,19 @@ def _extracted(rows: DataFrame, spec: JobSpec, catalog: Catalog) -> DataFrame:
     rows = rows.withColumn("params", W.template_params(text, names, catalog.prefixes) if names else F.lit(None).cast("map<string,string>"))
     p = F.col("params")
     if spec.use_page_title:
-        parts = [F.col("title")]
+        space = catalog.namespaces.get(spec.namespace)
+        parts = [F.regexp_replace("title", rf"^\Q{space}:\E", "") if space else F.col("title")]
     elif spec.date_parameters:
         parts = [clean(W.first_of(p, [n])) if n else F.lit(None).cast("string") for n in spec.date_parameters]
     elif spec.coordinate_parameters:
-        parts = [clean(W.first_of(p, [n])) for n in spec.coordinate_parameters]
+        parts = [W.first_of(p, [n]) for n in spec.coordinate_parameters]
     elif spec.value_pattern:
         parts = [W.value_pattern(p, spec.value_pattern, clean)]
     else:
         parts = [W.first_of(p, list(spec.parameters))]
+        if datatype == "globe-coordinate":  # an unnamed parameter brings the unnamed ones after it along
+            run = lambda n: F.array_join(W.up_to(W.unnamed_run(p, n), lambda v: v.isNull()), " ")
+            parts = [F.coalesce(*(F.when(W.first_of(p, [n]).isNotNull(), run(n.strip()) if n.strip().isdigit() else W.first_of(p, [n])) for n in spec.parameters))]
     rows = rows.withColumns({f"part{i}": c for i, c in enumerate(parts)}).withColumn("parts", F.lit(len(parts)))
     return rows.withColumn("raw_value", F.concat_ws(" / ", *(F.col(f"part{i}") for i in range(len(parts))))).withColumn("raw_value", F.nullif("raw_value", F.lit("")))
 
@@ -67,10 +83,11 @@ def _parsed(rows: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog) ->
     """rows with value (display text), typed columns and parse_error."""
     none = lambda kind: F.lit(None).cast(kind)
     single = not (spec.date_parameters or spec.coordinate_parameters)
-    if single and datatype != "globe-coordinate":
-        rows = rows.withColumn("part0", W.clean_value(F.col("part0"), spec.unwrap_templates) if not (spec.use_page_title or spec.value_pattern) else F.col("part0"))
+    if single:
+        raw = datatype == "globe-coordinate" or spec.use_page_title or spec.value_pattern
+        rows = rows.withColumn("part0", F.col("part0") if raw else W.clean_value(F.col("part0"), spec.unwrap_templates))
         shaped = T.transform(F.col("part0"), spec.add_prefix, spec.add_suffix, spec.remove_prefix, spec.remove_suffix, spec.search, spec.replacement, spec.case)
-        rows = rows.withColumn("part0", F.when(F.col("part0") != "", shaped))
+        rows = rows.withColumn("part0", F.when(F.col("part0") != "", F.trim(shaped)))
     text = F.col("part0")
     typed = {"v_item": none("string"), "v_text": none("string"), "v_amount": none("string"), "v_unit": none("string"), "v_date": none(N.DATE), "v_place": none("struct<latitude:double,longitude:double,precision:double>"), "parse_error": none("string")}
     if datatype == "wikibase-item":
@@ -90,13 +107,15 @@ def _parsed(rows: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog) ->
         typed |= {"v_text": found["value"], "parse_error": found["rejection"]}
     elif datatype == "commonsMedia":
         rows = rows.withColumn("_file", T.file_name(text, catalog.file_prefixes)).join(catalog.files.select(F.col("name").alias("_file"), "shared"), "_file", "left")
-        typed |= {"v_text": F.col("_file"), "parse_error": F.when(F.col("_file").isNull(), "not a file name").when(F.col("shared").isNull(), "the file does not exist").when(~F.col("shared"), "the file is local")}
+        typed |= {"v_text": F.col("_file"), "parse_error": F.when(F.col("_file").isNull(), "not a file name").when(F.col("shared").isNull(), "the file does not exist").when(~F.col("shared"), f"the file is only on {catalog.dbname}, not on Commons")}
     elif datatype == "time":
         if spec.date_parameters:
             date = N.date_from_parts(F.col("part0"), F.col("part1"), F.col("part2"), catalog.months, spec.julian)
             rows = rows.withColumn("_d", F.struct(date.alias("date"), F.when(F.trim(F.coalesce("part0", F.lit(""))).rlike(r"^[+-]?[0-9]+\z"), F.when(date.isNull(), "invalid date")).otherwise("could not find a date").alias("error")))
         else:
             rows = rows.withColumn("_d", N.parse_date(text, catalog.months, spec.julian))
+            if catalog.dates is not None:
+                rows = _helped(rows, text, catalog)
         outside = F.lit(False) if spec.date_limit is None else ~N.within_limit(F.col("_d.date"), spec.date_limit, not spec.limit_before)
         typed |= {"v_date": F.col("_d.date"), "parse_error": F.coalesce("_d.error", F.when(outside, "date outside the configured range"))}
     elif datatype == "quantity":
@@ -111,25 +130,59 @@ def _parsed(rows: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog) ->
             "parse_error": F.when(N.amount(F.col("_q.number"), spec.decimal_comma).isNull(), "unclear number").when(F.col("_q.unit").isNotNull() & F.col("_unit").isNull(), F.concat(F.lit("unknown unit '"), F.col("_q.unit"), F.lit("'"))),
         }
     else:
-        place = N.coordinate_from_parts(F.col("part0"), F.col("part1")) if spec.coordinate_parameters else N.parse_coordinate(F.coalesce(W.coordinate_params(F.col("part0"), prefixes=catalog.prefixes), W.clean_value(F.col("part0"))))
+        place = N.coordinate_from_parts(W.clean_value(F.col("part0")), W.clean_value(F.col("part1"))) if spec.coordinate_parameters else N.parse_coordinate(F.coalesce(W.coordinate_params(F.col("part0"), prefixes=catalog.prefixes), W.clean_value(F.col("part0"))))
         rows = rows.withColumn("_c", place)
         typed |= {"v_place": F.col("_c"), "parse_error": F.when(F.col("_c").isNull(), "could not find a coordinate")}
     rows = rows.withColumns(typed)
     helpers = ("_link", "_target", "_there", "_file", "shared", "_d", "_q", "_u", "_unit", "_c")
-    shown = F.coalesce("v_item", "v_text", N.shown_date(F.col("v_date")), F.concat_ws(" ", "v_amount", "v_unit") if datatype == "quantity" else none("string"), F.concat_ws(", ", F.round("v_place.latitude", 6).cast("string"), F.round("v_place.longitude", 6).cast("string")) if datatype == "globe-coordinate" else none("string"))
-    return rows.withColumn("value", F.when(F.col("parse_error").isNull(), shown)).drop(*helpers)
+    return rows.withColumn("value", F.when(F.col("parse_error").isNull(), _shown(datatype, spec))).drop(*helpers)
+
+
+def _helped(rows: DataFrame, text: Column, catalog: Catalog) -> DataFrame:
+    """_d with another parser's date where ours found none, or only a year in a text that says more, if it agrees on the year."""
+    asked = rows.withColumn("_said", text).withColumn("_lang", F.lit(catalog.language))
+    good = lookups.external_dates(asked.select(F.col("_said").alias("text"), F.col("_lang").alias("language")).distinct(), catalog.dates)
+    known = good.where("external IS NOT NULL").select(F.col("text").alias("_of"), "external")
+    met = asked.join(known, F.col("_said") == F.col("_of"), "left")
+    d, other = F.col("_d"), F.col("external")
+    more = (N.precision(d["date"]) == 9) & ~F.trim(text).rlike(r"^[0-9]*\z") & (other["year"] == d["date"]["year"]) & (N.precision(other) > 9)
+    use = other.isNotNull() & ((d["error"] == "could not find a date") | F.coalesce(more, F.lit(False)))
+    return met.withColumn("_d", F.when(use, F.struct(other.cast(N.DATE).alias("date"), F.lit(None).cast("string").alias("error"))).otherwise(d)).drop("_said", "_lang", "_of", "external")
+
+
+def _shown(datatype: str, spec: JobSpec, prefix: str = "") -> Column:
+    """How a value is shown: dates with their calendar if it isn't the usual one, texts with their language, coordinates as precise as they are."""
+    c = lambda name: F.col(f"{prefix}{name}")
+    if datatype == "time":
+        return F.concat(N.shown_date(c("v_date")), F.lit(" (Julian)" if spec.julian else ""))
+    if datatype == "quantity":
+        return F.when(c("v_amount").isNotNull(), F.concat_ws(" ", c("v_amount"), c("v_unit")))
+    if datatype == "monolingualtext":
+        return F.concat(c("v_text"), F.lit(f" ({spec.language})"))
+    if datatype == "globe-coordinate":
+        digits = F.least(F.greatest(F.ceil(-F.log10(c("v_place")["precision"])), F.lit(0)), F.lit(9)).cast("int")
+        sized = lambda part: F.coalesce(*(F.when(digits == k, F.format_string(f"%.{k}f", c("v_place")[part])) for k in range(10)))
+        return F.when(c("v_place").isNotNull(), F.concat_ws(", ", sized("latitude"), sized("longitude")))
+    return F.coalesce(c("v_item"), c("v_text"))
 
 
 TYPED = ("v_item", "v_text", "v_amount", "v_unit", "v_date", "v_place", "parse_error", "value")
 
 
+def _qualifier_texts(rows: DataFrame, spec: JobSpec) -> DataFrame:
+    """rows with q0_raw, q1_raw, ...: what each qualifier is read from; null leaves the qualifier out."""
+    raw = {f"q{i}_raw": F.lit(text) if kind == "fixed" else W.first_of(F.col("params"), text.split(",")) for i, (_, kind, text) in enumerate(spec.qualifiers)}
+    return rows.withColumns(raw) if raw else rows
+
+
 def _qualified(rows: DataFrame, spec: JobSpec, datatypes: dict[str, str], catalog: Catalog) -> DataFrame:
-    """rows with the typed columns of each qualifier, prefixed q0_, q1_, ...; a parameter without a value leaves the qualifier out."""
+    """rows with the typed columns of each qualifier, prefixed q0_, q1_, ..."""
     for i, (prop, kind, text) in enumerate(spec.qualifiers):
-        datatype = datatypes[prop]
-        own = JobSpec(property=prop, parameters=("fixed",), date_limit=None, archive_urls=spec.archive_urls, decimal_comma=spec.decimal_comma and kind == "param", language=spec.language, julian=spec.julian)
-        raw = F.lit(text) if kind == "fixed" else W.first_of(F.col("params"), text.split(","))
-        asked = rows.withColumn("part0", raw)
+        datatype, language = datatypes[prop], spec.language
+        if kind == "fixed" and datatype == "monolingualtext":  # written as text@language
+            text, _, language = text.rpartition("@")
+        own = JobSpec(property=prop, parameters=("fixed",), use_page_title=kind == "fixed", date_limit=spec.date_limit if kind == "param" else None, archive_urls=spec.archive_urls, decimal_comma=spec.decimal_comma and kind == "param", language=language, julian=spec.julian, unwrap_templates=spec.unwrap_templates)
+        asked = rows.withColumn("part0", F.lit(text) if kind == "fixed" else F.col(f"q{i}_raw"))
         if kind == "fixed" and datatype == "wikibase-item":
             asked = asked.withColumns({c: F.lit(None).cast("string") for c in ("v_text", "v_amount", "v_unit", "parse_error")} | {"v_item": F.lit(text), "value": F.lit(text), "v_date": F.lit(None).cast(N.DATE), "v_place": F.lit(None).cast("struct<latitude:double,longitude:double,precision:double>")})
         else:
@@ -144,7 +197,9 @@ def _same(datatype: str) -> Column:
     if datatype == "wikibase-item":
         return F.col("v_item") == F.col("c_item_value")
     if datatype == "time":
-        return N.same_date(F.col("v_date"), F.struct(F.col("c_year").alias("year"), F.col("c_month").alias("month"), F.col("c_day").alias("day")))
+        fine = F.coalesce("c_precision", F.lit(11))
+        known = F.struct(F.col("c_year").alias("year"), F.when(fine >= 10, F.col("c_month")).otherwise(0).alias("month"), F.when(fine >= 11, F.col("c_day")).otherwise(0).alias("day"))
+        return N.same_date(F.col("v_date"), known)
     if datatype == "quantity":
         return N.same_amount(F.col("v_amount"), F.col("c_amount"))
     if datatype == "globe-coordinate":
@@ -178,18 +233,18 @@ def _as_snak(prop: str, datatype: str, value: Column, kind: str) -> Column:
 
 def statement_json(spec: JobSpec, datatype: str, catalog: Catalog, datatypes: dict[str, str]) -> Column:
     """The statement to be written, with its qualifiers and its reference: where it was read, and the revision."""
-    edition = F.struct(F.lit("item").alias("entity-type"), F.lit(int(catalog.edition[1:])).alias("numeric-id"), F.lit(catalog.edition).alias("id"))
     link = T.permalink(F.lit(catalog.host), F.col("title"), F.col("revision_id"))
-    reference = F.struct(
-        F.struct(F.array(_as_snak("P143", "wikibase-item", edition, "wikibase-entityid")).alias("P143"), F.array(_as_snak("P4656", "url", link, "string")).alias("P4656")).alias("snaks"),
-        F.array(F.lit("P143"), F.lit("P4656")).alias("snaks-order"),
-    )
+    snaks = {"P4656": _as_snak("P4656", "url", link, "string")}
+    if catalog.edition is not None:
+        edition = F.struct(F.lit("item").alias("entity-type"), F.lit(int(catalog.edition[1:])).alias("numeric-id"), F.lit(catalog.edition).alias("id"))
+        snaks = {"P143": _as_snak("P143", "wikibase-item", edition, "wikibase-entityid")} | snaks
+    reference = F.struct(F.struct(*(F.array(c).alias(p) for p, c in snaks.items())).alias("snaks"), F.array(*map(F.lit, snaks)).alias("snaks-order"))
     extra = []
     if spec.qualifiers:
-        snaks: dict[str, list[Column]] = {}
+        listed: dict[str, list[Column]] = {}
         for i, (prop, _, _) in enumerate(spec.qualifiers):
-            snaks.setdefault(prop, []).append(F.when(F.col(f"q{i}_value").isNotNull(), _snak(prop, datatypes[prop], spec.language, spec.julian, f"q{i}_")))
-        lists = {p: F.array_compact(F.array(*cs)) for p, cs in snaks.items()}
+            listed.setdefault(prop, []).append(F.when(F.col(f"q{i}_value").isNotNull(), _snak(prop, datatypes[prop], spec.language, spec.julian, f"q{i}_")))
+        lists = {p: F.array_compact(F.array(*cs)) for p, cs in listed.items()}
         used = F.array_compact(F.array(*(F.when(F.size(v) > 0, F.lit(p)) for p, v in lists.items())))
         # to_json leaves nulls out, so only qualifiers with values are named
         extra = [F.when(F.size(used) > 0, F.struct(*(F.when(F.size(v) > 0, v).alias(p) for p, v in lists.items()))).alias("qualifiers"), F.when(F.size(used) > 0, used).alias("qualifiers-order")]
@@ -204,41 +259,71 @@ def _empty(spec: JobSpec, datatype: str) -> Column:
     return empty | lost
 
 
-def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog, rules: list[tuple[str, object]] = (), datatypes: dict[str, str] | None = None) -> DataFrame:
-    """pages (page_id, title, item), revisions (page_id, revision_id, text) -> one outcome per page.
+def summary_text(datatype: str, spec: JobSpec) -> Column:
+    """How an edit summary writes the value; null where its form isn't known."""
+    if datatype == "wikibase-item":
+        return F.concat(F.lit("[["), F.col("v_item"), F.lit("]]"))
+    if datatype == "time":
+        month = F.element_at(F.array(*(F.lit(m.capitalize()) for m in N.ENGLISH)), F.greatest(F.col("v_date.month"), F.lit(1)))
+        year = F.col("v_date.year").cast("string")
+        return F.lit(None).cast("string") if spec.julian else F.when(F.col("v_date.month") == 0, year).when(F.col("v_date.day") == 0, F.concat_ws(" ", month, year)).otherwise(F.concat_ws(" ", F.col("v_date.day").cast("string"), month, year))
+    return F.lit(None).cast("string") if datatype in ("quantity", "globe-coordinate") else F.col("v_text")
 
-    datatypes: those of the qualifiers' properties.
 
-    rules: (name, f) in the order of definition; f takes (rows, claims) and gives a condition or the violating row ids.
-    """
-    rows = pages.join(revisions, "page_id", "left").withColumn("row_id", F.col("page_id")).withColumn("property", F.lit(spec.property))
-    rows = _parsed(_extracted(rows, spec, catalog), spec, datatype, catalog).withColumn("_empty", _empty(spec, datatype))
-    main = rows.select("row_id", *TYPED)
+def typed_rows(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog, datatypes: dict[str, str] | None = None) -> DataFrame:
+    """The pages, read once: one narrow checkpointed row each, with typed values and the message of the first step of reading that rejected it."""
+    rows = pages.join(revisions, "page_id", "left").withColumn("property", F.lit(spec.property))
+    rows = _qualifier_texts(_extracted(rows, spec, datatype, catalog), spec)
+    early = F.coalesce(
+        F.when(F.col("item").isNull(), SKIPS[0]), F.when(F.col("text").isNull(), "the page no longer exists"),
+        F.when(F.col("params").isNull(), SKIPS[1]) if not spec.use_page_title else F.lit(None).cast("string"),
+    )
+    rows = rows.withColumn("_early", early).drop("text", "params")
+    rows = _parsed(rows, spec, datatype, catalog).withColumn("_early", F.coalesce("_early", F.when(_empty(spec, datatype), SKIPS[2])))
     if spec.qualifiers:
-        rows = _qualified(rows.drop(*TYPED), spec, datatypes or {}, catalog).join(main, "row_id")
+        rows = rows.withColumnsRenamed({c: f"m_{c}" for c in TYPED})
+        rows = _qualified(rows, spec, datatypes or {}, catalog).withColumnsRenamed({f"m_{c}": c for c in TYPED})
         errors = [F.concat(F.lit(f"qualifier {p}: "), F.col(f"q{i}_parse_error")) for i, (p, _, _) in enumerate(spec.qualifiers)]
         rows = rows.withColumn("parse_error", F.coalesce("parse_error", *errors))
         shown = [F.when(F.col(f"q{i}_value").isNotNull(), F.concat(F.lit(f"{p}: "), F.col(f"q{i}_value"))) for i, (p, _, _) in enumerate(spec.qualifiers)]
         rows = rows.withColumn("value", F.when(F.col("parse_error").isNull() & F.col("value").isNotNull(), F.concat_ws("; ", "value", *shown)))
-    rows = rows.withColumn("value_key", F.coalesce("v_item", "v_text", "v_amount"))
-    rows = existing.already_there(rows, catalog.claims, _same(datatype), any_value=spec.skip_any_value)
-    checked = rows.withColumn("value", F.col("value_key")) if rules else rows
+    used = [F.when(F.col(f"q{i}_value").isNotNull(), F.lit(p)) for i, (p, _, _) in enumerate(spec.qualifiers)]
+    rows = rows.withColumn("used", F.array_compact(F.array(*used)).cast("array<string>") if used else F.array().cast("array<string>"))
+    parts = [c for c in rows.columns if c.startswith("part") or c.endswith("_raw") and c.startswith("q")]
+    return checkpointed(rows.drop(*parts).withColumn("message", F.coalesce("_early", "parse_error")).drop("_early", "parse_error").withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: str, catalog: Catalog, rules=(), datatypes: dict[str, str] | None = None) -> DataFrame:
+    """pages (page_id, title, item), revisions (page_id, revision_id, text) -> one outcome per page.
+
+    datatypes: those of the qualifiers' properties.
+
+    rules: constraint definitions, of which the selected ones are checked (`constraints.Definition`), or (name, f) in the order of
+    definition; f takes (rows, claims) and gives a condition or the violating row ids.
+    """
+    rows = typed_rows(pages, revisions, spec, datatype, catalog, datatypes)
+    claims = catalog.claims if "precision" in catalog.claims.columns else catalog.claims.withColumn("precision", F.lit(None).cast("int"))
+    # only rows that could be read meet claims, constraints and history
+    read = rows.where("message IS NULL")
+    skips = existing.already_there(read, claims, _same(datatype), any_value=spec.skip_any_value).where("skip IS NOT NULL").select("row_id", "skip")
+    rows = rows.join(skips, "row_id", "left")
     if rules:
-        found = constraints.first_violation(checked, [(n, f(checked, catalog.claims)) for n, f in rules]).select("row_id", F.concat(F.lit("constraint violation: "), "violation").alias("_violation"))
+        if isinstance(rules[0], constraints.Definition):
+            world = catalog.world or constraints.World(claims)
+            tests = constraints.rules(constraints.selected(list(rules), spec.constraints), read, world)
+        else:
+            tests = [(n, f(read, claims)) for n, f in rules]
+        found = constraints.first_violation(read, tests).where("violation IS NOT NULL").select("row_id", F.concat(F.lit("constraint violation: "), "violation").alias("_violation"))
         rows = rows.join(found, "row_id", "left")
     else:
         rows = rows.withColumn("_violation", F.lit(None).cast("string"))
     if spec.skip_removed and catalog.history is not None:
-        asked = rows.where("value_key IS NOT NULL").select("row_id", "item", "property", F.col("value_key").alias("value"))
-        gone = existing.removed_before(asked, catalog.history).select("row_id", F.lit(True).alias("_gone"))
+        asked = read.withColumn("_text", summary_text(datatype, spec)).where("_text IS NOT NULL").select("row_id", "item", "property", F.col("_text").alias("value"))
+        gone = existing.removed_before(asked, catalog.history).select("row_id", F.lit(True).alias("_gone")).distinct()
         rows = rows.join(gone, "row_id", "left")
     else:
         rows = rows.withColumn("_gone", F.lit(None).cast("boolean"))
-    message = F.coalesce(
-        F.when(F.col("item").isNull(), SKIPS[0]), F.when(F.col("text").isNull(), "the page no longer exists"),
-        F.when(F.col("params").isNull(), SKIPS[1]) if not spec.use_page_title else F.lit(None).cast("string"),
-        F.when(F.col("_empty"), SKIPS[2]), F.col("parse_error"), F.col("skip"), F.col("_violation"), F.when(F.col("_gone"), SKIPS[6]),
-    )
+    message = F.coalesce("message", "skip", "_violation", F.when(F.col("_gone"), SKIPS[6]))
     status = F.when(message.isNull(), "ready").when(message.isin(*SKIPS), "skipped").otherwise("error")
     return rows.withColumn("message", message).select(
         "page_id", "title", "item", "raw_value", "value", "message", status.alias("status"), F.when(F.col("message").isNull(), statement_json(spec, datatype, catalog, datatypes or {})).alias("statement")

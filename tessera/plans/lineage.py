@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in spark.checkpoint.dir, which is set here only where it is unset (tests, local runs)."""
-    sc = df.sparkSession.sparkContext
+def _ready(spark: SparkSession) -> str:
+    """The shared folder, set where it is unset in a local session."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_ready(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in spark.checkpoint.dir; where that is unset, a local session gets a folder of its own, a cluster is refused."""
+    _ready(df.sparkSession)
     return df.checkpoint(eager=True)

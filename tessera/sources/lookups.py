@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import title
+
 
 def with_revisions(rows: DataFrame, revisions: DataFrame) -> DataFrame:
     """rows with revision_id and text, null where the page is gone, and a message for these."""
@@ -89,19 +93,80 @@ def json_pairs(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return parsed.select(id_col, "key", F.explode(shown).alias("value"))
 
 
+# Answers after which no edit of this user can succeed.
+FATAL = ("blocked", "autoblocked", "permissiondenied", "readonly")
+
+
 def edit_outcome(code: Column, lag_seconds: Column) -> Column:
-    """struct(class, wait) of an edit's answer: done, busy (try again after a wait), rejected (this row only), fatal (stops the run), failed."""
-    busy = code.isin("maxlag", "ratelimited", "readonly", "actionthrottledtext")
-    rejected = code.isin("modification-failed", "failed-save", "abusefilter-disallowed", "editconflict", "no-such-entity")
-    fatal = code.isin("blocked", "badtoken", "permissiondenied", "mwoauth-invalid-authorization", "assertuserfailed")
-    kind = F.when(code.isNull(), "done").when(busy, "busy").when(rejected, "rejected").when(fatal, "fatal").otherwise("failed")
-    return F.struct(kind.alias("class"), F.when(busy, F.greatest(F.coalesce(lag_seconds, F.lit(5)), F.lit(5))).alias("wait"))
+    """struct(class, wait) of an edit's answer: done, busy (try again after a wait, in seconds), fatal (stops the run), rejected (this row only)."""
+    lag = F.least(F.greatest(F.coalesce(lag_seconds.cast("double"), F.lit(5.0)), F.lit(5.0)), F.lit(60.0)).cast("int")
+    kind = F.when(code.isNull(), "done").when(code.isin("maxlag", "ratelimited"), "busy").when(code.isin(*FATAL), "fatal").otherwise("rejected")
+    return F.struct(kind.alias("class"), F.when(code == "maxlag", lag).when(code == "ratelimited", 60).alias("wait"))
+
+
+# Projects that a run may read.
+PROJECTS = ("wikipedia", "wikibooks", "wikinews", "wikiquote", "wikisource", "wikiversity", "wikivoyage", "wiktionary", "commons", "species")
+
+
+def host_for(siteid: str, project: str) -> str:
+    """Host of a wiki; ValueError for projects that aren't known and for what is no language code."""
+    if project not in PROJECTS:
+        raise ValueError(f"unknown project '{project}'")
+    if project in ("commons", "species"):
+        return f"{project}.wikimedia.org"
+    if not re.fullmatch(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*", siteid):
+        raise ValueError(f"invalid wiki language code '{siteid}'")
+    return f"{siteid}.{project}.org"
+
+
+def template_redirects(template: str, redirects: DataFrame, templates: DataFrame | None = None) -> list[str] | None:
+    """Names that redirect to a template, sorted; None if it doesn't exist. A template has a few dozen of them."""
+    name = lambda c: title(F.col(c))
+    wanted = title(F.lit(template))
+    if templates is not None and templates.where(name("title") == wanted).isEmpty():
+        return None
+    found = redirects.where(name("to_title") == wanted).select(name("from_title").alias("name")).distinct()
+    return [r["name"] for r in found.orderBy("name").collect()]
+
+
+def edition(claims: DataFrame, dbname: str) -> str | None:
+    """The item of a wiki, by its database name (the least, if there are several)."""
+    found = claims.where((F.col("property") == "P1800") & (F.col("rank") != "deprecated") & (F.col("text_value") == dbname)).agg(F.min("item").alias("item")).first()
+    return found["item"]
+
+
+def user_items(spark: SparkSession, sql: str) -> DataFrame:
+    """Items that a user's own query gives, in its column `item`; what is no item id is left out."""
+    if not re.search(r"\bitem\b", sql):
+        raise ValueError("the query must give a column item")
+    return spark.sql(sql).select(F.col("item").cast("string").alias("item")).where(F.col("item").rlike(r"^Q[0-9]+\z")).distinct()
+
+
+def saved_query(pages: DataFrame, wiki: str, dbname: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """pages (page_id, namespace, title) of a saved query on `wiki` -> (page ids, None) for our own wiki, (None, items) for the repository."""
+    if wiki == dbname:
+        return pages.where("page_id > 0").select("page_id").distinct(), None
+    if wiki == "wikidatawiki":
+        return None, pages.where("namespace = 0").select(F.replace("title", F.lit("_"), F.lit(" ")).alias("item")).distinct()
+    raise ValueError(f"the saved query lists pages on {wiki}, not on {dbname}")
+
+
+def items_by_type(claims: DataFrame, items: DataFrame, types: list[str]) -> DataFrame:
+    """type, items (sorted): which of the items are instances of each of the types."""
+    typed = claims.where((F.col("property") == "P31") & F.col("item_value").isin(*types)).join(items.select("item").distinct(), "item", "left_semi")
+    return typed.groupBy(F.col("item_value").alias("type")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def sitelinks(links: DataFrame, items: DataFrame) -> DataFrame:
+    """links (item, dbname, title, url) of the items."""
+    return links.join(items.select("item").distinct(), "item", "left_semi").select("item", "dbname", "title", "url")
 
 
-def on_other_wikis(links: DataFrame, project_suffix: str) -> DataFrame:
-    """links (siteid, url) -> those of the project, by site id."""
+def on_other_wikis(links: DataFrame, project: str) -> DataFrame:
+    """links (title, url) -> siteid, title, host of those on a host that we would build for the project, by site id."""
     host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    return links.where(F.endswith(host, F.lit(f".{project_suffix}"))).where(F.split(host, r"\.")[0].rlike(r"^[a-z][a-z-]*\z")).orderBy("siteid")
+    code = F.regexp_extract(host, rf"^([a-z][a-z0-9]*(?:-[a-z0-9]+)*)\.{re.escape(project)}\.org\z", 1)
+    return links.withColumn("siteid", code).withColumn("host", host).where("siteid <> ''").select("siteid", "title", "host").orderBy("siteid")
 
 
 def strictest_status(definitions: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Outcomes end to end, one small world for each kind of value."""
 
 import json
+import re
 
 import pytest
 
@@ -40,7 +41,7 @@ def outcomes(spark, catalog, texts, spec, datatype, rules=()):
 def test_external_id(spark, catalog):
     spec = JobSpec(property="P9", template="IMDb", parameters=("id", "1"), add_prefix="tt", skip_any_value=False)
     texts = [("Q2", "{{IMDb|id=0000002}}"), ("Q1", "{{iMDb|0000001}}"), ("Q3", "{{IMDb|5}}"), (None, "{{IMDb|5}}"), ("Q2", "none"), ("Q2", "{{IMDb|id= }}"), ("Q2", None), ("Q2", "{{IMDb|0000009}}"), ("Q2", "{{IMDb|–}}")]
-    got, rows = outcomes(spark, catalog, texts, spec, "external-id", [("format", lambda r, c: C.format_(r["value"], "tt[0-9]{7}"))])
+    got, rows = outcomes(spark, catalog, texts, spec, "external-id", [("format", lambda r, c: C.format_(r["v_text"], "tt[0-9]{7}"))])
     assert got == [
         ("ready", "tt0000002", None), ("skipped", "tt0000001", "the item already has this value"), ("error", "tt5", "constraint violation: format"),
         ("skipped", "tt5", "the page has no Wikidata item"), ("skipped", None, "template not found"), ("skipped", None, "no value"), ("error", None, "the page no longer exists"),
@@ -73,7 +74,7 @@ def test_dates(spark, catalog):
     got, _ = outcomes(spark, catalog, [("Q2", "{{Box|y=1700|m=II|d=28}}"), ("Q2", "{{Box|y=1700|m=2|d=29}}"), ("Q2", "{{Box|m=2}}"), ("Q2", "{{Box|y=x}}")], parts, "time")
     assert [g[1:] for g in got] == [("1700-02-28", None), (None, "invalid date"), (None, "no value"), (None, "could not find a date")]
     julian, _ = outcomes(spark, catalog, [("Q2", "{{Box|y=1700|m=2|d=29}}")], JobSpec(property="P569", template="Box", date_parameters=("y", "m", "d"), date_limit=None, julian=True), "time")
-    assert julian[0][1] == "1700-02-29"
+    assert julian[0][1] == "1700-02-29 (Julian)"
 
 
 def test_other_kinds(spark, catalog):
@@ -85,8 +86,8 @@ def test_other_kinds(spark, catalog):
     assert run("[https://web.archive.org/web/2015/http://x.org/a site]", "url") == ("ready", "http://x.org/a", None)
     assert run("https://archive.is/x", "url", archive_urls="skip") == ("skipped", None, "a link to an archived copy")
     assert run("[[File:foo_bar.jpg|x]]", "commonsMedia") == ("ready", "Foo bar.jpg", None)
-    assert run("Local.png", "commonsMedia")[2] == "the file is local"
-    assert run("{{coord|48|30|N|2|15|E|type:city}}", "globe-coordinate") == ("ready", "48.5, 2.25", None)
+    assert run("Local.png", "commonsMedia")[2] == "the file is only on enwiki, not on Commons"
+    assert run("{{coord|48|30|N|2|15|E|type:city}}", "globe-coordinate") == ("ready", "48.50, 2.25", None)
     assert run("nowhere", "globe-coordinate")[2] == "could not find a coordinate"
 
 
@@ -122,3 +123,65 @@ def test_qualifiers_and_extra_properties(spark, catalog):
     statement = json.loads(rows[1, 0]["statement"])
     assert statement["qualifiers-order"] == ["P580", "P642"] and [len(v) for v in statement["qualifiers"].values()] == [2, 1]
     assert statement["qualifiers"]["P580"][1]["datavalue"]["value"]["time"] == "+2001-05-03T00:00:00Z"
+
+
+def test_python_runs_once_whatever_the_rules(spark, catalog):
+    """Rules read checkpointed rows: the plan of outcomes has no Python part and reads no texts."""
+    pages = spark.createDataFrame([(1, "T", "Q2"), (1, "T", "Q2"), (2, "U", "Q3")], "page_id bigint, title string, item string")
+    revisions = spark.createDataFrame([(1, 10, "{{Box|v=a}}"), (2, 20, "{{Box|v=b}}")], "page_id bigint, revision_id bigint, text string")
+    spec = JobSpec(property="P1", template="Box", parameters=("v",))
+    rules = [C.Definition(k, "mandatory", {"P1793": ["[ab]"], "P2305": ["Q7"], "P2306": ["P9"]}) for k in ("Q21502404", "Q19474404", "Q21502410", "Q21503247", "Q52060874")]
+    for n in (0, 1, 5):
+        out = evaluate(pages, revisions, spec, "string", catalog, rules[:n])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and not re.search(r"[\[( ,]text#", plan)
+        assert out.count() == 3  # a page that is listed twice gives two rows, not four
+    assert {(r["item"], r["message"]) for r in out.collect()} == {("Q2", "constraint violation: item requires statement"), ("Q3", None)}
+
+
+def test_prepare(spark):
+    from tessera.plans import properties
+    from tessera.sources.fixtures import view
+
+    props = properties.properties(view(spark, "/root/testdata/sf0.001", "fx_property"))
+    redirects = spark.createDataFrame([("IMDb_name", "IMDb"), ("iMDb title", "IMDb"), ("Other", "Else")], "from_title string, to_title string")
+    templates = spark.createDataFrame([("IMDb",), ("Else",)], "title string")
+    names = spark.createDataFrame([("Q1", "en", "gram"), ("Q2", "en", "gram"), ("Q1", None, "g"), ("Q9", "en", "metre")], "item string, language string, text string")
+    base = JobSpec(property="P1", template="iMDb", parameters=("1",))
+    made = properties.prepare(base, props, redirects, names, templates)
+    assert (made.host, made.names, made.property.formatter_url) == ("en.wikipedia.org", ("iMDb", "IMDb name", "IMDb title"), "https://x.org/africa/$1")
+    assert [d.kind for d in made.rules] == ["Q21502404", "Q21510860"]
+    change = lambda **c: properties.prepare(JobSpec(**(as_dict(base) | c)), props, redirects, names, templates)
+    assert [d.kind for d in change(constraints=()).rules] == ["Q21502404"]
+    assert change(template_redirects=("IMDb title",)).names == ("iMDb", "IMDb title")
+    amount = change(property="P2", unit="Q1", extra_properties=(("P3", ("x",)),))
+    assert {(r["name"], r["unit"]) for r in amount.units.collect()} == {("gram", "Q1"), ("g", "Q1")} and amount.extras[0].property.id == "P3"
+    wrong = {
+        "P77 does not exist": {"property": "P77"}, "geo-shape is not supported": {"property": "P4"}, "the property is deprecated": {"property": "P5"}, "Template:No does not exist": {"template": "No"}, "unknown project": {"project": "x"},
+        "language code": {"siteid": "E N"}, "P4: datatype": {"extra_properties": (("P4", ("x",)),)}, "qualifier P88 does not exist": {"qualifiers": (("P88", "param", "a"),)}, "qualifier P5": {"qualifiers": (("P5", "param", "a"),)},
+        "qualifier P3: 'x'": {"qualifiers": (("P3", "fixed", "x"),)}, "no parameter": {"qualifiers": (("P3", "param", " , "),)},
+    }
+    for says, c in wrong.items():
+        with pytest.raises(ValueError, match=says):
+            change(**c)
+
+
+def test_coordinates_titles_and_shown_values(spark, catalog):
+    one = lambda text, datatype, **o: outcomes(spark, catalog, [("Q2", text)], JobSpec(property="P1", template="Box", **({"parameters": ("v",)} | o)), datatype)[0][0]
+    assert one("{{Box|v=|52|31|N|13|24|E}}", "globe-coordinate", parameters=("v", "1")) == ("ready", "52.52, 13.40", None)
+    assert one("{{Box|v=a}}", "monolingualtext", language="de") == ("ready", "a (de)", None)
+    assert one("{{Box|v=4 May 1700}}", "time", julian=True, date_limit=None) == ("ready", "1700-05-04 (Julian)", None)
+    gone = [("Q2", "{{Box|v=tt0000009}}")]
+    assert outcomes(spark, catalog, gone, JobSpec(property="P9", template="Box", parameters=("v",), skip_any_value=False), "string")[0][0][2] == "this value was removed from the item before"
+
+
+def test_existing_dates_by_their_precision(spark, catalog):
+    from dataclasses import replace
+    from pyspark.sql import functions as F
+
+    known = catalog.claims.where("item = 'Q1'").withColumn("precision", F.lit(9))
+    spec = JobSpec(property="P9", template="Box", parameters=("v",), skip_any_value=False)
+    fine = outcomes(spark, replace(catalog, claims=known), [("Q1", "{{Box|v=2 January 1950}}"), ("Q1", "{{Box|v=1950}}")], spec, "time")[0]
+    assert [x[2] for x in fine] == [None, "the item already has this value"]
+    old = catalog.claims.where("item = 'Q1'").withColumn("rank", F.lit("deprecated"))
+    assert outcomes(spark, replace(catalog, claims=old), [("Q1", "{{Box|v=1950}}")], spec, "time")[0][0][0] == "ready"

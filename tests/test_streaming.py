@@ -15,6 +15,18 @@ def test_latest_status_over_batches(spark, tmp_path):
     last = query.lastProgress["batchId"] if query.lastProgress["numInputRows"] else query.lastProgress["batchId"] - 1
     got = {tuple(r) for r in run_status.read(spark, f"{tmp_path}/table", last).collect()}
     assert got == {tuple(r) for r in run_status.latest(changes).collect()}
+    # superseded buckets are removed, those of the last two lists stay
+    named = {(b, v) for n in (last, last - 1) for b, v in run_status._versions(spark, f"{tmp_path}/table", n).items()}
+    assert {(int(p.name[7:]), int(p.parent.name[6:])) for p in tmp_path.glob("table/batch=*/bucket=*")} >= named
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    for i, run in enumerate((1, 2, 1)):
+        spark.createDataFrame([(run, 5, f"s{i}", f"2024-01-0{i + 1} 00:00:00")], "run_id bigint, seq bigint, status string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(run_status.SCHEMA).parquet(f"{tmp_path}/in")
+        run_status.follow(stream, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert [len(list(tmp_path.glob(f"table/batch={n}/bucket=*"))) for n in (1, 2)] == [1, 1]
+    assert sorted((r["run_id"], r["status"]) for r in run_status.read(spark, f"{tmp_path}/table", 2).collect()) == [(1, "s2"), (2, "s1")]
 
 
 def test_windows(spark):
