@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return rows.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
 
 
-def _numbered(stable: DataFrame, kind: str, longest: int, narrow: str | None) -> DataFrame:
+def _numbered(stable: DataFrame, kind: str, longest: int, with_ids: bool) -> DataFrame:
     """Add sequence_id: dense, by length, then partition of the checkpoint, then place in it. Rows stay where they are.
 
     What each task must know is the number of its first sequence of each length: partitions times lengths, 8 bytes each.
@@ -166,17 +166,17 @@ def _numbered(stable: DataFrame, kind: str, longest: int, narrow: str | None) ->
             nth = pd.Series(which).groupby(which).cumcount().to_numpy()
             batch = batch.assign(sequence_id=at[which] + nth)
             at += np.bincount(which, minlength=len(at))
-            if narrow:
-                batch["ids"] = [np.frombuffer(x, narrow).astype(np.int32) for x in batch["ids"]]
+            if with_ids:
+                batch["ids"] = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int32) for x, n in zip(batch["ids"], batch["length"], strict=True)]
             yield batch.astype({"id": "Int64"}) if kind.endswith("int") else batch
 
-    return stable.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids array<int>" * bool(narrow) + ", sequence_id bigint")
+    return stable.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids array<int>" * with_ids + ", sequence_id bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id (dense, bucket by bucket, longest bucket last), offset (always 0), copy and, if asked for, ids (array<int>)."""
     stable = cut(pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids))
-    out = _numbered(stable, docs.schema[id_col].dataType.simpleString(), longest, ids_of(tokenizer).narrow if with_ids else None)
+    out = _numbered(stable, docs.schema[id_col].dataType.simpleString(), longest, with_ids)
     # rows that share id and text: their pieces are numbered by the row
     same = Window.partitionBy("id", "row_key").orderBy("row")
     again = stable.where("start = 0").select(F.col("row").alias("_row"), (F.row_number().over(same) - 1).cast("long").alias("_copy")).where("_copy > 0")

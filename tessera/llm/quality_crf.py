@@ -138,7 +138,8 @@ def fit_chain(texts: list[str], labels: np.ndarray, steps: int = 150, decay: flo
     x, weight, per_text = line_features(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[-1], scale[scale < 1e-9] = 0, 1
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     y = np.repeat(labels, per_text)
     first = np.append(0, np.cumsum(per_text)[:-1])
     inner = np.ones(len(y), bool)

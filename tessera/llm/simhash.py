@@ -9,6 +9,9 @@ which there are 16 at most (the closed form is in `anchors`), and compared, per
 Per anchor, a breadth-first walk emits a spanning forest of the links: never more rows than members, whatever the
 number of pairs. Links are merged by `components`. Copies meet as one fingerprint, so groups of copies cost nothing.
 
+An anchor with more than `LARGE` fingerprints is split: outside the anchor's segment, two linked ones differ in at most 3 of 33 bits, so of four blocks of these
+bits one is the same in both. Each fingerprint of such an anchor goes to its four (anchor, block, value) and is compared there; again no pair is missed.
+
 Defined cases: null text is empty; a text without words has fingerprint zero and links like any other; shorter texts are one
 shingle; extra columns are ignored by `simhash_groups`; an empty table gives no rows.
 """
@@ -26,6 +29,8 @@ from .common import cut, text_of, without
 from .components import components
 
 SEGMENT, LOW = 31, np.uint64((1 << 31) - 1)
+#: Fingerprints of an anchor that one task compares; more are split.
+LARGE = 4_096
 
 
 def shingle_hashes(text: str, width: int = 3) -> np.ndarray:
@@ -102,51 +107,83 @@ def _forest(prints: np.ndarray, homes: int, most: int) -> list[tuple[np.ndarray,
             left = np.setdiff1d(left, near, assume_unique=True)
 
 
-def _linked(most: int):
+LINKED = "a bigint, b bigint, kind int"
+
+
+def _linked(most: int, large: int | None):
+    """Rows sorted by anchor, those at home first -> links (a, b, 0). Groups over `large` come out as they are: fp, anchor, 1 for home or 2."""
+
+    def as_links(x: list, y: list) -> Iterator[pd.DataFrame]:
+        if x:
+            a, b = np.concatenate(x).view(np.int64), np.concatenate(y).view(np.int64)
+            for i in range(0, len(a), 1 << 18):
+                yield pd.DataFrame({"a": a[i : i + (1 << 18)], "b": b[i : i + (1 << 18)], "kind": np.int32(0)})
+
+    def as_they_are(anchor: np.ndarray, guest: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": prints.view(np.int64), "b": anchor, "kind": 1 + guest.astype(np.int32)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by anchor, those at home first; a group that a batch cuts off is carried to the next."""
-        rest = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.uint64))
-        ended = False
-        source = iter(batches)
+        """A group that a batch cuts off is carried to the next, up to `large` rows."""
+        rest, ended, source, over = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.uint64)), False, iter(batches), None
         while not ended:
             batch = next(source, None)
             ended = batch is None
             new = rest if ended else tuple(np.concatenate(x) for x in zip(rest, (batch["anchor"].to_numpy(np.int64), batch["guest"].to_numpy(bool), batch["fp"].to_numpy(np.int64).view(np.uint64)), strict=True))
-            anchor, guest, prints = new
+            if over is not None and len(new[0]):  # the rest of a group that is too large already
+                k = int(np.searchsorted(new[0], over, "right"))
+                if k:
+                    yield as_they_are(*(x[:k] for x in new))
+                new = tuple(x[k:] for x in new)
+                over = over if not len(new[0]) else None
+            anchor, guest, prints = rest = new
             if not len(anchor):
                 continue
             stop = len(anchor) if ended else int(np.searchsorted(anchor, anchor[-1]))
             rest = (anchor[stop:], guest[stop:], prints[stop:])
+            if large is not None and len(rest[0]) > large:
+                over = rest[0][0]
+                yield as_they_are(*rest)
+                rest = tuple(x[:0] for x in rest)
             anchor, guest, prints = anchor[:stop], guest[:stop], prints[:stop]
             first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if stop else np.empty(0, int)
             size = np.diff(np.append(first, stop))
             a, b = [], []
             # small groups: each row against the k-th next one of the same anchor, all groups at once
             small = np.repeat(size <= 8, size)
-            for k in range(1, 8):
-                if k >= stop:
+            for k in range(1, min(8, stop)):
+                together = anchor[k:] == anchor[:-k]
+                if not together.any():
                     break
-                use = np.flatnonzero(small[k:] & (anchor[k:] == anchor[:-k]) & ~guest[:-k])
-                if not len(use):
-                    if not (anchor[k:] == anchor[:-k]).any():
-                        break
-                    continue
+                use = np.flatnonzero(small[k:] & together & ~guest[:-k])
                 use = use[np.bitwise_count(prints[use] ^ prints[use + k]) <= most]
                 a.append(prints[use])
                 b.append(prints[use + k])
             for at, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-                group = prints[at : at + n]
-                for i, j in _forest(group, int((~guest[at : at + n]).sum()), most):
-                    a.append(group[i])
-                    b.append(group[j])
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                for i in range(0, len(x), 1 << 18):
-                    yield pd.DataFrame({"a": x[i : i + (1 << 18)].view(np.int64), "b": y[i : i + (1 << 18)].view(np.int64)})
+                group = slice(at, at + n)
+                if large is not None and n > large:
+                    yield as_they_are(anchor[group], guest[group], prints[group])
+                    continue
+                for i, j in _forest(prints[group], int((~guest[group]).sum()), most):
+                    a.append(prints[group][i])
+                    b.append(prints[group][j])
+            yield from as_links(a, b)
 
     return run
 
 
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of large anchors, each at four keys: the anchor, and one of four blocks of the bits outside its segment."""
+    for batch in batches:
+        prints, anchor = batch["a"].to_numpy(np.int64).view(np.uint64), batch["b"].to_numpy(np.int64)
+        second = anchor.view(np.uint64) >> np.uint64(SEGMENT) & np.uint64(1) > 0
+        # bits 31-63 for the first segment's anchors, bits 62-63 and 0-30 for the second's
+        outside = np.where(second, prints & LOW | (prints >> np.uint64(62)) << np.uint64(31), prints >> np.uint64(31))
+        for i in range(4):
+            value = outside >> np.uint64(8 * i) & np.uint64(0x1FF if i == 3 else 0xFF)
+            key = anchor.view(np.uint64) ^ (value | np.uint64(i) << np.uint64(9)) << np.uint64(33)
+            yield pd.DataFrame({"anchor": key.view(np.int64), "guest": batch["kind"] == 2, "fp": batch["a"]})
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, text_key, fp bigint): text_key is a 64-bit hash of the text, to find a row again among others of the same id."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,7 +202,10 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     if not 0 <= most <= 3:
         raise ValueError("two segments with a covering radius of 1 hold for thresholds up to 3")
     dealt = prints.select("fp").distinct().mapInPandas(_replicated, "anchor bigint, guest boolean, fp bigint")
-    return dealt.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(_linked(most), "a bigint, b bigint")
+    met = cut(dealt.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(_linked(most, LARGE), LINKED))
+    again = met.where("kind > 0").mapInPandas(_split, "anchor bigint, guest boolean, fp bigint")
+    more = again.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(_linked(most, None), LINKED)
+    return met.where("kind = 0").unionByName(more).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:

@@ -47,6 +47,42 @@ def test_simhash(docs, none):
     assert simhash.simhash_groups(none).count() == simhash.drop_near_copies(none).count() == 0
 
 
+def test_large_anchors_are_split(spark, monkeypatch):
+    """Groups far over the limit, in both segments and over many batches, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    low, high = np.uint64((1 << 31) - 1), np.uint64(((1 << 31) - 1) << 31)
+    noise = rng.integers(0, 1 << 63, 1_500, np.uint64)
+    prints = np.concatenate([base[0] & low | noise[:500] & ~low, base[1] & high | noise[500:1000] & ~high, noise[1000:]])
+    near = prints[rng.integers(0, len(prints), 1_500)]
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)) * (rng.random(len(near)) < 0.7)
+    prints = np.unique(np.concatenate([prints, near]))
+    root = np.arange(len(prints))
+    while True:  # labels fall to the least of all neighbours
+        new = np.array([root[np.bitwise_count(prints ^ x) <= 3].min() for x in prints])
+        if (new == root).all():
+            break
+        root = new
+    from tessera.llm.components import components
+
+    for large in (4_096, 40):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+        try:
+            got = components(simhash.links(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp bigint"))).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        of = {r["node"]: r["root"] for r in got}
+        groups, want = {}, {}
+        for x, k in zip(prints.view(np.int64).tolist(), root.tolist()):
+            groups.setdefault(of.get(x, x), set()).add(x)
+            want.setdefault(k, set()).add(x)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())), large
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, queries.word_tokenizer()).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 3) == 1
