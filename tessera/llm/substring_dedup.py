@@ -2,11 +2,11 @@
 
 A text is cut into units: lines of `line_words` words or more, and inside lines, sentences of `sentence_words` words or more, so that a passage
 is also found where the rest of its line differs. A unit is normalised (A-Z lower-cased, ASCII white space as one space, trimmed) and
-hashed to 128 bits. Shorter pieces go with the passage they belong to: every two neighbouring pieces (sentences, or lines of one sentence, of any length)
+hashed to 128 bits. (13 words is the usual length from which an overlap is taken as a copy; shorter repeated lines are mostly phrases that clean texts share.) Shorter pieces go with the passage they belong to: every two neighbouring pieces (sentences, or lines of one sentence, of any length)
 are hashed as a pair, and a run of consecutive repeated pairs of `passage_words` words or more is removed as one span. Digests are grouped over all documents; of each digest that occurs more than once, the earliest occurrence, in the order of
 (id, text key, start), stays and the others are removed. Removed spans keep their offsets (code points) in the original text.
 
-The group step combines before its shuffle, so a line that a third of all documents have is one row per task; the join that finds
+Texts are cut and hashed once; the narrow rows are kept as a table in the shared folder. The group step combines before its shuffle, so a line that a third of all documents have is one row per task; the join that finds
 its occurrences again is a plain equi-join that adaptive execution splits where it is skewed.
 
 Defined cases: null text is empty and has no units; null ids rank last; rows that agree in id and text are one document, so neither is removed
@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import scratch, text_of
 
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*[ \t\r\f\v]*")
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 
-def units(text: str, line_words: int = 4, sentence_words: int = 8) -> list[tuple[int, int, bytes]]:
+def units(text: str, line_words: int = 13, sentence_words: int = 13) -> list[tuple[int, int, bytes]]:
     """(start, end, normalised bytes) of every unit; spans begin and end with a word."""
     out = []
     for m in _LINE.finditer(text):
@@ -69,7 +69,7 @@ def pieces(text: str) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 4, sentence_words: int = 8) -> DataFrame:
+def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 13, sentence_words: int = 13) -> DataFrame:
     """(id, text_key, start, end, seq, w1, w2, d1, d2): a row per unit (seq -1), and one per two neighbouring pieces, seq the number of the first, with the words of either."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -105,9 +105,11 @@ def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return rows.mapInPandas(run, f"id {kind}, text_key bigint, start int, end int, seq int, w1 int, w2 int, d1 bigint, d2 bigint")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 4, sentence_words: int = 8, passage_words: int = 50) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 13, sentence_words: int = 13, passage_words: int = 50) -> DataFrame:
     """(id, text_key, removed): per document that loses anything, its removed spans, merged, in order."""
-    rows = unit_rows(docs, id_col, text_col, line_words, sentence_words)
+    path = scratch(docs.sparkSession, "units")
+    unit_rows(docs, id_col, text_col, line_words, sentence_words).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "start")
     seen = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select("d1", "d2", "first")

@@ -188,7 +188,7 @@ def test_op10(spark, docs):
         assert at == len(ids)
 
 
-def own_units(text, line_words=4, sentence_words=8):
+def own_units(text, line_words=13, sentence_words=13):
     """(start, end, words) of lines and of sentences inside them, read sign by sign."""
     blank, out, begin = " \t\r\f\v", [], 0
     spans = []

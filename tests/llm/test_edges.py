@@ -172,7 +172,7 @@ def test_mixing(docs, none):
 
 
 def test_substrings(docs, none):
-    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs).collect() if r["doc_id"]}
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs, line_words=4, sentence_words=8).collect() if r["doc_id"]}
     assert got[1]["text"] == ROWS[0][1] and got[2]["text"] == "" and got[2]["removed_chars"] == len(ROWS[1][1])
     assert got[3]["text"] is None and got[4]["n_removed"] == 0
     assert substring_dedup.span_report(docs).count() == len(ROWS)
