@@ -49,7 +49,9 @@ def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    docs = table(spark, sf_dir, "documents")
+    lang = secret_scan.language(docs)
+    found = secret_scan.scan(docs, secret_scan.train(spark, lang=lang), lang=lang)
     return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
 
 

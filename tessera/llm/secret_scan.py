@@ -3,7 +3,7 @@
 A candidate is the value after a name that announces a secret (6 or more signs, none of them white space), whatever its letters, or else a run
 of 16 or more characters of the base64, hexadecimal and name alphabets that isn't plain lower-case, upper-case or capitalised letters; a
 name and '=' before a value are no part of it. Features: length, class shares, class changes between neighbouring characters, entropy and mean surprise of its
-character transitions under a table learnt from ordinary words, dictionary coverage, signs of a path or an address, and words beside it that
+character transitions, dictionary coverage (both from a `Language`: a fixed list of words of code and placeholders, and, with `language`, the words that the corpus itself has often), signs of a path or an address, and words beside it that
 announce secrets or, on the other hand, digests, ids and examples. The forest (Spark ML) is trained on labelled findings.
 
 `labelled_findings` makes a seeded set of known kinds (default 4,000 rows, the documented bound); a user's own reviewed findings, in
@@ -19,6 +19,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,36 +40,58 @@ DICTIONARY = ("example", "sample", "test", "your", "here", "change", "change_me"
 PLAIN = ("optional", "missing", "invalid", "enabled", "disabled", "unknown", "expired", "available", "protected", "management", "security", "difference", "question", "finding", "people", "remember", "something", "together", "changed", "reset", "strength", "policy", "authority", "generated", "rotated", "stored", "encrypted", "authentication", "understanding", "however", "nothing", "length", "minimum", "character", "letters", "forever", "repeated", "business", "research", "learning", "quality", "government")
 FEATURES = ["length", "lower", "upper", "digit", "mark", "hex", "changes", "entropy", "surprise", "coverage", "longest_word", "repeat", "path", "address", "assigned", "quoted", "announce", "otherwise", "digits_only"]
 _WORDS_ONLY = re.compile(r"[A-Z]?[a-z]+|[a-z]+")
-_LETTERS = re.compile("|".join(sorted(map(re.escape, DICTIONARY), key=len, reverse=True)))
 
 
-def _transitions() -> np.ndarray:
-    """Log2 probabilities of letter pairs in the dictionary's words, with one added to each count."""
-    counts = np.ones((27, 27))
-    for word in DICTIONARY:
-        codes = [26, *(ord(c) - 97 if c.isalpha() else 26 for c in word), 26]
-        for a, b in zip(codes, codes[1:]):
-            counts[a, b] += 1
-    return np.log2(counts / counts.sum(axis=1, keepdims=True))
+@dataclass(frozen=True)
+class Language:
+    """Words of three letters or more, and log2 probabilities of letter pairs in them (26: what is no letter), with one added to each count."""
 
+    words: frozenset[str]
+    pairs: np.ndarray
 
-_PAIRS = _transitions()
+    @classmethod
+    def of(cls, words) -> Language:
+        counts = np.ones((27, 27))
+        for word in sorted(words):
+            codes = [26, *(ord(c) - 97 if "a" <= c <= "z" else 26 for c in word), 26]
+            for a, b in zip(codes, codes[1:]):
+                counts[a, b] += 1
+        return cls(frozenset(words), np.log2(counts / counts.sum(axis=1, keepdims=True)))
 
+    def found(self, low: str) -> list[str]:
+        """Words in a lower-case text from left to right, the longest at each place."""
+        out, i = [], 0
+        while i < len(low) - 2:
+            word = next((low[i : i + n] for n in range(min(20, len(low) - i), 2, -1) if low[i : i + n] in self.words), None)
+            out += [word] if word else []
+            i += len(word) if word else 1
+        return out
 
-def features(candidate: str, left: str, right: str) -> list[float]:
+
+PLAIN_WORDS = Language.of(DICTIONARY)
+
+
+def language(docs: DataFrame, text_col: str = "text", most: int = 20_000, least: int = 20, letters: int = 5) -> Language:
+    """PLAIN_WORDS and the words of `letters` letters or more that at least `least` texts of the corpus have, at most the `most` that most have (what is collected)."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(rf"(?<![a-z0-9])[a-z]{{{letters},20}}(?![a-z0-9])"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    return Language.of({*DICTIONARY, *counts.orderBy(F.desc("count"), "w").limit(most).select("w").toPandas()["w"]})
+
+
+def features(candidate: str, left: str, right: str, lang: Language = PLAIN_WORDS) -> list[float]:
     n = len(candidate)
     low = candidate.lower()
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in candidate]
     share = [kinds.count(k) / n for k in range(4)]
     tally = [candidate.count(c) / n for c in set(candidate)]
     codes = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
-    found = [m[0] for m in _LETTERS.finditer(low)]
+    found = lang.found(low)
     beside, after = left.lower()[-NEAR:], right.lower()[:NEAR]
     words = re.findall(r"[a-z_\-0-9]+", beside[-32:])[-3:] + re.findall(r"[a-z_\-0-9]+", after)[:1]
     return [
         float(n), *share, sum(c in "0123456789abcdef" for c in low) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, -sum(p * math.log2(p) for p in tally),
-        -float(np.mean(_PAIRS[codes[:-1], codes[1:]])), sum(map(len, found)) / n, max(map(len, found), default=0) / n,
+        -float(np.mean(lang.pairs[codes[:-1], codes[1:]])), sum(map(len, found)) / n, max(map(len, found), default=0) / n,
         sum(a == b for a, b in zip(candidate, candidate[1:])) / n, float(candidate.count("/") > 1 or beside.endswith(("/", "\\"))),
         float("://" in beside or "www." in beside or "@" in beside[-8:] or after.startswith("@")),
         float(bool(re.search(r"[=:]\s*[\"'`]?$", beside))), float(beside[-1:] in "\"'`" and beside != ""),
@@ -98,9 +121,10 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     return iter(sorted(found))
 
 
-def labelled_findings(rows: int = 4_000, seed: int = 7) -> list[tuple[str, str, str, int]]:
-    """(candidate, left, right, label) of seeded known kinds, cut by candidates(); half are secrets."""
+def labelled_findings(rows: int = 4_000, seed: int = 7, lang: Language = PLAIN_WORDS) -> list[tuple[str, str, str, int]]:
+    """(candidate, left, right, label) of seeded known kinds, cut by candidates(); half are secrets. A third of the plain words are the language's own."""
     r = random.Random(seed)
+    own = sorted(lang.words.difference(DICTIONARY)) or list(PLAIN)
     pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     syllables = [w[i : i + 3] for w in DICTIONARY for i in range(0, max(1, len(w) - 2), 2)]
@@ -144,7 +168,7 @@ def labelled_findings(rows: int = 4_000, seed: int = 7) -> list[tuple[str, str,
         elif kind == 7:
             value, left = "=" * 8 + r.choice(DICTIONARY) + "-" * 8, left
         elif kind >= 9:  # names before plain words, places of a value, code
-            value = r.choice((lambda: r.choice(PLAIN), lambda: r.choice(PLAIN), lambda: r.choice(PLAIN).capitalize(), lambda: r.choice(DICTIONARY) + r.choice(("", "s", "ed", "-")), lambda: "".join(r.choice(DICTIONARY) for _ in range(2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5))), lambda: "${" + r.choice(DICTIONARY).upper() + "_KEY}", lambda: "<" + r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY) + ">", lambda: "get_" + r.choice(DICTIONARY) + "()", lambda: "https://" + r.choice(DICTIONARY) + ".org/" + r.choice(DICTIONARY), lambda: "********"))()
+            value = r.choice((lambda: r.choice(PLAIN), lambda: r.choice(own), lambda: r.choice(PLAIN).capitalize(), lambda: r.choice(own) + r.choice(own), lambda: r.choice(DICTIONARY) + r.choice(("", "s", "ed", "-")), lambda: "".join(r.choice(DICTIONARY) for _ in range(2)), lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5))), lambda: "${" + r.choice(DICTIONARY).upper() + "_KEY}", lambda: "<" + r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY) + ">", lambda: "get_" + r.choice(DICTIONARY) + "()", lambda: "https://" + r.choice(DICTIONARY) + ".org/" + r.choice(DICTIONARY), lambda: "********"))()
             value, left = value.ljust(6, "s"), left + r.choice(("password: ", "key: ", "token = ", "secret: ", "api_key=", "auth: ", "pwd: ", 'password = "'))
             right = ('"' if left.endswith('"') else "") + right
         else:
@@ -153,16 +177,16 @@ def labelled_findings(rows: int = 4_000, seed: int = 7) -> list[tuple[str, str,
     return out
 
 
-def train(spark: SparkSession, findings=None, trees: int = 40, depth: int = 8, seed: int = 1):
-    """Random forest model from (candidate, left, right, label) rows, a list or a DataFrame of reviewed findings."""
+def train(spark: SparkSession, findings=None, trees: int = 40, depth: int = 8, seed: int = 1, lang: Language = PLAIN_WORDS):
+    """Random forest model, for one language, from (candidate, left, right, label) rows, a list or a DataFrame of reviewed findings."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     if isinstance(findings, DataFrame):
-        rows = findings.select("candidate", "left", "right", "label").mapInPandas(_described, f"{_SCHEMA}, label double")
+        rows = findings.select("candidate", "left", "right", "label").mapInPandas(_described(lang), f"{_SCHEMA}, label double")
     else:
-        known = labelled_findings() if findings is None else findings
-        rows = spark.createDataFrame([(features(c, a, b), float(y)) for c, a, b, y in known], "features array<double>, label double")
+        known = labelled_findings(lang=lang) if findings is None else findings
+        rows = spark.createDataFrame([(features(c, a, b, lang), float(y)) for c, a, b, y in known], "features array<double>, label double")
     rows = rows.select(array_to_vector("features").alias("features"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
@@ -170,12 +194,15 @@ def train(spark: SparkSession, findings=None, trees: int = 40, depth: int = 8, s
 _SCHEMA = "features array<double>"
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"features": [features(*x) for x in zip(b["candidate"].fillna(""), b["left"].fillna(""), b["right"].fillna(""), strict=True)], "label": b["label"].astype(float)})
+def _described(lang: Language):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"features": [features(*x, lang) for x in zip(b["candidate"].fillna(""), b["left"].fillna(""), b["right"].fillna(""), strict=True)], "label": b["label"].astype(float)})
+
+    return run
 
 
-def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", lang: Language = PLAIN_WORDS) -> DataFrame:
     """One row per candidate: id, text_key (a hash of the text), start, end, candidate, features, probability (of a secret), secret."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -186,7 +213,7 @@ def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
             rows: list[list] = [[], [], [], [], [], []]
             for doc, key, text in zip(batch["id"], batch["text_key"], batch["text"], strict=True):
                 for a, b in candidates(text):
-                    for column, x in zip(rows, (doc, key, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR])), strict=True):
+                    for column, x in zip(rows, (doc, key, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], lang)), strict=True):
                         column.append(x)
             out = pd.DataFrame(dict(zip(("id", "text_key", "start", "end", "candidate", "features"), rows, strict=True)))
             out = out.astype({"candidate": object, "features": object})  # also where there are none

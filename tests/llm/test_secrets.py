@@ -31,3 +31,15 @@ def test_held_out_findings(spark):
     both = sum(p and y for p, y in said)
     print("recall", both / true, "precision", both / kept)
     assert both / true > 0.95 and both / kept > 0.9
+
+
+def test_words_of_the_corpus(spark):
+    """Words that the corpus has often count as words; a rare string doesn't become one."""
+    docs = spark.createDataFrame([(i, f"Wolnkrath veshtimor und blargenheit zusammen {'qxzvkwpjrt' * (i == 3)}") for i in range(40)] + [(99, None)], "doc_id bigint, text string")
+    lang = secret_scan.language(docs)
+    assert {"wolnkrath", "veshtimor", "blargenheit"} < lang.words and "qxzvkwpjrt" not in lang.words
+    assert lang.found("wolnkrathveshtimorxq") == ["wolnkrath", "veshtimor"] and secret_scan.PLAIN_WORDS.found("blargenheit") == []
+    texts = ['token = "wolnkrathveshtimor"', 'token = "blargenheit"', 'token = "qxzvkwpjrtmlbdhgwq"', 'token = "9f86d081884c7d659a2feaa0c55ad015"']
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), secret_scan.train(spark, lang=lang), lang=lang)
+    assert {r["doc_id"] for r in found.where("secret").collect()} == {2, 3}
+    assert secret_scan.language(docs.where("false")).words == secret_scan.PLAIN_WORDS.words
