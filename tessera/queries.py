@@ -920,3 +920,63 @@ def evaluate_dates_with_help(spark, d):
     spec = JobSpec(property="P5", template="Box", parameters=("d",), skip_any_value=False)
     out = _evaluated(spark, d, text, spec, "time", _claims(spark, d).where("false"), months={}, language="cs", dates=dates)
     return out.where("item IS NOT NULL").select("page_id", "value")
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 4 = 0 THEN concat('Q', CAST(100000 + p_size AS STRING)) END AS value,
+    CASE p_partkey % 4 WHEN 1 THEN '[[Nowhere]] does not exist' WHEN 2 THEN '[[Bare]] has no Wikidata item' WHEN 3 THEN 'the link points to the page itself' END AS message FROM part WHERE p_partkey % 5 > 0""")
+def evaluate_items(spark, d):
+    text = "concat('{{Box|v={{icon}} [[', CASE p_partkey % 4 WHEN 0 THEN concat('target_', p_size) WHEN 1 THEN 'Nowhere' WHEN 2 THEN 'Bare' ELSE concat('Self ', p_partkey) END, '|label]] rest}}')"
+    part = spark.read.parquet(f"{d}/part.parquet")
+    known = part.selectExpr("concat('Target ', p_size) AS title", "concat('Q', 100000 + p_size) AS item").distinct().union(part.selectExpr("concat('Self ', p_partkey)", "concat('Q', p_partkey)")).union(spark.createDataFrame([("Bare", None)], "title string, item string"))
+    spec = JobSpec(property="P6", template="Box", parameters=("v",))
+    return _evaluated(spark, d, text, spec, "wikibase-item", _claims(spark, d), link_targets=known).where("item IS NOT NULL").select("page_id", "value", "message")
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_size > 10 THEN CASE WHEN p_size > 25 THEN concat('Part ', CAST(p_partkey AS STRING), '.jpg') END END AS value,
+    CASE WHEN p_size <= 10 THEN 'the file does not exist' WHEN p_size <= 25 THEN 'the file is only on dewiki, not on Commons' END AS message FROM part WHERE p_partkey % 5 > 0""")
+def evaluate_files(spark, d):
+    files = spark.read.parquet(f"{d}/part.parquet").where("p_size > 10").selectExpr("concat('Part ', p_partkey, '.jpg') AS name", "p_size > 25 AS shared")
+    spec = JobSpec(property="P6", template="Box", parameters=("image",))
+    return _evaluated(spark, d, "concat('{{Box|image=[[Image:part_', p_partkey, '.jpg|thumb]]}}')", spec, "commonsMedia", _claims(spark, d), files=files, dbname="dewiki").where("item IS NOT NULL").select("page_id", "value", "message")
+
+
+@query("""SELECT p_partkey AS page_id, concat(CAST(p_size AS STRING), '.50, ', CAST(p_partkey % 170 AS STRING), '.25') AS value FROM part WHERE p_partkey % 5 > 0""")
+def evaluate_coordinates(spark, d):
+    text = "CASE WHEN p_partkey % 2 = 0 THEN concat('{{Coord|', p_size, '|30|N|', p_partkey % 170, '|15|E|type:city}}') ELSE concat('{{Coord|', p_size, '.50|', p_partkey % 170, '.25}}') END"
+    out = _evaluated(spark, d, text, JobSpec(property="P6", template="Coord", parameters=("1",)), "globe-coordinate", _claims(spark, d))
+    return out.where("item IS NOT NULL").select("page_id", "value")
+
+
+@query(r"""SELECT p_partkey AS page_id, concat('x', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '; P580: 1999-05' ELSE '' END, '; P642: Q5') AS value,
+    concat('{"type":"statement","rank":"normal","mainsnak":{"snaktype":"value","property":"P6","datatype":"string","datavalue":{"value":"x', CAST(p_partkey AS STRING), '","type":"string"}},"qualifiers":{',
+        CASE WHEN p_partkey % 2 = 0 THEN '"P580":[{"snaktype":"value","property":"P580","datatype":"time","datavalue":{"value":{"time":"+1999-05-00T00:00:00Z","timezone":0,"before":0,"after":0,"precision":10,"calendarmodel":"http://www.wikidata.org/entity/Q1985727"},"type":"time"}}],' ELSE '' END,
+        '"P642":[{"snaktype":"value","property":"P642","datatype":"wikibase-item","datavalue":{"value":{"entity-type":"item","numeric-id":5,"id":"Q5"},"type":"wikibase-entityid"}}]},"qualifiers-order":[', CASE WHEN p_partkey % 2 = 0 THEN '"P580",' ELSE '' END, '"P642"],',
+        '"references":[{"snaks":{"P143":[{"snaktype":"value","property":"P143","datatype":"wikibase-item","datavalue":{"value":{"entity-type":"item","numeric-id":328,"id":"Q328"},"type":"wikibase-entityid"}}],"P4656":[{"snaktype":"value","property":"P4656","datatype":"url","datavalue":{"value":"https://en.wikipedia.org/w/index.php?title=',
+        replace(p_name, ' ', '_'), '&oldid=', CAST(p_partkey AS STRING), '","type":"string"}}]},"snaks-order":["P143","P4656"]}]}') AS statement FROM part WHERE p_partkey % 5 > 0""")
+def evaluate_statements(spark, d):
+    text = "concat('{{Box|v=x', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '|since=May 1999' ELSE '|since= ' END, '}}')"
+    spec = JobSpec(property="P6", template="Box", parameters=("v",), qualifiers=(("P580", "param", "from,since"), ("P642", "fixed", "Q5")))
+    pages = _rendered(spark, d, "%body%", body=text)
+    rows = pages.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("item")).where("page_id % 5 > 0")
+    revisions = pages.select(F.col("p_partkey").alias("page_id"), F.col("p_partkey").alias("revision_id"), F.col("wikitext").alias("text"))
+    out = evaluate(rows, revisions, spec, "string", Catalog(_claims(spark, d)), datatypes={"P580": "time", "P642": "wikibase-item"})
+    return out.select("page_id", "value", "statement")
+
+
+
+
+@query(_DAYS)
+def date_other_languages(spark, d):
+    """German with a point, Spanish with particles, French ordinals, Basque with endings, Hungarian year first: each with its own month names."""
+    named = N.month_names(spark, ["de", "es", "fr", "eu", "hu"])
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.year("o_orderdate").cast("string").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").cast("string").alias("t"))
+    out = None
+    for i, (language, form) in enumerate({"de": "concat(t, '. ', n, ' ', y)", "es": "concat(t, ' de ', n, ' de ', y)", "fr": "concat(t, 'er ', n, ' ', y)", "eu": "concat(y, 'ko ', n, 'aren ', t, 'a')", "hu": "concat(y, '. ', n, ' ', t, '.')"}.items()):
+        longest: dict[int, str] = {}
+        for name, month in named[language].items():
+            longest[month] = max(longest.get(month, ""), name, key=len)
+        names = F.element_at(F.array(*(F.lit(longest[k].capitalize()) for k in range(1, 13))), F.col("m"))
+        part = o.where(F.col("o_orderkey") % 5 == i).withColumn("n", names)
+        part = part.select("o_orderkey", N.parse_date(F.expr(form), named[language]).alias("d"), "n").select("o_orderkey", "d.date.year", "d.date.month", "d.date.day")
+        out = part if out is None else out.union(part)
+    return out
