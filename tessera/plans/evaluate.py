@@ -305,7 +305,7 @@ def evaluate(pages: DataFrame, revisions: DataFrame, spec: JobSpec, datatype: st
     claims = catalog.claims if "precision" in catalog.claims.columns else catalog.claims.withColumn("precision", F.lit(None).cast("int"))
     # only rows that could be read meet claims, constraints and history
     read = rows.where("message IS NULL")
-    skips = existing.already_there(read, claims, _same(datatype), any_value=spec.skip_any_value).where("skip IS NOT NULL").select("row_id", "skip")
+    skips = existing.already_there(read, claims.where(F.col("property") == spec.property), _same(datatype), any_value=spec.skip_any_value).where("skip IS NOT NULL").select("row_id", "skip")
     rows = rows.join(skips, "row_id", "left")
     if rules:
         if isinstance(rules[0], constraints.Definition):
