@@ -60,7 +60,7 @@ def can_cut(settings: dict) -> bool:
 class Ids:
     """Ids of one tokenizer file, by cached pieces where its settings allow; one per worker process."""
 
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
@@ -166,9 +166,10 @@ def _numbered(stable: DataFrame, kind: str, longest: int, with_ids: bool) -> Dat
             nth = pd.Series(which).groupby(which).cumcount().to_numpy()
             batch = batch.assign(sequence_id=at[which] + nth)
             at += np.bincount(which, minlength=len(at))
-            if with_ids:
-                batch["ids"] = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int32) for x, n in zip(batch["ids"], batch["length"], strict=True)]
-            yield batch.astype({"id": "Int64"}) if kind.endswith("int") else batch
+            batch = batch.astype({"id": "Int64"}) if kind.endswith("int") else batch
+            for i in range(0, len(batch), 1_000 if with_ids else max(1, len(batch))):  # ids are widened for few pieces at a time
+                part = batch.iloc[i : i + 1_000] if with_ids else batch
+                yield part.assign(ids=[np.frombuffer(x, f"<u{len(x) // n}").astype(np.int32) for x, n in zip(part["ids"], part["length"], strict=True)]) if with_ids else part
 
     return stable.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids array<int>" * with_ids + ", sequence_id bigint")
 
