@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import cut, scratch, text_of
 
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*[ \t\r\f\v]*")
@@ -113,7 +113,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "start")
     seen = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select("d1", "d2", "first")
-    again = rows.join(seen, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
+    # a stable table: units and pairs both read it
+    again = cut(rows.join(seen, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).drop("d1", "d2", "first"))
     # pairs of pieces: runs over (document, position)
     marked = again.where("seq >= 0").groupBy("id", "text_key", "seq").agg(*(F.first(c).alias(c) for c in ("start", "end", "w1", "w2")))
     run = F.col("seq") - F.row_number().over(Window.partitionBy("id", "text_key").orderBy("seq"))
