@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, ngram_lm, packing, prefix_hash, quality_crf, secret_scan, simhash, substring_dedup
+from . import chat_format, exact_dedup, filter_audit, hard_negatives, mixing, ngram_lm, packing, prefix_hash, quality_crf, secret_scan, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -90,6 +90,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_prefix_hash": op2_prefix_hash,
@@ -101,6 +115,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_crf": op9_quality_crf,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL = {
@@ -120,4 +137,42 @@ ORACLE_SQL = {
                           row_number() OVER (PARTITION BY t ORDER BY doc_id) AS nth FROM n)
         SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    "op11_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+             l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+             f AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+                          100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                          coalesce(min(w.doc_id) OVER (PARTITION BY t) < coalesce(w.doc_id, 9223372036854775807), false) AS e FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+             m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+             i AS (SELECT x, substr('ABCDE', x + 1, 1) AS letter FROM range(5) t(x)),
+             o AS (SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.x, q.x, r.x, s.x, t.x] AS xs FROM i p, i q, i r, i s, i t
+                   WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+             s AS (SELECT filter_order, k::INT AS step, xs[k] AS x, list_sum(list_transform(xs[1:k - 1], lambda y: 1 << y))::BIGINT AS before FROM o, range(1, 6) t(k)),
+             g AS (SELECT part, filter_order, step, x,
+                          sum(CASE WHEN mask & (coalesce(before, 0) | (1 << x)) = 0 THEN n ELSE 0 END) AS kept,
+                          sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & (1 << x) > 0 THEN n ELSE 0 END) AS removed,
+                          sum(CASE WHEN mask & coalesce(before, 0) > 0 AND mask & (1 << x) > 0 THEN n ELSE 0 END) AS redundant,
+                          sum(CASE WHEN mask = 1 << x THEN n ELSE 0 END) AS unique_fails,
+                          sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & (1 << x) > 0 THEN good ELSE 0 END) AS good_lost,
+                          sum(CASE WHEN mask & coalesce(before, 0) = 0 AND mask & (1 << x) > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+               toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g
+    """,
+    "op12_hard_negatives": r"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, a.label AS kind, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = kind QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE label <> kind AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+    """,
+    "op13_sharding": r"""
+        WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::BIGINT] || range(8), lambda crc, k: xor(crc >> 1, 3988292384::BIGINT * (crc & 1))) AS v FROM range(256) r(i))),
+             d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+             c AS (SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || bytes, lambda crc, x: xor(crc >> 8, tab[1 + (xor(crc, x) & 255)]))) AS text_crc32 FROM d, t),
+             p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before, (sum(size) OVER ())::HUGEINT AS total FROM c),
+             s AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM p)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST) - 1 AS slot, NULL::INT AS grown_shard FROM s
+    """,
 }
