@@ -12,10 +12,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.patterns import whole_match
 from tessera.operators.closure import in_classes
 
 #: Kinds of constraints and what their messages call them.
@@ -65,21 +65,10 @@ def none_of(item: Column, listed: list[str]) -> Column:
     return F.coalesce(item.isin(*listed), F.lit(False)) if listed else F.lit(False)
 
 
-def java_pattern(pattern: str) -> str | None:
-    """The pattern as Java's regular expressions read it, with named groups spelt their way; None if it doesn't compile there."""
-    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
-    jvm = SparkSession.active()._jvm
-    try:
-        jvm.java.util.regex.Pattern.compile(f"(?d)^(?:{named})\\z")
-    except IllegalArgumentException:
-        return None
-    return named
-
-
 def format_(text: Column, pattern: str) -> Column:
-    """A pattern that doesn't compile is met by all values."""
-    named = java_pattern(pattern)
-    return F.lit(False) if named is None else F.coalesce(~text.rlike(rf"(?d)^(?:{named})\z"), F.lit(False))
+    """Does the pattern not match the whole text? One that isn't understood is met by all values."""
+    met = whole_match(text, pattern)
+    return F.lit(False) if met is None else F.coalesce(~met, F.lit(False))
 
 
 def integer(amount: Column) -> Column:
