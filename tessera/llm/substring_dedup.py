@@ -6,8 +6,8 @@ hashed to 128 bits. (13 words is the usual length from which an overlap is taken
 are hashed as a pair, and a run of consecutive repeated pairs of `passage_words` words or more is removed as one span. Digests are grouped over all documents; of each digest that occurs more than once, the earliest occurrence, in the order of
 (id, text key, start), stays and the others are removed. Removed spans keep their offsets (code points) in the original text.
 
-Texts are cut and hashed once; the narrow rows are kept as a table in the shared folder. The group step combines before its shuffle, so a line that a third of all documents have is one row per task; the join that finds
-its occurrences again is a plain equi-join that adaptive execution splits where it is skewed.
+Texts are cut and hashed once; the narrow rows are kept as a table in the shared folder. The group step combines before its shuffle, so a line that a third of all documents have is one row per task. Where a digest has
+more than 1,000 rows and a 100,000th of all, it is one of 100,000 at most: these are sent to all tasks, so no task gets the occurrences of a common line; the others meet their rows in an equi-join.
 
 Defined cases: null text is empty and has no units; null ids rank last; rows that agree in id and text are one document, so neither is removed
 for the other; shorter units are never removed by themselves, only in such a run; an empty table gives no rows; extra columns stay in `deduplicated`,
@@ -24,8 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, text_of
+from .common import cut, in_batches, scratch, text_of
 
+#: Digests of so many rows are no more than this; rows are counted.
+MOST_FREQUENT = 100_000
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*[ \t\r\f\v]*")
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
@@ -71,8 +73,6 @@ def pieces(text: str) -> list[tuple[int, int, bytes, int]]:
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 13, sentence_words: int = 13) -> DataFrame:
     """(id, text_key, start, end, seq, w1, w2, d1, d2): a row per unit (seq -1), and one per two neighbouring pieces, seq the number of the first, with the words of either."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -102,7 +102,7 @@ def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return pd.DataFrame({"id": picked["id"].array, "text_key": picked["text_key"].array, **named, "d1": pairs[:, 0], "d2": pairs[:, 1]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, text_key bigint, start int, end int, seq int, w1 int, w2 int, d1 bigint, d2 bigint")
+    return in_batches(rows, run, "text_key bigint, start int, end int, seq int, w1 int, w2 int, d1 bigint, d2 bigint")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = 13, sentence_words: int = 13, passage_words: int = 50) -> DataFrame:
@@ -112,9 +112,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.sparkSession.read.parquet(path)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "start")
     seen = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    seen = seen.select("d1", "d2", "first")
+    seen = cut(seen)
+    # digests that very many rows have are few, by their sum: these are sent to the rows, all others meet them in a join
+    often = max(1_000, -(-rows.count() // MOST_FREQUENT))
+    later = lambda met: met.where(~place.eqNullSafe(F.col("first"))).select(*(c for c in rows.columns if c not in ("d1", "d2")))
+    hot = F.broadcast(seen.where(F.col("n") > often).select("d1", "d2", "first"))
+    rest = rows.join(hot, ["d1", "d2"], "left_anti").join(seen.where(F.col("n") <= often).select("d1", "d2", "first"), ["d1", "d2"])
     # a stable table: units and pairs both read it
-    again = cut(rows.join(seen, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).drop("d1", "d2", "first"))
+    again = cut(later(rows.join(hot, ["d1", "d2"])).unionByName(later(rest)))
     # pairs of pieces: runs over (document, position)
     marked = again.where("seq >= 0").groupBy("id", "text_key", "seq").agg(*(F.first(c).alias(c) for c in ("start", "end", "w1", "w2")))
     run = F.col("seq") - F.row_number().over(Window.partitionBy("id", "text_key").orderBy("seq"))
