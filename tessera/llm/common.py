@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Fixed value: the six ASCII white-space characters, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -45,6 +46,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def in_batches(rows: DataFrame, run, schema: str, id_col: str = "id") -> DataFrame:
+    """rows.mapInPandas(run, "id ..., " + schema). Integral ids travel as text: beside nulls, pandas would make floats of them, which hold no more than 53 bits."""
+    kind = rows.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        return rows.mapInPandas(run, f"`{id_col}` {kind.simpleString()}, {schema}")
+    return rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"`{id_col}` string, {schema}").withColumn(id_col, F.col(id_col).cast(kind))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, text_of
+from .common import cut, in_batches, sized, text_of
 from .components import components
 from .simhash import fingerprint, keep_first, links as anchor_links, shingle_hashes
 
@@ -146,9 +146,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, text_key, component_id, rep_key): component_id is the smallest id reachable by links of similarity 4/5 or more, rep_key the smallest text_key of its rows."""
-    kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    rows = cut(keyed.mapInPandas(_described(width, _common(docs, width, text_col)), f"id {kind}, {DESCRIBED}"))
+    rows = cut(in_batches(keyed, _described(width, _common(docs, width, text_col)), DESCRIBED))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"), *(F.first(c).alias(c) for c in ("n", "rare", "fp"))))
     held = nodes.select("node", F.col("best.id").alias("_id"), F.col("best.text_key").alias("_key"))
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import in_batches, scratch, text_of
 
 #: Hashes of the start mark and the end token, which no word is likely to have.
 BOS, EOS = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -329,7 +329,6 @@ def _scored(mapped: _Mapped, tokens: list[np.ndarray]) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 probability), perplexity."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mapped = _Mapped(model)
@@ -339,4 +338,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield out.assign(train_tokens=model.totals["tokens"], perplexity=10.0 ** (-out["score"] / out["n_tokens"]))[["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]]
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
+    return in_batches(rows, run, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sized, text_of
+from .common import cut, in_batches, sized, text_of
 
 _STATE: dict = {}
 
@@ -121,7 +121,6 @@ SCHEMA = "row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, row_key (a hash of the text), row (a number for the document's row), start, length, ids_crc32, doc_tokens and, if asked
     for, ids (binary, unsigned 32-bit numbers; 16-bit where the vocabulary allows)."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = ids_of(tokenizer)
@@ -140,15 +139,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             out = pd.DataFrame(dict(zip(("id", "row_key", "row", "start", "length", "ids_crc32", "doc_tokens", "ids"), rows, strict=True)))
             if not with_ids:
                 out = out.drop(columns="ids")
-            if kind.endswith("int"):
-                out["id"] = out["id"].astype("Int64")
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
+    return in_batches(rows, run, f"row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
 
 
-def _numbered(stable: DataFrame, kind: str, longest: int, with_ids: bool) -> DataFrame:
+def _numbered(stable: DataFrame, longest: int, with_ids: bool) -> DataFrame:
     """Add sequence_id: dense, by length, then partition of the checkpoint, then place in it. Rows stay where they are.
 
     What each task must know is the number of its first sequence of each length: partitions times lengths, 8 bytes each.
@@ -166,18 +163,17 @@ def _numbered(stable: DataFrame, kind: str, longest: int, with_ids: bool) -> Dat
             nth = pd.Series(which).groupby(which).cumcount().to_numpy()
             batch = batch.assign(sequence_id=at[which] + nth)
             at += np.bincount(which, minlength=len(at))
-            batch = batch.astype({"id": "Int64"}) if kind.endswith("int") else batch
             for i in range(0, len(batch), 1_000 if with_ids else max(1, len(batch))):  # ids are widened for few pieces at a time
                 part = batch.iloc[i : i + 1_000] if with_ids else batch
                 yield part.assign(ids=[np.frombuffer(x, f"<u{len(x) // n}").astype(np.int32) for x, n in zip(part["ids"], part["length"], strict=True)]) if with_ids else part
 
-    return stable.mapInPandas(run, f"id {kind}, row_key bigint, {SCHEMA}" + ", ids array<int>" * with_ids + ", sequence_id bigint")
+    return in_batches(stable, run, f"row_key bigint, {SCHEMA}" + ", ids array<int>" * with_ids + ", sequence_id bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id (dense, bucket by bucket, longest bucket last), offset (always 0), copy and, if asked for, ids (array<int>)."""
     stable = cut(pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids))
-    out = _numbered(stable, docs.schema[id_col].dataType.simpleString(), longest, with_ids)
+    out = _numbered(stable, longest, with_ids)
     # rows that share id and text: their pieces are numbered by the row
     same = Window.partitionBy("id", "row_key").orderBy("row")
     again = stable.where("start = 0").select(F.col("row").alias("_row"), (F.row_number().over(same) - 1).cast("long").alias("_copy")).where("_copy > 0")

@@ -21,8 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import partitions, text_of
+from .common import in_batches, partitions, text_of
 
 #: Two primes below 2^31 and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
@@ -112,12 +113,11 @@ def likeness(a: str, b: str) -> float:
 
 
 def _placed(heads: pd.DataFrame):
-    """heads (id, k), sorted, null ids first: what cuts rows into buckets. -> f(ids, keys) giving (bucket, is the row the head of its bucket?)."""
-    none = int(heads["id"].isna().sum())
+    """heads (id, none, k), sorted, null ids first: what cuts rows into buckets. -> f(ids, are they null?, keys) giving (bucket, is the row the head of its bucket?)."""
+    none = int(heads["none"].sum())
     of_none, known, keys = heads["k"].to_numpy(np.int64)[:none], heads["id"].to_numpy()[none:], heads["k"].to_numpy(np.int64)[none:]
 
-    def place(ids: pd.Series, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        missing = ids.isna().to_numpy()
+    def place(ids: pd.Series, missing: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bucket = np.searchsorted(of_none, k, "right")
         some = np.flatnonzero(~missing)
         values = ids.iloc[some].to_numpy(dtype=known.dtype)
@@ -135,7 +135,7 @@ def _placed(heads: pd.DataFrame):
     return place
 
 
-def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, rows_per_bucket: int = 100_000) -> DataFrame:
     """Stream rows in (id, text key) order through run(text, next text), which gives a tuple of the schema; one shuffle of the texts.
 
     Spark range-partitions the ids and text keys alone; the first of each range is a head (one id per rows_per_bucket rows comes to the driver,
@@ -143,25 +143,28 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, row
     that of the first one to the last. So every task has the next row of all its own, and holds two texts at a time, however large a bucket
     is. Ids may be of any type that Spark orders and pandas compares alike (numbers, texts, dates, timestamps).
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
-    names = [c.split()[0] for c in f"id {kind}, {schema}".split(", ")]
+    names = [c.split()[0] for c in f"id x, {schema}".split(", ")]
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], f"id {kind}, {schema}")
+        return spark.createDataFrame([], f"id {kind.simpleString()}, {schema}")
     wanted = max(-(-n // rows_per_bucket), min(4 * partitions(spark), -(-n // 200)))
     ranges = rows.select("id", "k").repartitionByRange(wanted, F.asc_nulls_first("id"), "k").groupBy(F.spark_partition_id().alias("p"))
-    heads = ranges.agg(F.min(F.struct("id", "k")).alias("head")).select("head.id", "head.k").orderBy(F.asc_nulls_first("id"), "k").toPandas()
+    # a null integer goes to Python as zero, with a mark: pandas would make floats of all
+    filled = F.coalesce("id", F.lit(0).cast(kind)) if isinstance(kind, IntegralType) else F.col("id")
+    heads = ranges.agg(F.min(F.struct("id", "k")).alias("head")).select("head.id", "head.k").orderBy(F.asc_nulls_first("id"), "k")
+    heads = heads.select(filled.alias("id"), F.col("id").isNull().alias("none"), "k").toPandas()
     place, buckets = _placed(heads), len(heads)
 
     @F.pandas_udf("struct<bucket int, head boolean>")
-    def dealt_to(ids: pd.Series, k: pd.Series) -> pd.DataFrame:
-        bucket, head = place(ids, k.to_numpy(np.int64))
+    def dealt_to(ids: pd.Series, none: pd.Series, k: pd.Series) -> pd.DataFrame:
+        bucket, head = place(ids, none.to_numpy(bool), k.to_numpy(np.int64))
         return pd.DataFrame({"bucket": bucket.astype(np.int32), "head": head})
 
     at = F.col("at")
     copies = F.array(F.struct(at["bucket"].alias("bucket"), F.lit(False).alias("sentinel")), F.when(at["head"], F.struct(F.pmod(at["bucket"] - 1, F.lit(buckets)).cast("int").alias("bucket"), F.lit(True).alias("sentinel"))))
-    dealt = rows.withColumn("at", dealt_to("id", "k")).withColumn("c", F.explode(F.array_compact(copies))).select("c.bucket", "c.sentinel", "id", "k", "text")
+    dealt = rows.withColumn("at", dealt_to(filled, F.col("id").isNull(), "k")).withColumn("c", F.explode(F.array_compact(copies))).select("c.bucket", "c.sentinel", "id", "k", "text")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, over = None, False  # held: the row that waits for its next one
@@ -173,10 +176,9 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str, row
                 if held is not None:
                     out.append((held[0], *run(held[1], text)))
                 held, over = (doc, text), sentinel
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"id": "Int64"}) if kind.endswith("int") else frame
+            yield pd.DataFrame(out, columns=names)
 
-    return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("sentinel", F.asc_nulls_first("id"), "k").mapInPandas(stream, f"id {kind}, {schema}")
+    return in_batches(dealt.repartitionById(buckets, "bucket").sortWithinPartitions("sentinel", F.asc_nulls_first("id"), "k"), stream, schema)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, slots: int = 128) -> DataFrame:

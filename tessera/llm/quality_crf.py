@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import text_of
 
@@ -178,13 +179,14 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample: int = 3_000, sample_chars: int = 64_000_000, usable=None) -> Chain:
-    """Chain fitted on at most `sample` labelled rows and `sample_chars` characters; usable: a condition on the id that a label must meet."""
+    """Chain fitted on at most `sample` labelled rows and `sample_chars` characters (a text of over a 16th of them is left out of the sample); usable: a condition on the id that a label must meet."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
     chosen = known.groupBy(id_col).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     met = docs.select(id_col, text_of(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # at most `sample` ids
     rows = met.orderBy(F.xxhash64(id_col), id_col, "_text").limit(sample)
     before = Window.orderBy(F.xxhash64(id_col), id_col, "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.where(F.length("_text") <= sample_chars // 16)
     rows = rows.withColumn("_sum", F.sum(F.length("_text")).over(before)).where(F.col("_sum") <= sample_chars).select("_text", "_label").collect()
     return fit_chain([r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64))
 
@@ -192,14 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (default: the id) and score (0 to 1, higher: better)."""
     keep = [id_col] if keep is None else keep
-    slim = docs.select(*keep, text_of(text_col).alias("_text"))
+    # integral columns travel as text: beside nulls, pandas would make floats of them
+    whole = [c for c in keep if isinstance(docs.schema[c].dataType, IntegralType)]
+    slim = docs.select(*(F.col(c).cast("string").alias(c) if c in whole else c for c in keep), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[keep].assign(score=score_texts(chain, batch["_text"].tolist()))
 
     schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInPandas(run, f"{schema}, score double")
+    return slim.mapInPandas(run, f"{schema}, score double").withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in whole})
 
 
 def keep_good(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -26,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_batches, text_of
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
 NEAR = 48
 _NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_\-]?key|credential|auth|bearer|private|key)"
-ANNOUNCED = re.compile(rf"{_NAME}[A-Za-z0-9_\-]{{0,24}}[\"'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:\"([^\s\"]{{6,}})\"|'([^\s']{{6,}})'|`([^\s`]{{6,}})`|([^\s\"'`]{{6,}}))", re.I)
+# (a whole name is taken at once, from its first sign on, however long it is)
+ANNOUNCED = re.compile(rf"(?<![A-Za-z0-9_\-])(?>[A-Za-z0-9_\-]*?{_NAME}[A-Za-z0-9_\-]*+)[\"'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:\"([^\s\"]{{6,}})\"|'([^\s']{{6,}})'|`([^\s`]{{6,}})`|([^\s\"'`]{{6,}}))", re.I)
 _NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*=(?=[^=]{8})")
 # Words that announce a secret, words that announce something else, words that occur in placeholders and names.
 ANNOUNCE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private", "credential", "auth", "bearer", "client_secret", "key")
@@ -72,8 +73,8 @@ PLAIN_WORDS = Language.of(DICTIONARY)
 
 
 def language(docs: DataFrame, text_col: str = "text", most: int = 20_000, least: int = 20, letters: int = 5) -> Language:
-    """PLAIN_WORDS and the words of `letters` letters or more that at least `least` texts of the corpus have, at most the `most` that most have (what is collected)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(rf"(?<![a-z0-9])[a-z]{{{letters},20}}(?![a-z0-9])"), F.lit(0)))
+    """PLAIN_WORDS and the words of `letters` letters or more, of any script, that at least `least` texts of the corpus have, at most the `most` that most have (what is collected)."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{letters},20}}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("w")).groupBy("w").count().where(F.col("count") >= least)
     return Language.of({*DICTIONARY, *counts.orderBy(F.desc("count"), "w").limit(most).select("w").toPandas()["w"]})
 
@@ -101,18 +102,19 @@ def features(candidate: str, left: str, right: str, lang: Language = PLAIN_WORDS
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    spans = []
+    spans, found = [], []  # spans: with the names before the values
     for m in ANNOUNCED.finditer(text):
         a, b = m.span(m.lastindex)
         if m.lastindex == 4:  # without quotes: marks of the sentence around it go
             b = a + len(text[a:b].rstrip(".,;:)]}>"))
         if b - a >= 6:
-            spans.append((a, b))
-    found, k = list(spans), 0
+            spans.append((m.start(), b))
+            found.append((a, b))
+    k = 0
     for m in CANDIDATE.finditer(text):
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
-        # plain words, and rules made of one sign, are none; nor is what overlaps a value after its name
+        # plain words, and rules made of one sign, are none; nor is what overlaps a value or the name before it
         if k < len(spans) and spans[k][0] < m.end():
             continue
         if not _WORDS_ONLY.fullmatch(m[0]) and not m[0].isupper() and len(set(m[0])) > 2 or m[0].isupper() and any(c.isdigit() for c in m[0]):
@@ -206,8 +208,6 @@ def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
     """One row per candidate: id, text_key (a hash of the text), start, end, candidate, features, probability (of a secret), secret."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
@@ -216,11 +216,10 @@ def scan(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
                     for column, x in zip(rows, (doc, key, a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], lang)), strict=True):
                         column.append(x)
             out = pd.DataFrame(dict(zip(("id", "text_key", "start", "end", "candidate", "features"), rows, strict=True)))
-            out = out.astype({"candidate": object, "features": object})  # also where there are none
-            yield out.astype({"id": "Int64"}) if kind.endswith("int") else out
+            yield out.astype({"id": object, "candidate": object, "features": object})  # also where there are none
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    found = rows.mapInPandas(run, f"id {kind}, text_key bigint, start bigint, end bigint, candidate string, features array<double>")
+    found = in_batches(rows, run, "text_key bigint, start bigint, end bigint, candidate string, features array<double>")
     scored = model.transform(found.withColumn("_v", array_to_vector("features")).withColumnRenamed("features", "_f").withColumnRenamed("_v", "features"))
     p = vector_to_array("probability")[1]
     return scored.select(F.col("id").alias(id_col), "text_key", "start", "end", "candidate", F.col("_f").alias("features"), p.alias("probability"), (p >= 0.5).alias("secret"))

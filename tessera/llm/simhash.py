@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, without
+from .common import cut, in_batches, text_of, without
 from .components import components
 
 SEGMENT, LOW = 31, np.uint64((1 << 31) - 1)
@@ -186,15 +186,13 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, text_key, fp bigint): text_key is a 64-bit hash of the text, to find a row again among others of the same id."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.fromiter((fingerprint(shingle_hashes(t, width)) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "fp": prints.view(np.int64)})
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, text_key bigint, fp bigint")
+    return in_batches(rows, run, "text_key bigint, fp bigint")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
