@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -54,6 +56,17 @@ def in_batches(rows: DataFrame, run, schema: str, id_col: str = "id") -> DataFra
     return rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"`{id_col}` string, {schema}").withColumn(id_col, F.col(id_col).cast(kind))
 
 
+def in_slices(rows: DataFrame, each, schema: str, step: int = 256) -> DataFrame:
+    """Arrow batches of rows, `step` rows of each at a time, through each(part), which yields batches of the schema. So few texts at a time become Python objects, and ids stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                yield from each(batch.slice(i, step))
+
+    return rows.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

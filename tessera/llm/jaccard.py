@@ -10,7 +10,8 @@ Two sets of distinct shingle hashes are linked if their Jaccard similarity is at
    such common shingles have at most the common ones together, which rules out most pairs before they are made; the remaining ones are
    counted per pair, and those that could still reach 4/5 are confirmed on the texts. Any sample gives the same links.
 
-Defined cases: null text is empty; texts of equal shingle sets are linked, also those without words; shorter texts are one shingle.
+Defined cases: null text is empty; texts of equal shingle sets are linked, also those without words; shorter texts are one shingle; a null id ranks after all others; rows that
+agree in id and text are one document, of which `drop_alike` keeps one row; extra columns are ignored, and stay as they are in `drop_alike`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, sized, text_of
+from .common import cut, in_slices, sized, text_of
 from .components import components
 from .simhash import fingerprint, keep_first, links as anchor_links, shingle_hashes
 
@@ -52,14 +54,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _common(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(text, width) for text in batch["text"]]
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+    def each(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [shingle_set(text.as_py(), width) for text in part["text"]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     share = min(1.0, SAMPLE / max(1, docs.count()))
     few = docs.select(text_of(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = few.mapInPandas(run, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON)
+    counts = in_slices(few, each, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON)
     return np.sort(counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -67,24 +68,25 @@ DESCRIBED = "text_key bigint, node bigint, n int, rare int, fp bigint, prefix ar
 
 
 def _described(width: int, common: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            node, n, rare, prints, first, least = [], [], [], [], [], []
-            for text in batch["text"]:
-                hashes = shingle_hashes(text, width)
-                s = np.unique(hashes)
-                node.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
-                n.append(len(s))
-                ahead, few = prefix(s, common)
-                rare.append(few)
-                prints.append(fingerprint(hashes))
-                first.append(ahead.view(np.int64))
-                least.append(np.array([(s * m).min() >> np.uint64(32) if len(s) else 0 for m in _ODD], np.uint64).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "node": node, "n": np.array(n, np.int32), "rare": np.array(rare, np.int32), "fp": np.array(prints, np.uint64).view(np.int64), "prefix": first, "least": least})
+        node, n, rare, prints, first, least = [], [], [], [], [], []
+        for text in part["text"]:
+            hashes = shingle_hashes(text.as_py(), width)
+            s = np.unique(hashes)
+            node.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
+            n.append(len(s))
+            ahead, few = prefix(s, common)
+            rare.append(few)
+            prints.append(fingerprint(hashes))
+            first.append(ahead.view(np.int64))
+            least.append(np.array([(s * m).min() >> np.uint64(32) if len(s) else 0 for m in _ODD], np.uint64).view(np.int64))
+        lists = pa.list_(pa.int64())
+        columns = [part["id"], part["text_key"], np.array(node, np.int64), np.array(n, np.int32), np.array(rare, np.int32), np.array(prints, np.uint64).view(np.int64), pa.array(first, lists), pa.array(least, lists)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["id", "text_key", *(x.split()[0] for x in DESCRIBED.split(", ")[1:])])
 
-    return run
+    return each
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,28 +128,26 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) of nodes whose texts are alike."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets: dict = {}
-            good = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
-                if a not in sets:
-                    sets[a] = shingle_set(x, width)
-                if b not in sets:
-                    sets[b] = shingle_set(y, width)
-                good.append(alike(sets[a], sets[b]))
-            yield batch.loc[good, ["a", "b"]]
+    def each(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets: dict = {}
+        good = []
+        for a, b, x, y in zip(*(part[c] for c in "abxy"), strict=True):
+            for node, text in ((a.as_py(), x), (b.as_py(), y)):
+                if node not in sets:
+                    sets[node] = shingle_set(text.as_py(), width)
+            good.append(alike(sets[a.as_py()], sets[b.as_py()]))
+        yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     some = texts.join(used, "node", "left_semi")
     both = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    return in_slices(both.select("a", "b", "x", "y"), each, "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, text_key, component_id, rep_key): component_id is the smallest id reachable by links of similarity 4/5 or more, rep_key the smallest text_key of its rows."""
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    rows = cut(in_batches(keyed, _described(width, _common(docs, width, text_col)), DESCRIBED))
+    rows = cut(in_slices(keyed, _described(width, _common(docs, width, text_col)), f"id {keyed.schema['id'].dataType.simpleString()}, {DESCRIBED}"))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"), *(F.first(c).alias(c) for c in ("n", "rare", "fp"))))
     held = nodes.select("node", F.col("best.id").alias("_id"), F.col("best.text_key").alias("_key"))
 

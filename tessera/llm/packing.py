@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def can_cut(settings: dict) -> bool:
 class Ids:
     """Ids of one tokenizer file, by cached pieces where its settings allow; one per worker process."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 100_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
@@ -122,27 +123,30 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """One row per piece: id, row_key (a hash of the text), row (a number for the document's row), start, length, ids_crc32, doc_tokens and, if asked
     for, ids (binary, unsigned 32-bit numbers; 16-bit where the vocabulary allows)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "row_key", *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(tokenizer)
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], [], [], [], []]
-            for doc, key, ids in zip(batch["id"], batch["row_key"], encode.many(batch["text"].tolist(), end), strict=True):
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts at a time are Python objects
+            at, rows, kept = [], [[], [], [], [], []], []
+            for i, ids in enumerate(encode.many(part["text"].to_pylist(), end)):
                 start = 0
                 data = memoryview(ids.astype("<u4").tobytes())
-                kept = ids.astype(encode.narrow) if with_ids else None
+                narrow = ids.astype(encode.narrow) if with_ids else None
                 for n in decompose(len(ids), longest):
-                    for column, x in zip(rows, (doc, key, number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids), kept[start : start + n].tobytes() if with_ids else None), strict=True):
+                    at.append(i)
+                    for column, x in zip(rows, (number, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids)), strict=True):
                         column.append(x)
+                    if with_ids:
+                        kept.append(narrow[start : start + n].tobytes())
                     start += n
                 number += 1
-            out = pd.DataFrame(dict(zip(("id", "row_key", "row", "start", "length", "ids_crc32", "doc_tokens", "ids"), rows, strict=True)))
-            if not with_ids:
-                out = out.drop(columns="ids")
-            yield out
+            columns = [part["id"].take(pa.array(at)), part["row_key"].take(pa.array(at)), *(pa.array(x, pa.int64()) for x in rows)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if with_ids else columns, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    return in_batches(rows, run, f"row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
 
 
 def _numbered(stable: DataFrame, longest: int, with_ids: bool) -> DataFrame:

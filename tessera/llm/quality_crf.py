@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
-from .common import text_of
+from .common import in_slices, text_of
 
 #: Byte classes: lower, upper, digit, space, sentence marks, other marks, beyond ASCII, line break or control.
 CLASSES = 8
@@ -163,7 +162,7 @@ def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
     out, i = [], 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size < 4_000_000):
+        while j < len(texts) and (j == i or size < 1_000_000):
             size += len(texts[j])
             j += 1
         x, weight, per_text = line_features(texts[i:j])
@@ -194,24 +193,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (default: the id) and score (0 to 1, higher: better)."""
     keep = [id_col] if keep is None else keep
-    # integral columns travel as text: beside nulls, pandas would make floats of them
-    whole = [c for c in keep if isinstance(docs.schema[c].dataType, IntegralType)]
-    slim = docs.select(*(F.col(c).cast("string").alias(c) if c in whole else c for c in keep), text_of(text_col).alias("_text"))
+    slim = docs.select(*keep, text_of(text_col).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keep].assign(score=score_texts(chain, batch["_text"].tolist()))
+    def each(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        scores = pa.array(score_texts(chain, part["_text"].to_pylist()))
+        yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), scores], [*keep, "score"])
 
     schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInPandas(run, f"{schema}, score double").withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in whole})
+    return in_slices(slim, each, f"{schema}, score double")
 
 
 def keep_good(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs whose score is `least` or more, with all their columns as they are."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(chain, text.tolist()))
+    @arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        step = 256  # few texts at a time are Python objects
+        return pa.array(np.concatenate([np.empty(0), *(score_texts(chain, text.slice(i, step).to_pylist()) for i in range(0, len(text), step))]))
 
     return docs.where(scored(text_of(text_col)) >= least)

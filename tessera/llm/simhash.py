@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, text_of, without
+from .common import cut, in_slices, text_of, without
 from .components import components
 
 SEGMENT, LOW = 31, np.uint64((1 << 31) - 1)
@@ -186,13 +187,12 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, text_key, fp bigint): text_key is a 64-bit hash of the text, to find a row again among others of the same id."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = np.fromiter((fingerprint(shingle_hashes(t, width)) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "fp": prints.view(np.int64)})
+    def each(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        prints = np.fromiter((fingerprint(shingle_hashes(t.as_py(), width)) for t in part["text"]), np.uint64, part.num_rows)
+        yield pa.RecordBatch.from_arrays([part["id"], part["text_key"], pa.array(prints.view(np.int64))], ["id", "text_key", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return in_batches(rows, run, "text_key bigint, fp bigint")
+    return in_slices(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, text_key bigint, fp bigint")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
