@@ -2,7 +2,8 @@
 
 Balanced markup is beyond regular expressions, so two small helpers run as Arrow-batched UDFs: the parameters of the first
 matching transclusion (`template_params`) and the cleaned value (`clean_value`). Both read a text once, in linear time, into a tree of its
-transclusions (`tree`) and walk over that. All else (comments, references, lead section, names) is done in Column expressions around them.
+transclusions (`tree`) and walk over that. `page_values` does for a page all that the fields of a job ask of it, in one call. All else (lead section, names,
+what is made of values) is done in Column expressions around them.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.functions.numbers import let
+from tessera.functions.text import ASCII_DIGITS
 
 _SIGN = re.compile(r"\{\{|\}\}|\[\[|\]\]|[|=]|(?i:<nowiki>)")
 _NOWIKI_END = re.compile("(?i:</nowiki>)")
-_LABEL = re.compile(r"\[\[([^\[\]|]*)\|[^\[\]]*\]\]")
+_LINK = re.compile(r"\[\[(?!\[)")
+_NOTE, _NOTE_END = re.compile(r"<ref(?=[\s/>])", re.I), re.compile(r"</ref\s*>", re.I)
+_NUMBER_OR_SIDE = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)|[NSEWnsew]")
+# Fixed value: templates of coordinates.
+COORDINATES = ("Coord", "Coordinate", "Coordinates")
 _LINK_OR_PIPE = re.compile(r"\[\[|\]\]|\|")
 
 
@@ -141,12 +146,42 @@ def first_piece(value: str) -> str:
     return value
 
 
+def unlabelled(value: str) -> str:
+    """Links without their labels. A link that holds another bracket, or isn't closed, stays as it is."""
+    head, *rest = _LINK.split(value)
+    out = [head]
+    for piece in rest:
+        inner, close, tail = piece.partition("]]")
+        target, bar, _ = inner.partition("|")
+        out.append(f"[[{target}]]{tail}" if close and bar and "[" not in inner and "]" not in inner else f"[[{piece}")
+    return "".join(out)
+
+
+def without_notes(text: str) -> str:
+    """Without comments (to the end, if one isn't closed) and without references; a reference that isn't closed stays."""
+    kept, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0:
+        kept.append(text[at:begin])
+        end = text.find("-->", begin + 4)
+        at = len(text) if end < 0 else end + 3
+    text, kept, at = "".join([*kept, text[at:]]), [], 0
+    while m := _NOTE.search(text, at):
+        end = text.find(">", m.end())
+        tag = text[m.end() : end] if end >= 0 else None
+        close = None
+        if tag is not None and (tag in ("", "/") or tag[0].isspace()):
+            close = end + 1 if tag.endswith("/") else (e := _NOTE_END.search(text, end + 1)) and e.end()
+        kept.append(text[at : m.start() if close else m.end()])
+        at = close or m.end()
+    return "".join([*kept, text[at:]])
+
+
 def cleaned(raw: str, unwrap: bool = False) -> str:
     """What a value parser should see; empty if no letter or digit is left."""
     value = raw.replace("{{!}}", "|")
     if "{{" in value:
         value = outside_calls(value, tree(value), 0, len(value), unwrap)
-    value = re.sub(r"'{2,}", "", _LABEL.sub(r"[[\1]]", value)).replace("&nbsp;", " ")
+    value = re.sub(r"'{2,}", "", unlabelled(value)).replace("&nbsp;", " ")
     value = " ".join(first_piece(value).split())
     return value if any(c.isalnum() for c in value) else ""
 
@@ -156,10 +191,28 @@ def lead_section(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A(.*?)(?:(?m:^=+[^=\n]+=+[ \t]*$).*)?\z", 1)
 
 
-def body(text: Column) -> Column:
-    """Without comments (to the end, if unterminated) and references."""
-    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
-    return F.regexp_replace(text, r"(?is)<ref(?:\s[^>]*)?/>|<ref(?:\s[^>]*)?>.*?</ref\s*>", "")
+def transcluded(text: str, known: set[str], prefixes: tuple[str, ...], first_letter: bool) -> dict[str, str] | None:
+    """Parameters of the first transclusion of a known name."""
+    calls = in_order(tree(text))
+    return next((params(text, c) for c in calls if plain_name(text[slice(*c.parts[0][:2])], prefixes, first_letter) in known), None)
+
+
+def unnamed(found: dict[str, str], first: int) -> list[str]:
+    """Values of the unnamed parameters from the first on, up to the first gap or empty one."""
+    out: list[str] = []
+    while value := found.get(str(first + len(out))):
+        out.append(value)
+    return out
+
+
+def coordinate(raw: str, prefixes: tuple[str, ...]) -> str:
+    """What a coordinate is read from: numbers and hemispheres at the start of a nested coordinate template, or else the cleaned text."""
+    found = transcluded(raw, {plain_name(n, (), True) for n in COORDINATES}, prefixes, True) if "{{" in raw else None
+    if found is None:
+        return cleaned(raw)
+    values = [v.strip().translate(ASCII_DIGITS) for v in unnamed(found, 1)]
+    end = next((i for i, v in enumerate(values) if not _NUMBER_OR_SIDE.fullmatch(v)), len(values))
+    return " ".join(values[:end])
 
 
 def template_params(text: Column, names: list[str], prefixes: tuple[str, ...] = ("Template",), first_letter: bool = True) -> Column:
@@ -168,14 +221,47 @@ def template_params(text: Column, names: list[str], prefixes: tuple[str, ...] =
 
     @pandas_udf("map<string,string>")
     def read(texts: pd.Series) -> pd.Series:
-        def one(t):
-            calls = in_order(tree(t)) if t is not None else ()
-            return next((params(t, c) for c in calls if plain_name(t[slice(*c.parts[0][:2])], prefixes, first_letter) in known), None)
-
-        return texts.map(one)
+        return texts.map(lambda t: None if t is None else transcluded(without_notes(t), known, prefixes, first_letter))
 
     # texts without any opening braces needn't cross to Python
-    return F.when(F.contains(text, F.lit("{{")), read(body(text)))
+    return F.when(F.contains(text, F.lit("{{")), read(text))
+
+
+VALUES = "struct<raw:map<string,string>,clean:map<string,string>>"
+
+
+def page_values(text: Column, names: list[str], wanted: list[str], runs: list[int] = [], prefixes: tuple[str, ...] = ("Template",), first_letter: bool = True, unwrap: bool = False) -> Column:  # noqa: B006
+    """struct(raw, clean): the wanted parameters that have a value, of the first transclusion of one of the names, as they are and cleaned; null if there is none.
+
+    runs: numbers from which on the unnamed parameters are wanted as well, up to the first gap.
+    """
+    known = {plain_name(n, prefixes, first_letter) for n in names}
+    asked = {n.strip() for n in wanted}
+
+    @pandas_udf(VALUES)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        def one(t: str | None) -> tuple:
+            found = None if t is None else transcluded(without_notes(t), known, prefixes, first_letter)
+            if found is None:
+                return None, None
+            keys = asked | {str(first + i) for first in runs for i in range(len(unnamed(found, first)))}
+            raw = {k: found[k] for k in keys if found.get(k)}
+            return raw, {k: cleaned(v, unwrap) for k, v in raw.items()}
+
+        return pd.DataFrame([one(t) for t in texts], columns=["raw", "clean"], dtype=object)
+
+    got = read(text)
+    return F.when(F.contains(text, F.lit("{{")), got)
+
+
+def coordinate_texts(values: Column, prefixes: tuple[str, ...] = ("Template",)) -> Column:
+    """array<string> -> what a coordinate is read from, for each."""
+
+    @pandas_udf("array<string>")
+    def read(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: None if texts is None else [None if t is None else coordinate(t, prefixes) for t in texts])
+
+    return read(values)
 
 
 def clean_value(raw: Column, unwrap: bool = False) -> Column:
@@ -203,23 +289,22 @@ def value_pattern(params: Column, pattern: str, clean=None) -> Column:
     return F.concat(*pieces)
 
 
-def unnamed_run(params: Column, first: str, most: int = 9) -> Column:
-    """Values of the unnamed parameters from `first` on, up to the first gap or empty one."""
-    at = lambda i: F.nullif(F.try_element_at(params, i.cast("string")), F.lit(""))
-    return up_to(F.transform(F.sequence(F.lit(int(first)), F.lit(int(first) + most)), at), lambda v: v.isNull())
-
+def coordinate_params(raw: Column, prefixes: tuple[str, ...] = ("Template",)) -> Column:
+    """What a coordinate is read from, for one text."""
+    return F.get(coordinate_texts(F.array(raw), prefixes), F.lit(0))
 
-def up_to(values: Column, stop) -> Column:
-    """The values before the first that `stop` holds for."""
 
-    def cut(x: Column) -> Column:
-        at = F.array_position(F.transform(x, stop), True).cast("int")
-        return F.when(at > 0, F.slice(x, 1, at - 1)).otherwise(x)
+def page_links(text: Column, category_prefixes: tuple[str, ...] = ("Category",)) -> Column:
+    """struct(templates, categories): the names of all transclusions and of all categories that a text names, as they are written."""
+    category = re.compile(rf"\[\[\s*(?:{'|'.join(map(re.escape, category_prefixes))})\s*:([^\[\]|]*)", re.I)
 
-    return let(values, cut)
+    @pandas_udf("struct<templates:array<string>,categories:array<string>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        def one(t: str | None) -> tuple[list[str], list[str]]:
+            plain = "" if t is None else without_notes(t)
+            named = [plain[slice(*c.parts[0][:2])].strip() for c in in_order(tree(plain))] if "{{" in plain else []
+            return list(dict.fromkeys(named)), list(dict.fromkeys(c.strip() for c in category.findall(plain)))
 
+        return pd.DataFrame([one(t) for t in texts], columns=["templates", "categories"], dtype=object)
 
-def coordinate_params(raw: Column, names: tuple[str, ...] = ("Coord", "Coordinate", "Coordinates"), prefixes: tuple[str, ...] = ("Template",)) -> Column:
-    """Leading unnamed parameters that are numbers or hemispheres of a nested coordinate template, joined; null without one."""
-    number = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)|[NSEWnsew])\z"
-    return let(template_params(raw, list(names), prefixes), lambda p: F.when(p.isNotNull(), F.array_join(up_to(unnamed_run(p, "1"), lambda v: ~v.rlike(number)), " ")))
+    return read(text)

@@ -10,13 +10,15 @@ from __future__ import annotations
 import datetime
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.patterns import whole_match
-from tessera.operators.closure import in_classes
+from tessera.operators.claims import MOST_SENT, reduced, text_rows, truthy, values_of
+from tessera.operators.closure import in_classes, members, reached
+from tessera.plans.lineage import checkpointed
 
 #: Kinds of constraints and what their messages call them.
 NAMES = {
@@ -101,17 +103,18 @@ def date_range(date: Column, low: tuple[int, int, int] | None, high: tuple[int,
 # rules on the item's own statements
 
 
-def _ranks(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    own = claims.groupBy("item", "property").agg(F.max(F.col("rank") != "deprecated").alias("_any"), F.max(F.col("rank") == "normal").alias("_normal"), F.max(F.col("rank") == "preferred").alias("_preferred"))
-    return rows.join(own, ["item", "property"])
+def _ranks(rows: DataFrame, claims: DataFrame, send: bool | None) -> DataFrame:
+    held = claims if send is None else reduced(claims, rows, {"property": "property", "item": "item"}, send) if send else claims.join(rows.select("property").distinct(), "property", "left_semi")
+    own = held.groupBy("property", "item").agg(F.max(F.col("rank") != "deprecated").alias("_any"), F.max(F.col("rank") == "normal").alias("_normal"), F.max(F.col("rank") == "preferred").alias("_preferred"))
+    return rows.join(own, ["property", "item"])
 
 
-def single_value(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    return _ranks(rows, claims).where("_any").select("row_id")
+def single_value(rows: DataFrame, claims: DataFrame, send: bool | None = None) -> DataFrame:
+    return _ranks(rows, claims, send).where("_any").select("row_id")
 
 
-def single_best_value(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    return _ranks(rows, claims).where("_normal AND NOT _preferred").select("row_id")
+def single_best_value(rows: DataFrame, claims: DataFrame, send: bool | None = None) -> DataFrame:
+    return _ranks(rows, claims, send).where("_normal AND NOT _preferred").select("row_id")
 
 
 def _having(claims: DataFrame, prop: str, values: list[str] | None) -> DataFrame:
@@ -120,66 +123,78 @@ def _having(claims: DataFrame, prop: str, values: list[str] | None) -> DataFrame
     return have.where(F.col("item_value").isin(*values)) if values else have
 
 
-def item_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None) -> DataFrame:
-    return rows.join(_having(claims, required, values), "item", "left_anti").select("row_id")
+def _near(claims: DataFrame, rows: DataFrame, column: str, send: bool | None) -> DataFrame:
+    """The claims of the rows' items (or of the items in another column), if these may be sent."""
+    return reduced(claims, rows, {"item": column}) if send else claims
 
 
-def conflicts_with(rows: DataFrame, claims: DataFrame, other: str, values: list[str] | None = None) -> DataFrame:
-    return rows.join(_having(claims, other, values), "item", "left_semi").select("row_id")
+def item_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None, send: bool | None = None) -> DataFrame:
+    return rows.join(_near(_having(claims, required, values), rows, "item", send), "item", "left_anti").select("row_id")
 
 
-def declared_conflicts(rows: DataFrame, claims: DataFrame, conflicts: DataFrame) -> DataFrame:
+def conflicts_with(rows: DataFrame, claims: DataFrame, other: str, values: list[str] | None = None, send: bool | None = None) -> DataFrame:
+    return rows.join(_near(_having(claims, other, values), rows, "item", send), "item", "left_semi").select("row_id")
+
+
+def declared_conflicts(rows: DataFrame, claims: DataFrame, conflicts: DataFrame, send: bool | None = None) -> DataFrame:
     """Conflicts that properties on the item declare with ours. conflicts: property, with_property, with_value (an item; null: any)."""
     mine = rows.join(conflicts, (rows["property"] == conflicts["with_property"]) & (conflicts["with_value"].isNull() | (rows["v_item"] == conflicts["with_value"])))
     mine = mine.select("row_id", "item", conflicts["property"].alias("_declares"))
-    have = claims.select(F.col("item").alias("_item"), F.col("property").alias("_has")).distinct()
+    have = _near(claims, rows, "item", send).select(F.col("item").alias("_item"), F.col("property").alias("_has")).distinct()
     return mine.join(have, (F.col("item") == F.col("_item")) & (F.col("_declares") == F.col("_has")), "left_semi").select("row_id").distinct()
 
 
 # rules on other items
 
 
-def truthy(claims: DataFrame) -> DataFrame:
-    """Statements of the best rank that their item and property have, without deprecated ones."""
-    top = F.max(F.col("rank") == "preferred").over(Window.partitionBy("item", "property"))
-    return claims.where("rank <> 'deprecated'").withColumn("_top", top).where("NOT _top OR rank = 'preferred'").drop("_top")
-
+def distinct_values(rows: DataFrame, claims: DataFrame, values: DataFrame | None = None, send: bool | None = None) -> DataFrame:
+    """Another item has the value, an item or a text that is in no language. Holders are reduced to their least and greatest per value, so a frequent value joins as one row.
 
-def distinct_values(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """Another item has the value, an item or a text. Holders are reduced to their least and greatest per value, so a frequent value joins as one row."""
-    kinds = [("v_item", "item_value"), ("v_text", "text_value")]
-    held = claims.select("item", "property", F.explode(F.array(*(F.struct(F.lit(v).alias("kind"), F.col(c).cast("string").alias("value")) for v, c in kinds))).alias("h")).where("h.value IS NOT NULL")
-    holders = held.groupBy(F.col("property").alias("_property"), "h").agg(F.min("item").alias("_a"), F.max("item").alias("_b"))
-    mine = rows.select("row_id", "item", "property", F.when(F.col("v_item").isNotNull(), F.struct(F.lit("v_item").alias("kind"), F.col("v_item").alias("value"))).when(F.col("v_text").isNotNull(), F.struct(F.lit("v_text").alias("kind"), F.col("v_text").alias("value"))).alias("_mine"))
-    return mine.where("_mine IS NOT NULL").join(holders, (F.col("property") == F.col("_property")) & (F.col("_mine") == F.col("h"))).where("_a <> item OR _b <> item").select("row_id")
+    values: the claims laid out by value (`claims.values_of`)."""
+    said = text_rows(rows)
+    mine = rows.select("row_id", "item", "property", F.when(F.col("v_item").isNotNull(), "v_item").otherwise("v_text").alias("kind"), F.coalesce("v_item", said).alias("value")).where("value IS NOT NULL")
+    held = values_of(claims) if values is None else values
+    if send:
+        held = reduced(held, mine, {"property": "property", "kind": "kind", "value": "value"})
+    holders = held.groupBy("property", "kind", "value").agg(F.min("item").alias("_a"), F.max("item").alias("_b"))
+    return mine.join(holders, ["property", "kind", "value"]).where("_a <> item OR _b <> item").select("row_id")
 
 
-def inverse(rows: DataFrame, claims: DataFrame, inverse_property: str | None = None) -> DataFrame:
+def inverse(rows: DataFrame, claims: DataFrame, inverse_property: str | None = None, send: bool | None = None) -> DataFrame:
     """The value's item doesn't point back, by the inverse property (symmetric: the same one), in a statement of its best rank."""
-    back = truthy(claims.where(F.col("property") == inverse_property) if inverse_property else claims).select(F.col("item").alias("_value"), F.col("property").alias("_property"), F.col("item_value").alias("_item")).distinct()
-    wanted = F.lit(inverse_property) if inverse_property else rows["property"]
-    same = (rows["v_item"] == back["_value"]) & (back["_property"] == wanted) & (rows["item"] == back["_item"])
-    return rows.where("v_item IS NOT NULL").join(back, same, "left_anti").select("row_id")
+    asked = rows.where("v_item IS NOT NULL").withColumn("_wanted", F.lit(inverse_property) if inverse_property else F.col("property"))
+    held = claims.where(F.col("property") == inverse_property) if inverse_property else claims
+    back = truthy(_near(held, asked, "v_item", send)).select(F.col("item").alias("_value"), F.col("property").alias("_property"), F.col("item_value").alias("_item"))
+    same = (back["_property"] == asked["_wanted"]) & (asked["v_item"] == back["_value"]) & (asked["item"] == back["_item"])
+    if not send:  # (a join on the keys of the layout; a row may meet several statements)
+        met = asked.join(back, (back["_property"] == asked["_wanted"]) & (asked["v_item"] == back["_value"])).where(asked["item"] == back["_item"]).select("row_id").distinct()
+        return asked.join(met, "row_id", "left_anti").select("row_id")
+    return asked.join(back, same, "left_anti").select("row_id")
 
 
-def value_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None) -> DataFrame:
-    have = _having(truthy(claims.where(F.col("property") == required)), required, values).select(F.col("item").alias("_value"))
-    return rows.where("v_item IS NOT NULL").join(have, F.col("v_item") == F.col("_value"), "left_anti").select("row_id")
+def value_requires_statement(rows: DataFrame, claims: DataFrame, required: str, values: list[str] | None = None, send: bool | None = None) -> DataFrame:
+    asked = rows.where("v_item IS NOT NULL")
+    have = _having(truthy(_near(claims.where(F.col("property") == required), asked, "v_item", send)), required, values).select(F.col("item").alias("_value"))
+    return asked.join(have, F.col("v_item") == F.col("_value"), "left_anti").select("row_id")
 
 
-def type_(rows: DataFrame, claims: DataFrame, subclass: DataFrame, classes: list[str], relation: tuple[str, ...] = ("P31",), of: str = "item") -> DataFrame:
-    """The item (or, for value type, the value's item: of "v_item") is in none of the classes; no class is no limit."""
+def type_(rows: DataFrame, claims: DataFrame, subclass: DataFrame | None, classes: list[str], relation: tuple[str, ...] = ("P31",), of: str = "item", below: DataFrame | None = None, send: bool | None = None) -> DataFrame:
+    """The item (or, for value type, the value's item: of "v_item") is in none of the classes; no class is no limit. below (node): the classes and their subclasses, where these are known."""
     if not classes:
         return rows.select("row_id").limit(0)
     asked = rows.where(F.col(of).isNotNull())
-    fine = in_classes(asked.select(F.col(of).alias("item")).distinct(), claims, subclass, classes, relation)
+    items = asked.select(F.col(of).alias("item")).distinct()
+    near = _near(claims.where(F.col("property").isin(*relation)), asked, of, send)
+    fine = members(items, near, below, relation) if below is not None else in_classes(items, near, subclass, classes, relation)
     return asked.join(fine.select(F.col("item").alias("_fine")), F.col(of) == F.col("_fine"), "left_anti").select("row_id")
 
 
-def commons_link(rows: DataFrame, pages: DataFrame, namespace: str | None = None) -> DataFrame:
-    """A text value without a page of its name. pages: namespace, title."""
-    there = pages.where(F.col("namespace") == (namespace or "")).select(F.col("title").alias("_title"))
-    return rows.where("v_text IS NOT NULL").join(there, F.col("v_text") == F.col("_title"), "left_anti").select("row_id")
+def commons_link(rows: DataFrame, pages: DataFrame, namespace: str | None = None, send: bool | None = None) -> DataFrame:
+    """A text value (in no language) without a page of its name. pages: namespace, title."""
+    there = pages.where(F.col("namespace") == (namespace or ""))
+    asked = rows.withColumn("_text", text_rows(rows)).where("_text IS NOT NULL")
+    there = (reduced(there, asked, {"title": "_text"}) if send else there).select(F.col("title").alias("_title"))
+    return asked.join(there, F.col("_text") == F.col("_title"), "left_anti").select("row_id")
 
 
 def first_violation(rows: DataFrame, rules: list[tuple]) -> DataFrame:
@@ -229,7 +244,8 @@ NOW = "unknown value"
 
 @dataclass
 class World:
-    """What rules that join read. classes: item, property, item_value (defaults to claims); subclass: child, parent; pages: namespace, title; conflicts: see declared_conflicts."""
+    """What rules that join read. classes: item, property, item_value, rank (defaults to claims); subclass: child, parent; pages: namespace, title; conflicts: see declared_conflicts; values: the claims by value
+    (`claims.ClaimTable`). send: are the rows few enough for their keys to be sent to all tasks (None: not known)? below: which groups of classes are above a class (`closure.reached`), and the groups."""
 
     claims: DataFrame
     classes: DataFrame | None = None
@@ -237,6 +253,9 @@ class World:
     pages: DataFrame | None = None
     conflicts: DataFrame | None = None
     today: datetime.date | None = None
+    values: DataFrame | None = None
+    send: bool | None = None
+    below: tuple[DataFrame, list[list[str]]] | None = None
 
 
 def _date(text: str | None, today: datetime.date | None) -> tuple[int, int, int] | None:
@@ -262,14 +281,18 @@ def _range(d: Definition, w: World) -> Column:
 
 def _conflicts(d: Definition, r: DataFrame, w: World) -> DataFrame | Column:
     other = next(iter(d.ids(PROPERTIES, "P")), None)
-    parts = [conflicts_with(r, w.claims, other, d.ids(ITEMS))] if other else []
-    parts += [declared_conflicts(r, w.claims, w.conflicts)] if w.conflicts is not None else []
+    parts = [conflicts_with(r, w.claims, other, d.ids(ITEMS), w.send)] if other else []
+    parts += [declared_conflicts(r, w.claims, w.conflicts, w.send)] if w.conflicts is not None else []
     return parts[0].union(parts[1]) if len(parts) > 1 else parts[0] if parts else F.lit(False)
 
 
 def _typed(d: Definition, r: DataFrame, w: World, of: str) -> DataFrame:
     relation = {SUBCLASS_ONLY: ("P279",), EITHER: ("P31", "P279")}.get(next(iter(d.ids(RELATION)), ""), ("P31",))
-    return type_(r, w.classes if w.classes is not None else w.claims, w.subclass, d.ids(CLASSES), relation, of)
+    classes = sorted(set(d.ids(CLASSES)))
+    below = None
+    if w.below is not None and classes in w.below[1]:
+        below = w.below[0].where(F.col("groups").bitwiseAND(F.lit(1 << w.below[1].index(classes))) != 0)
+    return type_(r, w.classes if w.classes is not None else w.claims, w.subclass, classes, relation, of, below, w.send)
 
 
 def _with_property(d: Definition, build: Callable) -> DataFrame | Column:
@@ -284,24 +307,24 @@ BUILD: dict[str, Callable] = {
     "allowed qualifiers": lambda d, r, w: allowed_qualifiers(F.col("used"), d.ids(PROPERTIES, "P")),
     "allowed units": lambda d, r, w: allowed_units(F.col("v_amount"), F.col("v_unit"), d.qualifiers.get(ITEMS, [])),
     "citation needed": lambda d, r, w: never(),
-    "Commons link": lambda d, r, w: commons_link(r, w.pages, d.first(NAMESPACE)),
+    "Commons link": lambda d, r, w: commons_link(r, w.pages, d.first(NAMESPACE), w.send),
     "conflicts with": _conflicts,
-    "distinct values": lambda d, r, w: distinct_values(r, w.claims),
+    "distinct values": lambda d, r, w: distinct_values(r, w.claims, w.values, w.send),
     "format": lambda d, r, w: format_(F.col("v_text"), d.first(PATTERN)) if d.first(PATTERN) is not None else F.lit(False),
     "integer": lambda d, r, w: integer(F.col("v_amount")),
-    "inverse": lambda d, r, w: _with_property(d, lambda p: inverse(r, w.claims, p)),
-    "item requires statement": lambda d, r, w: _with_property(d, lambda p: item_requires_statement(r, w.claims, p, d.ids(ITEMS))),
+    "inverse": lambda d, r, w: _with_property(d, lambda p: inverse(r, w.claims, p, w.send)),
+    "item requires statement": lambda d, r, w: _with_property(d, lambda p: item_requires_statement(r, w.claims, p, d.ids(ITEMS), w.send)),
     "mandatory qualifier": lambda d, r, w: mandatory_qualifier(F.col("used"), d.ids(PROPERTIES, "P")),
     "no bounds": lambda d, r, w: never(),
     "none of": lambda d, r, w: none_of(F.col("v_item"), d.ids(ITEMS)),
     "one of": lambda d, r, w: one_of(F.col("v_item"), d.ids(ITEMS)),
     "property scope": lambda d, r, w: property_scope(d.ids(SCOPES)),
     "range": lambda d, r, w: _range(d, w),
-    "single value": lambda d, r, w: single_value(r, w.claims),
-    "single best value": lambda d, r, w: single_best_value(r, w.claims),
-    "symmetric": lambda d, r, w: inverse(r, w.claims),
+    "single value": lambda d, r, w: single_value(r, w.claims, w.send),
+    "single best value": lambda d, r, w: single_best_value(r, w.claims, w.send),
+    "symmetric": lambda d, r, w: inverse(r, w.claims, None, w.send),
     "type": lambda d, r, w: _typed(d, r, w, "item"),
-    "value requires statement": lambda d, r, w: _with_property(d, lambda p: value_requires_statement(r, w.claims, p, d.ids(ITEMS))),
+    "value requires statement": lambda d, r, w: _with_property(d, lambda p: value_requires_statement(r, w.claims, p, d.ids(ITEMS), w.send)),
     "value type": lambda d, r, w: _typed(d, r, w, "v_item"),
 }
 
@@ -314,3 +337,58 @@ def selected(definitions: list[Definition], chosen: tuple[str, ...] | None = Non
 def rules(definitions: list[Definition], rows: DataFrame, world: World) -> list[tuple]:
     """What first_violation takes, in the order of definition; kinds that aren't known are left out."""
     return [(NAMES[d.kind], BUILD[NAMES[d.kind]](d, rows, world), d.ids(EXCEPTIONS)) for d in definitions if d.kind in NAMES]
+
+
+def with_classes(definitions: list[Definition], world: World) -> World:
+    """world with the classes below those that any of the definitions names, found in one walk."""
+    groups = sorted({tuple(sorted(set(d.ids(CLASSES)))) for d in definitions if NAMES.get(d.kind) in ("type", "value type") and d.ids(CLASSES)})
+    if not groups or world.subclass is None or len(groups) > 62:
+        return world
+    listed = [list(g) for g in groups]
+    return replace(world, below=(reached(listed, world.subclass.select(F.col("parent").alias("src"), F.col("child").alias("dst"))), listed))
+
+
+def violations(rows: DataFrame, tests: list[tuple], world: World, claims: DataFrame) -> DataFrame | None:
+    """(row_id, violation) of the rows that violate a rule: the first one in the order of definition; None without rules.
+
+    tests: (field, rule), where a rule is a Definition, or (name, f) with f(rows, claims) a condition or violating row ids. Rows have their field. Conditions are columns; a rule
+    that joins is a stage: rows that have violated an earlier rule, and rows of other fields, have left before it. What is left is checkpointed after each
+    stage, so a stage never repeats those before it.
+    """
+    if not tests:
+        return None
+    defined = [r for _, r in tests if isinstance(r, Definition)]
+    world = with_classes(defined, replace(world, send=rows.limit(MOST_SENT + 1).count() <= MOST_SENT if world.send is None else world.send))
+    found, left, waiting = [], rows, []
+
+    def settle(marks: Column, ids: DataFrame | None = None) -> None:
+        nonlocal left
+        marked = left if ids is None else left.join(ids.select(F.col("row_id").alias("_hit")).distinct(), F.col("row_id") == F.col("_hit"), "left")
+        marked = checkpointed(marked.withColumn("violation", marks).drop("_hit"))
+        found.append(marked.where("violation IS NOT NULL").select("row_id", "violation"))
+        left = marked.where("violation IS NULL").drop("violation")
+
+    for i, rule in tests:
+        mine = F.col("field") == i
+        if isinstance(rule, Definition):
+            if rule.kind not in NAMES:
+                continue
+            name, spared = NAMES[rule.kind], rule.ids(EXCEPTIONS)
+            build = lambda r, rule=rule, name=name: BUILD[name](rule, r, world)
+            mine = mine & ~F.col("item").isin(*spared) if spared else mine
+        else:
+            name, build = rule[0], lambda r, rule=rule: rule[1](r, claims)
+        test = build(left.where(mine))
+        if isinstance(test, Column):
+            waiting.append(F.when(mine & test, F.lit(name)))
+            continue
+        if waiting:
+            settle(F.coalesce(*waiting))
+            waiting, test = [], build(left.where(mine))
+        settle(F.when(F.col("_hit").isNotNull(), F.lit(name)), test)
+    if waiting:
+        found.append(left.withColumn("violation", F.coalesce(*waiting)).where("violation IS NOT NULL").select("row_id", "violation"))
+    out = found[0] if found else None
+    for part in found[1:]:
+        out = out.union(part)
+    return out

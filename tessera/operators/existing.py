@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import mentions
+from tessera.operators.claims import of_rows
+
+
+def of_items(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """The statements of the rows' items; found while the claims are scanned, where the items are few."""
+    return of_rows(claims, rows, {"item": "item"})
 
 
 def already_there(rows: DataFrame, claims: DataFrame, same, any_value: bool = False) -> DataFrame:
@@ -25,7 +31,7 @@ def already_there(rows: DataFrame, claims: DataFrame, same, any_value: bool = Fa
 
 def removed_before(rows: DataFrame, history: DataFrame, latest: int = 500) -> DataFrame:
     """rows (item, property, value) whose value one of the item's `latest` summaries says was removed."""
-    recent = history.join(rows.select("item").distinct(), "item", "left_semi")
+    recent = of_rows(history, rows, {"item": "item"})
     recent = recent.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("rev")))).where(F.col("_n") <= latest)
     removals = recent.where(F.col("comment").contains("wbremoveclaims-remove")).select(F.col("item").alias("_item"), "comment")
     needle = F.concat(F.lit("[[Property:"), F.col("property"), F.lit("]]: "), F.col("value"))

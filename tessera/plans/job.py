@@ -81,6 +81,7 @@ def _number(text: str) -> int | None:
     return int(text) if re.fullmatch(r"-?[0-9]+", text) else None
 
 
+# The keys of permalinks (here and in `from_query` and `to_query`), which old links hold.
 # Keys that set one field: key -> (field, reader). Readers of raw keys get the text untrimmed.
 _RAW = {"pattern": "value_pattern", "sparql": "items_sql", "addprefix": "add_prefix", "prefix": "add_prefix", "addsuffix": "add_suffix", "removeprefix": "remove_prefix", "removesuffix": "remove_suffix", "searchvalue": "search", "replacevalue": "replacement"}
 _READ = {

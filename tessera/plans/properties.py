@@ -9,12 +9,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import numbers as N
+from tessera.functions.text import db_key
 from tessera.operators import constraints
 from tessera.sources import lookups
 
+from .evaluate import fixed_value
 from .job import DATATYPES, InvalidSpec, JobSpec, for_extra, validate
 
 # Properties and items that describe a property.
@@ -88,51 +91,107 @@ def load(props: DataFrame, ids: list[str]) -> dict[str, Property]:
     return out
 
 
+@dataclass(frozen=True)
+class Site:
+    """The wiki of a specification: where it is, how it names things, and its item."""
+
+    host: str
+    dbname: str = ""
+    language: str = "en"
+    edition: str | None = None
+    namespaces: dict[int, str] = field(default_factory=dict)
+    template_prefixes: tuple[str, ...] = ("Template",)
+    file_prefixes: tuple[str, ...] = ("File", "Image")
+    category_prefixes: tuple[str, ...] = ("Category",)
+    first_letter: bool = True
+    months: dict[str, int] = field(default_factory=dict)
+
+    def key(self, name: str, namespace: int) -> str:
+        """A name as it was typed -> the key under which the database has it: no prefix, one underscore for blanks, the first letter in upper case where the wiki has it so."""
+        prefixes = {10: self.template_prefixes, 14: self.category_prefixes, 6: self.file_prefixes}.get(namespace, ())
+        row = SparkSession.active().range(1).select(db_key(F.lit(name), tuple(p for p in prefixes if p), self.first_letter or namespace != 10).alias("k")).first()
+        return row["k"]
+
+
+def site_of(host: str, sites: DataFrame, claims: DataFrame | None = None) -> Site:
+    """sites: host, info (the JSON by which a site describes itself), one row each; claims: where a wiki's own item is looked up. InvalidSpec if there is no such site."""
+    found = sites.where(F.col("host") == host).select(lookups.site(F.col("info")).alias("s")).limit(1).collect()
+    if not found:
+        raise InvalidSpec(f"cannot reach {host}")
+    s = found[0]["s"]
+    if not re.fullmatch(r"[a-z0-9_]+", s["dbname"] or ""):
+        raise InvalidSpec(f"{host} reports an invalid name of its database")
+    language = s["language"] or "en"
+    prefixes = {n: tuple(p for p in s[f"{n}_prefixes"] if p) for n in ("template", "file", "category")}
+    return Site(
+        host, s["dbname"], language, lookups.edition(claims, s["dbname"]) if claims is not None else None, {k: v for k, v in (s["namespaces"] or {}).items() if v},
+        prefixes["template"], prefixes["file"], prefixes["category"], s["first_letter"], N.month_names(sites.sparkSession, [language])[language],
+    )
+
+
+def plain_site(spec: JobSpec, spark: SparkSession) -> Site:
+    """What can be said of a specification's wiki without its description."""
+    host = lookups.host_for(spec.siteid, spec.project)
+    kind = {"wikipedia": "wiki"}.get(spec.project, spec.project)
+    language = "en" if spec.project in ("commons", "species") else spec.siteid
+    dbname = f"{spec.project}wiki" if spec.project in ("commons", "species") else f"{spec.siteid.replace('-', '_')}{kind}"
+    return Site(host, dbname, language, "Q328" if dbname == "enwiki" else None, months=N.month_names(spark, [language])[language])
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A specification with all that is looked up once for a run."""
 
     spec: JobSpec
     property: Property
-    host: str
+    site: Site
     names: tuple[str, ...]
     rules: tuple[constraints.Definition, ...]
     datatypes: dict[str, str]
     units: DataFrame | None = None
     extras: tuple[Prepared, ...] = field(default=())
 
+    @property
+    def host(self) -> str:
+        return self.site.host
 
-def _fixed(prop: str, datatype: str, text: str) -> str:
-    """A typed-in qualifier value, as far as it can be checked without a row."""
-    text = text.strip()
-    bad = InvalidSpec(f"qualifier {prop}: '{text}' is no value")
-    if not text or datatype == "wikibase-item" and not re.fullmatch(r"Q[1-9][0-9]*", text):
-        raise bad
-    if datatype == "monolingualtext":
-        said, _, language = text.rpartition("@")
-        if not said or not re.fullmatch(r"[a-z][a-z0-9-]{0,19}", language):
-            raise bad
-    return text
 
+def _fixed(spark: SparkSession, prop: str, datatype: str, text: str, spec: JobSpec) -> str:
+    """A typed-in qualifier value, if it is one."""
+    values = fixed_value(datatype, text, spec)[0]
+    if not text.strip() or all(v is None for v in spark.range(1).select(*(v.alias(k) for k, v in values.items())).first()):
+        raise InvalidSpec(f"qualifier {prop}: '{text.strip()}' is no value")
+    return text.strip()
 
-def prepare(spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame | None = None, templates: DataFrame | None = None) -> Prepared:
+
+def prepare(
+    spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame | None = None, templates: DataFrame | None = None, sites: DataFrame | None = None, claims: DataFrame | None = None
+) -> Prepared:
     """Check a specification against its properties and look up what a run needs; InvalidSpec says what can't work.
 
     redirects: from_title, to_title in the template namespace, names without prefix; templates: title of each template (None: all exist);
-    names: item, language, text of units' labels and aliases, and of their symbols with a null language.
+    names: item, language, text of units' labels and aliases, and of their symbols with a null language; sites: see `site_of` (None: what follows from the
+    specification alone); claims: where the wiki's own item is found.
     """
-    main = _one(spec, props, redirects, names, templates, True)
+    if spec.items_sql.strip() and not re.search(r"\bitem\b", spec.items_sql):
+        raise InvalidSpec("the query must give a column item")
+    if spec.value_pattern and not re.search(r"\{[^{}]+\}", spec.value_pattern):
+        raise InvalidSpec("the value pattern needs a {parameter}")
+    if not spec.template.strip():
+        raise InvalidSpec("no template")
+    host = lookups.host_for(spec.siteid, spec.project)
+    site = plain_site(spec, props.sparkSession) if sites is None else site_of(host, sites, claims)
+    main = _one(spec, props, redirects, names, templates, True, site)
     extras = []
     for i, (prop, _) in enumerate(spec.extra_properties):
         try:
-            extras.append(_one(for_extra(spec, i), props, redirects, names, templates, False))
+            extras.append(_one(for_extra(spec, i), props, redirects, names, templates, False, site))
         except InvalidSpec as e:
             raise InvalidSpec(f"{prop}: {e}") from None
     return replace(main, extras=tuple(extras))
 
 
-def _one(spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame | None, templates: DataFrame | None, main: bool) -> Prepared:
-    host = lookups.host_for(spec.siteid, spec.project)
+def _one(spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame | None, templates: DataFrame | None, main: bool, site: Site) -> Prepared:
     if spec.property is None:
         raise InvalidSpec("no property")
     asked = [spec.property, *(p for p, _, _ in spec.qualifiers)]
@@ -146,7 +205,7 @@ def _one(spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame
     units = prop.allowed_units() if prop.datatype == "quantity" else None
     if main and units is not None and spec.unit not in units:
         raise InvalidSpec(f"{spec.unit or 'no unit'} is not an allowed unit for {prop.id}")
-    also = lookups.template_redirects(spec.template, redirects, templates) if spec.template.strip() else []
+    also = lookups.template_redirects(site.key(spec.template, 10), redirects, templates, site.template_prefixes, site.first_letter) if spec.template.strip() else []
     if also is None:
         raise InvalidSpec(f"Template:{spec.template} does not exist")
     qualifiers = []
@@ -158,14 +217,14 @@ def _one(spec: JobSpec, props: DataFrame, redirects: DataFrame, names: DataFrame
             raise InvalidSpec(f"qualifier {p} ({q.datatype}) is not supported")
         if kind == "param" and not _names(text):
             raise InvalidSpec(f"qualifier {p}: no parameter")
-        qualifiers.append((p, kind, _fixed(p, q.datatype, text) if kind == "fixed" else text))
+        qualifiers.append((p, kind, _fixed(props.sparkSession, p, q.datatype, text, spec) if kind == "fixed" else text))
     keep = tuple(r for r in also if spec.template_redirects is None or r in spec.template_redirects)
     wanted = [u for u in (units if units is not None else [spec.unit]) if u]
     table = None
     if prop.datatype == "quantity" and names is not None:
-        said = names.where(F.col("language").isNull() | F.col("language").isin("en", spec.language or spec.siteid)).where(F.col("item").isin(*wanted) if wanted else F.lit(False))
+        said = names.where(F.col("language").isNull() | F.col("language").isin("en", site.language)).where(F.col("item").isin(*wanted) if wanted else F.lit(False))
         table = lookups.unit_names(said.select("item", "text"))
-    return Prepared(replace(spec, qualifiers=tuple(qualifiers), template_redirects=keep), prop, host, (spec.template, *keep), tuple(constraints.selected(list(prop.constraints), spec.constraints)), {p: known[p].datatype for p in asked}, table)
+    return Prepared(replace(spec, qualifiers=tuple(qualifiers), template_redirects=keep), prop, site, (spec.template, *keep), tuple(constraints.selected(list(prop.constraints), spec.constraints)), {p: known[p].datatype for p in asked}, table)
 
 
 def _names(text: str) -> list[str]:

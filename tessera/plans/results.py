@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tags as tag_list
@@ -91,6 +91,13 @@ def add_rows(rows: DataFrame, path: str) -> None:
     rows.select("run_id", "seq", "page_id", "title", "item", "field", F.lit("pending").alias("status")).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """rows, and the counts of their statuses (and `total`), which are known once the rows have been written or collected: they are taken on the way, without a second pass over them."""
+    seen = Observation(name)
+    known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("error")
+    return rows.observe(seen, F.count(F.lit(1)).alias("total"), *(F.count_if(known == s).alias(s) for s in STATUSES)), seen
+
+
 def latest_runs(runs: DataFrame, user_id: int | None = None, limit: int = 100) -> DataFrame:
     """The newest runs, of one user or of all."""
     return (runs if user_id is None else runs.where(F.col("user_id") == user_id)).orderBy(F.desc("id")).limit(limit)
@@ -128,6 +135,14 @@ def shares_with_tags(shares: DataFrame, tags: DataFrame) -> DataFrame:
     return shares.join(lists, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).orderBy(F.desc("id"))
 
 
+def new_share(shares: DataFrame, share_id: int, user_id: int, user_name: str, title: str, spec_json: str, created: int) -> DataFrame:
+    """shares with a new one; ValueError if there is one of the id."""
+    if not shares.where(F.col("id") == share_id).isEmpty():
+        raise ValueError(f"there is a share {share_id}")
+    row = {"id": share_id, "user_id": user_id, "user_name": user_name, "title": title, "spec": spec_json, "created": created}
+    return shares.unionByName(shares.sparkSession.range(1).select(*((F.lit(row.get(f.name)).cast(f.dataType)).alias(f.name) for f in shares.schema)))
+
+
 def without_shares(shares: DataFrame, tags: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """shares and their tags without those of gone (id)."""
     return shares.join(gone, "id", "left_anti"), tags.join(gone.select(F.col("id").alias("share_id")), "share_id", "left_anti")
@@ -178,4 +193,4 @@ def natural_key(text: Column) -> Column:
 
 def write_log(rows: DataFrame, path: str) -> None:
     """CSV log of a run, ordered by seq, as one file; nulls are empty fields. (A run's log is what a person downloads: its size is bound by the limit of candidates.)"""
-    rows.orderBy("seq").select(*LOG_COLUMNS).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.orderBy("seq").select(*LOG_COLUMNS).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,37 +13,11 @@ from tessera.operators import closure
 from tessera.sources import lookups
 
 from . import candidates
-from .evaluate import Catalog, evaluate
+from .evaluate import Catalog, Field, evaluate_fields
 from .job import JobSpec
 from .lineage import checkpointed
-from .properties import Prepared
-
-
-@dataclass
-class Wiki:
-    """A wiki's tables, as `candidates.transclusions` and `closure` read them, and claims of the repository."""
-
-    linktarget: DataFrame
-    templatelinks: DataFrame
-    page: DataFrame
-    page_props: DataFrame
-    categorylinks: DataFrame
-    claims: DataFrame
-    subclass: DataFrame
-    dbname: str
-
-
-def first_that_works(sources: Iterable[Callable[[], DataFrame]]) -> DataFrame:
-    """The result of the first source that can be asked. A limit that is exceeded is an answer, not a failure, and is raised at once."""
-    last: Exception | None = None
-    for ask in sources:
-        try:
-            return ask()
-        except closure.LimitExceeded:
-            raise
-        except Exception as e:  # noqa: BLE001  whatever keeps a source from being read
-            last = e
-    raise last if last is not None else ValueError("no source")
+from .pages import PageSource, TableSource, Wiki, first_that_works  # noqa: F401
+from .properties import Prepared, Site, plain_site
 
 
 def manual_names(entries: tuple[str, ...], spark) -> list[str]:
@@ -53,18 +26,18 @@ def manual_names(entries: tuple[str, ...], spark) -> list[str]:
     return sorted(r["t"] for r in rows.collect())
 
 
-def candidate_pages(spec: JobSpec, wiki: Wiki, saved: DataFrame | None = None, saved_wiki: str | None = None, most_pages: int = 500_000, most_categories: int = 20_000) -> DataFrame:
+def candidate_pages(spec: JobSpec, wiki: Wiki, saved: DataFrame | None = None, saved_wiki: str | None = None, most_pages: int = 500_000, most_categories: int = 20_000, site: Site | None = None, source: PageSource | None = None) -> DataFrame:
     """Pages that use the template, with `reason`: the filter of the specification that drops them, null for candidates.
 
-    saved: page_id, namespace, title of the saved query that the specification names, on saved_wiki.
+    saved: page_id, namespace, title of the saved query that the specification names, on saved_wiki. site: the specification's wiki, by whose rules names are read (`Prepared.site`). source: where pages are found, the wiki's tables unless given.
     """
     spark = wiki.page.sparkSession
-    key = spec.template.replace(" ", "_") if wiki.linktarget.where(F.col("title") == spec.template).isEmpty() else spec.template
-    pages = candidates.transclusions(wiki.linktarget, wiki.templatelinks, wiki.page, wiki.page_props, key, spec.namespace)
+    site = site or plain_site(spec, spark)
+    source = source or TableSource(wiki)
+    pages = source.transclusions(site.key(spec.template, 10), spec.namespace)
     filters = candidates.Filters(manual=manual_names(spec.manual_list, spark) if spec.manual_list else [])
     if spec.category.strip():
-        seed = spark.createDataFrame([(spec.category.strip(),)], "node string")
-        filters.category = closure.category_members(seed, wiki.categorylinks, spec.depth, most_pages, most_categories)
+        filters.category = source.category_members(site.key(spec.category, 14), spec.depth, most_pages, most_categories)
     if spec.saved_query is not None:
         filters.saved_pages, filters.saved_items = lookups.saved_query(saved, saved_wiki or wiki.dbname, wiki.dbname)
     if spec.items_sql.strip():
@@ -75,7 +48,8 @@ def candidate_pages(spec: JobSpec, wiki: Wiki, saved: DataFrame | None = None, s
     # with several properties, a page may matter for one even if it has another
     if spec.skip_any_value and not spec.extra_properties:
         filters.set_items = wiki.claims.where(F.col("property") == spec.property).select("item")
-    return checkpointed(candidates.limited(candidates.cascade(pages, filters), most_pages))
+    # the cascade runs once; the limit is on the pages that it has looked at
+    return candidates.limited(checkpointed(candidates.cascade(pages, filters)), most_pages)
 
 
 def excluded_json(marked: DataFrame) -> str:
@@ -83,11 +57,14 @@ def excluded_json(marked: DataFrame) -> str:
     return json.dumps({r["reason"]: r["n"] for r in candidates.excluded(marked).orderBy("reason").collect()})
 
 
+def catalog_of(prepared: Prepared, catalog: Catalog) -> Catalog:
+    """The catalog with what is known of the specification's own wiki: references name it, and its templates, files, dates and namespaces are read by its rules."""
+    site = prepared.site
+    return replace(catalog, host=site.host, dbname=site.dbname or catalog.dbname, language=site.language, edition=site.edition, prefixes=site.template_prefixes, file_prefixes=site.file_prefixes, namespaces=site.namespaces, first_letter=site.first_letter, months=site.months)
+
+
 def outcomes(prepared: Prepared, marked: DataFrame, revisions: DataFrame, catalog: Catalog) -> DataFrame:
-    """Outcomes of the candidates for the main property (field 0) and the extra ones (1, 2, ...)."""
-    pages, out = marked.where("reason IS NULL").select("page_id", "title", "item"), None
-    for i, one in enumerate((prepared, *prepared.extras)):
-        own = catalog if one.units is None else Catalog(**{**vars(catalog), "units": one.units})
-        rows = evaluate(pages, revisions, one.spec, one.property.datatype, own, one.rules, one.datatypes).withColumn("field", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Outcomes of the candidates for the main property (field 0) and the extra ones (1, 2, ...); pages are read once for all of them."""
+    pages = marked.where("reason IS NULL").select("page_id", "title", "item")
+    fields = [Field(one.spec, one.property.datatype, one.rules, one.datatypes, one.units) for one in (prepared, *prepared.extras)]
+    return evaluate_fields(pages, revisions, fields, catalog_of(prepared, catalog))

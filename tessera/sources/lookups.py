@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import title
+from tessera.functions.text import db_key
+from tessera.plans.lineage import checkpointed
 
 
 def with_revisions(rows: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -32,9 +33,31 @@ def file_locations(names: DataFrame, images: DataFrame, on_shared_wiki: bool = F
     return names.join(held, "name", "left").select("name", state.alias("state"))
 
 
-def current_items(items: DataFrame, merges: DataFrame, existing: DataFrame) -> DataFrame:
-    """items (item), merges (from_item, to_item), existing (item) -> item, current (the item it was merged into), exists."""
-    out = items.join(merges, F.col("item") == F.col("from_item"), "left").withColumn("current", F.coalesce("to_item", "item"))
+def last_items(merges: DataFrame) -> DataFrame:
+    """merges (from_item, to_item) -> from_item, last_item: where its chain of merges ends; null for chains that end in a circle.
+
+    Pointers are doubled: each round, an item points to where its target pointed, so a chain of n merges takes log2(n) rounds, each a join and a checkpoint. The number of items that
+    point to an item which points on falls in every round until all chains have ended; what is left then goes round.
+    """
+    jumps = checkpointed(merges.where("from_item IS NOT NULL AND to_item IS NOT NULL").groupBy("from_item").agg(F.min("to_item").alias("to_item")))
+    left = None
+    while True:
+        ahead = jumps.select(F.col("from_item").alias("_at"), F.col("to_item").alias("_next"))
+        jumps = checkpointed(jumps.join(ahead, F.col("to_item") == F.col("_at"), "left").select("from_item", F.coalesce("_next", "to_item").alias("to_item"), F.col("_at").isNotNull().alias("_on")))
+        now = jumps.where("_on").count()
+        if now == 0 or now == left:
+            return jumps.select("from_item", F.when(~F.col("_on"), F.col("to_item")).alias("last_item"))
+        left, jumps = now, jumps.drop("_on")
+
+
+def current_items(items: DataFrame, merges: DataFrame | None, existing: DataFrame | None) -> DataFrame:
+    """items (item), merges (from_item, to_item), existing (item) -> item, current (the last item of its chain of merges), exists. None for merges: there are none; for existing: all items exist."""
+    out = items.withColumn("current", F.col("item"))
+    if merges is not None:
+        last = last_items(merges).select(F.col("from_item").alias("_from"), "last_item")
+        out = out.join(last, F.col("item") == F.col("_from"), "left").withColumn("current", F.when(F.col("_from").isNull(), F.col("item")).otherwise(F.col("last_item")))
+    if existing is None:
+        return out.select("item", "current", F.col("current").isNotNull().alias("exists"))
     known = existing.select(F.col("item").alias("_item")).distinct()
     return out.join(known, F.col("current") == F.col("_item"), "left").select("item", "current", F.col("_item").isNotNull().alias("exists"))
 
@@ -69,14 +92,19 @@ SITE = "struct<general:struct<wikiid:string,lang:string>,namespaces:map<string,s
 
 
 def site(info: Column) -> Column:
-    """struct(dbname, language, namespaces map<int,string>, template_prefixes, first_letter) of a site's JSON description."""
+    """struct(dbname, language, namespaces map<int,string>, template_prefixes, file_prefixes, category_prefixes, first_letter) of a site's JSON description."""
     s = F.from_json(info, SITE)
     spaces = F.map_values(s["namespaces"])
     template = F.filter(spaces, lambda n: n["id"] == 10)
-    prefixes = F.array_distinct(F.flatten(F.array(F.transform(template, lambda n: n["name"]), F.transform(template, lambda n: n["canonical"]), F.transform(F.filter(s["namespacealiases"], lambda a: a["id"] == 10), lambda a: a["alias"]))))
+
+    def prefixes(number: int) -> Column:
+        own = F.filter(spaces, lambda n: n["id"] == number)
+        aliases = F.filter(F.coalesce(s["namespacealiases"], F.array()), lambda a: a["id"] == number)
+        return F.array_distinct(F.array_compact(F.flatten(F.array(F.transform(own, lambda n: n["name"]), F.transform(own, lambda n: n["canonical"]), F.transform(aliases, lambda a: a["alias"])))))
+
     return F.struct(
         s["general"]["wikiid"].alias("dbname"), s["general"]["lang"].alias("language"), F.map_from_entries(F.transform(spaces, lambda n: F.struct(n["id"], n["name"]))).alias("namespaces"),
-        prefixes.alias("template_prefixes"), F.coalesce(F.get(template, F.lit(0))["case"], F.lit("first-letter")).eqNullSafe("first-letter").alias("first_letter"),
+        *(prefixes(k).alias(f"{n}_prefixes") for n, k in (("template", 10), ("file", 6), ("category", 14))), F.coalesce(F.get(template, F.lit(0))["case"], F.lit("first-letter")).eqNullSafe("first-letter").alias("first_letter"),
     )
 
 
@@ -119,10 +147,10 @@ def host_for(siteid: str, project: str) -> str:
     return f"{siteid}.{project}.org"
 
 
-def template_redirects(template: str, redirects: DataFrame, templates: DataFrame | None = None) -> list[str] | None:
+def template_redirects(template: str, redirects: DataFrame, templates: DataFrame | None = None, prefixes: tuple[str, ...] = (), first_letter: bool = True) -> list[str] | None:
     """Names that redirect to a template, sorted; None if it doesn't exist. A template has a few dozen of them."""
-    name = lambda c: title(F.col(c))
-    wanted = title(F.lit(template))
+    shown = lambda c: F.replace(db_key(c, prefixes, first_letter), F.lit("_"), F.lit(" "))
+    name, wanted = lambda c: shown(F.col(c)), shown(F.lit(template))
     if templates is not None and templates.where(name("title") == wanted).isEmpty():
         return None
     found = redirects.where(name("to_title") == wanted).select(name("from_title").alias("name")).distinct()

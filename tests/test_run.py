@@ -21,7 +21,7 @@ def test_new_run_and_log(spark, tmp_path):
     files = glob.glob(f"{tmp_path}/log/*.csv")
     assert len(files) == 1
     with open(files[0], newline="") as f:
-        assert list(csv.reader(f, escapechar="\\")) == [list(results.LOG_COLUMNS), ["10", "A", "Q1", "done", "r", "v", "m"], ["11", 'B, "b"', "", "ready", "raw", "", ""]]
+        assert list(csv.reader(f)) == [list(results.LOG_COLUMNS), ["10", "A", "Q1", "done", "r", "v", "m"], ["11", 'B, "b"', "", "ready", "raw", "", ""]]
 
 
 def test_tags_keys_and_hosts(spark):
