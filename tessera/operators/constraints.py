@@ -104,7 +104,7 @@ def date_range(date: Column, low: tuple[int, int, int] | None, high: tuple[int,
 
 
 def _ranks(rows: DataFrame, claims: DataFrame, send: bool | None) -> DataFrame:
-    held = claims if send is None else reduced(claims, rows, {"property": "property", "item": "item"}, send) if send else claims.join(rows.select("property").distinct(), "property", "left_semi")
+    held = reduced(claims, rows, {"property": "property", "item": "item"}) if send else claims
     own = held.groupBy("property", "item").agg(F.max(F.col("rank") != "deprecated").alias("_any"), F.max(F.col("rank") == "normal").alias("_normal"), F.max(F.col("rank") == "preferred").alias("_preferred"))
     return rows.join(own, ["property", "item"])
 
@@ -166,9 +166,8 @@ def inverse(rows: DataFrame, claims: DataFrame, inverse_property: str | None = N
     held = claims.where(F.col("property") == inverse_property) if inverse_property else claims
     back = truthy(_near(held, asked, "v_item", send)).select(F.col("item").alias("_value"), F.col("property").alias("_property"), F.col("item_value").alias("_item"))
     same = (back["_property"] == asked["_wanted"]) & (asked["v_item"] == back["_value"]) & (asked["item"] == back["_item"])
-    if not send:  # (a join on the keys of the layout; a row may meet several statements)
-        met = asked.join(back, (back["_property"] == asked["_wanted"]) & (asked["v_item"] == back["_value"])).where(asked["item"] == back["_item"]).select("row_id").distinct()
-        return asked.join(met, "row_id", "left_anti").select("row_id")
+    if not send:  # the keys of the layout only, so that statements stay where they are; the third condition is no key in this form
+        same = (back["_property"] == asked["_wanted"]) & (asked["v_item"] == back["_value"]) & F.array_contains(F.array(back["_item"]), asked["item"])
     return asked.join(back, same, "left_anti").select("row_id")
 
 
@@ -245,7 +244,7 @@ NOW = "unknown value"
 @dataclass
 class World:
     """What rules that join read. classes: item, property, item_value, rank (defaults to claims); subclass: child, parent; pages: namespace, title; conflicts: see declared_conflicts; values: the claims by value
-    (`claims.ClaimTable`). send: are the rows few enough for their keys to be sent to all tasks (None: not known)? below: which groups of classes are above a class (`closure.reached`), and the groups."""
+    (`claims.ClaimTable`). send: are the rows few enough for their keys to be sent to all tasks (None: not known)? below: which groups of classes are above a class (`closure.reached`), and the groups. properties: those of the run's fields, if they are known."""
 
     claims: DataFrame
     classes: DataFrame | None = None
@@ -256,6 +255,12 @@ class World:
     values: DataFrame | None = None
     send: bool | None = None
     below: tuple[DataFrame, list[list[str]]] | None = None
+    properties: tuple[str, ...] = ()
+
+    def own(self, statements: DataFrame | None = None) -> DataFrame:
+        """Statements of the run's own properties; the filter goes down to their scan."""
+        statements = self.claims if statements is None else statements
+        return statements.where(F.col("property").isin(*self.properties)) if self.properties else statements
 
 
 def _date(text: str | None, today: datetime.date | None) -> tuple[int, int, int] | None:
@@ -309,7 +314,7 @@ BUILD: dict[str, Callable] = {
     "citation needed": lambda d, r, w: never(),
     "Commons link": lambda d, r, w: commons_link(r, w.pages, d.first(NAMESPACE), w.send),
     "conflicts with": _conflicts,
-    "distinct values": lambda d, r, w: distinct_values(r, w.claims, w.values, w.send),
+    "distinct values": lambda d, r, w: distinct_values(r, w.own(), None if w.values is None else w.own(w.values), w.send),
     "format": lambda d, r, w: format_(F.col("v_text"), d.first(PATTERN)) if d.first(PATTERN) is not None else F.lit(False),
     "integer": lambda d, r, w: integer(F.col("v_amount")),
     "inverse": lambda d, r, w: _with_property(d, lambda p: inverse(r, w.claims, p, w.send)),
@@ -320,9 +325,9 @@ BUILD: dict[str, Callable] = {
     "one of": lambda d, r, w: one_of(F.col("v_item"), d.ids(ITEMS)),
     "property scope": lambda d, r, w: property_scope(d.ids(SCOPES)),
     "range": lambda d, r, w: _range(d, w),
-    "single value": lambda d, r, w: single_value(r, w.claims, w.send),
-    "single best value": lambda d, r, w: single_best_value(r, w.claims, w.send),
-    "symmetric": lambda d, r, w: inverse(r, w.claims, None, w.send),
+    "single value": lambda d, r, w: single_value(r, w.own(), w.send),
+    "single best value": lambda d, r, w: single_best_value(r, w.own(), w.send),
+    "symmetric": lambda d, r, w: inverse(r, w.own(), None, w.send),
     "type": lambda d, r, w: _typed(d, r, w, "item"),
     "value requires statement": lambda d, r, w: _with_property(d, lambda p: value_requires_statement(r, w.claims, p, d.ids(ITEMS), w.send)),
     "value type": lambda d, r, w: _typed(d, r, w, "v_item"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -458,7 +458,7 @@ def evaluate_fields(pages: DataFrame, revisions: DataFrame, fields: Sequence[Fie
     held = existing.of_items(claims.where(F.col("property").isin(*listed)), read)
     skips = existing.already_there(read, held, same, any_value=fields[0].spec.skip_any_value).where("skip IS NOT NULL").select("row_id", "skip")
     rows = rows.join(skips, "row_id", "left")
-    world = catalog.world or constraints.World(claims)
+    world = replace(catalog.world or constraints.World(claims), properties=tuple(listed))
     tests = []
     for i, f in enumerate(fields):
         for rule in f.rules if not (f.rules and isinstance(f.rules[0], constraints.Definition)) else constraints.selected(list(f.rules), f.spec.constraints):
