@@ -6,7 +6,7 @@ line of a labelled document carries the document's label.
 
 Training uses a bounded sample: the `sample` labelled rows with the smallest hashed ids (default 3,000), which are
 found among the labels alone and then met in one pass over the documents, and of these the first ones that together have `sample_chars` characters
-(default 64 million) at most. Scoring runs in every task with a few hundred numbers.
+(default 16 million) at most; a text of over a 16th of that is left out. The chain is fitted in one task, so the driver gets no texts. Scoring runs in every task with a few hundred numbers.
 
 Defined cases: null text is empty; a text without characters is one empty line and gets a score as any other; the last of an empty
 line after a final line break counts as a line of weight 1; extra columns are ignored; without usable labels of both kinds, fitting
@@ -15,6 +15,7 @@ raises ValueError; of labels that disagree for an id the larger counts; an empty
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,7 +178,7 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample: int = 3_000, sample_chars: int = 64_000_000, usable=None) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample: int = 3_000, sample_chars: int = 16_000_000, usable=None) -> Chain:
     """Chain fitted on at most `sample` labelled rows and `sample_chars` characters (a text of over a 16th of them is left out of the sample); usable: a condition on the id that a label must meet."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
@@ -186,8 +187,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     rows = met.orderBy(F.xxhash64(id_col), id_col, "_text").limit(sample)
     before = Window.orderBy(F.xxhash64(id_col), id_col, "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.where(F.length("_text") <= sample_chars // 16)
-    rows = rows.withColumn("_sum", F.sum(F.length("_text")).over(before)).where(F.col("_sum") <= sample_chars).select("_text", "_label").collect()
-    return fit_chain([r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64))
+    rows = rows.withColumn("_sum", F.sum(F.length("_text")).over(before)).where(F.col("_sum") <= sample_chars).select("_text", "_label")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In one task: the sample is bounded, and the driver gets the weights alone."""
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch["_text"].to_pylist()
+            marks += [int(x > 0) for x in batch["_label"].to_pylist()]
+        done = pickle.dumps(fit_chain(texts, np.array(marks, np.int64))) if len(set(marks)) == 2 else None
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], ["chain"])
+
+    made = [r["chain"] for r in rows.coalesce(1).mapInArrow(fitted, "chain binary").collect() if r["chain"] is not None]
+    if not made:
+        raise ValueError("labels of both kinds are needed")
+    return pickle.loads(made[0])
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
