@@ -61,7 +61,7 @@ def can_cut(settings: dict) -> bool:
 class Ids:
     """Ids of one tokenizer file, by cached pieces where its settings allow; one per worker process."""
 
-    def __init__(self, path: str, keep: int = 100_000) -> None:
+    def __init__(self, path: str, keep: int = 120_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
@@ -91,10 +91,10 @@ class Ids:
             return
         # texts in plain letters are cut as the pre-tokenizer cuts them; others at white space only
         cut = [None if any(s in t for s in self.special) else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) else _CHUNK.findall(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.keep:
-            cache.clear()
-        fresh = list(set().union(*(w for w in cut if w)).difference(cache))
+        cache, used = self.cache, set().union(*(w for w in cut if w))
+        if len(cache) > self.keep:  # what these texts have again stays: the frequent pieces
+            self.cache = cache = {w: cache[w] for w in used.intersection(cache)}
+        fresh = list(used.difference(cache))
         for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else (), strict=True):
             cache[w] = array("I", e.ids).tobytes()
         last = np.uint32(end).tobytes()
