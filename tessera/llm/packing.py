@@ -84,6 +84,23 @@ class Ids:
             yield from self._some(texts[i:j], end)
             i = j
 
+    def learn(self, fresh: list[str], most: int = 20_000) -> None:
+        """Put the ids of pieces into the cache. Pieces of letters, digits or signs alone are words of the pre-tokenizer: many go as one text, and its words are theirs, one by one."""
+        single = [w for w in fresh if _PIECE.fullmatch(w)]
+        rest = [w for w in fresh if not _PIECE.fullmatch(w)] if len(single) < len(fresh) else []
+        for i in range(0, len(single), most):
+            words = single[i : i + most]
+            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+            if len(first) != len(words):  # not as expected: one by one
+                rest += words
+                continue
+            data, cuts = np.array(e.ids, np.uint32).tobytes(), (4 * np.append(first, len(of))).tolist()
+            self.cache.update(zip(words, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.cache[w] = array("I", e.ids).tobytes()
+
     def _some(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         if not self.cuts:
             for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
@@ -94,9 +111,7 @@ class Ids:
         cache, used = self.cache, set().union(*(w for w in cut if w))
         if len(cache) > self.keep:  # what these texts have again stays: the frequent pieces
             self.cache = cache = {w: cache[w] for w in used.intersection(cache)}
-        fresh = list(used.difference(cache))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else (), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
+        self.learn(list(used.difference(cache)))
         last = np.uint32(end).tobytes()
         for text, words in zip(texts, cut, strict=True):
             if words is None:
