@@ -48,6 +48,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that scratch() named, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def in_batches(rows: DataFrame, run, schema: str, id_col: str = "id") -> DataFrame:
     """rows.mapInPandas(run, "id ..., " + schema). Integral ids travel as text: beside nulls, pandas would make floats of them, which hold no more than 53 bits."""
     kind = rows.schema[id_col].dataType

@@ -32,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, scratch, text_of
+from .common import in_batches, remove, scratch, text_of
 
 #: Hashes of the start mark and the end token, which no word is likely to have.
 BOS, EOS = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -218,6 +218,10 @@ class Model:
     word_bits: int
     totals: dict
 
+    def delete(self, spark: SparkSession) -> None:
+        """Remove the model's files, when nothing is to be scored with it any more."""
+        remove(spark, f"file://{self.folder}")
+
     @property
     def base_size(self) -> tuple[int, int]:
         """N, V"""

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, scratch, text_of
+from .common import cut, in_batches, remove, scratch, text_of
 
 #: Digests of so many rows are no more than this; rows are counted.
 MOST_FREQUENT = 100_000
@@ -120,6 +120,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rows.join(hot, ["d1", "d2"], "left_anti").join(seen.where(F.col("n") <= often).select("d1", "d2", "first"), ["d1", "d2"])
     # a stable table: units and pairs both read it
     again = cut(later(rows.join(hot, ["d1", "d2"])).unionByName(later(rest)))
+    remove(docs.sparkSession, path)
     # pairs of pieces: runs over (document, position)
     marked = again.where("seq >= 0").groupBy("id", "text_key", "seq").agg(*(F.first(c).alias(c) for c in ("start", "end", "w1", "w2")))
     run = F.col("seq") - F.row_number().over(Window.partitionBy("id", "text_key").orderBy("seq"))
