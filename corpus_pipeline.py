@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, jaccard, mixing, packing, quality_crf
-from tessera.llm.common import scratch, table
+from tessera.llm.common import remove, scratch, table
 from tessera.llm.queries import word_tokenizer
 
 
@@ -45,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # nothing reads the stage before this one any more
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

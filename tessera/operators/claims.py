@@ -82,6 +82,11 @@ def laid_out(spark: SparkSession, names: tuple[str, str]) -> ClaimTable:
     return ClaimTable(spark.table(names[0]), spark.table(names[1]), names)
 
 
+def properties_of(claims: DataFrame) -> DataFrame:
+    """item, properties: the properties of which an item has statements, of any rank, sorted."""
+    return claims.groupBy("item").agg(F.array_sort(F.collect_set("property")).alias("properties"))
+
+
 def text_rows(rows: DataFrame) -> Column:
     """The rows' text values but for texts in a language, which no other statement is compared with."""
     return F.when(F.col("datatype") != "monolingualtext", F.col("v_text")) if "datatype" in rows.columns else F.col("v_text")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, fields, replace
 from urllib.parse import parse_qsl, quote
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+
 from tessera.functions.text import check_pattern
 
 JULIAN = "Q1985786"
@@ -201,6 +206,26 @@ def validate(spec: JobSpec, datatype: str, deprecated: bool = False) -> None:
             raise InvalidSpec(str(e)) from None
 
 
+def specs_of(permalinks: Column) -> Column:
+    """The specification, as JSON, of each permalink's query string; null for a null one. (Old shares keep permalinks.)"""
+
+    @pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(as_dict(from_query(t))))
+
+    return read(permalinks)
+
+
+def permalinks_of(specs: Column) -> Column:
+    """The permalink's query string of each specification in JSON."""
+
+    @pandas_udf("string")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else to_query(from_dict(json.loads(t))))
+
+    return write(specs)
+
+
 def as_dict(spec: JobSpec) -> dict:
     return {f.name: getattr(spec, f.name) for f in fields(spec)}
 

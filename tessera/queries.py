@@ -13,6 +13,7 @@ from tessera.functions import numbers as N
 from tessera.functions import text as T
 from tessera.functions import wikitext as W
 from tessera.operators import closure, constraints, existing
+from tessera.operators.claims import properties_of
 from tessera.plans import candidates, properties, results
 from tessera.plans.evaluate import Catalog, evaluate
 from tessera.plans.job import JobSpec, from_query
@@ -812,7 +813,7 @@ def constraint_strictest_status(spark, d):
 
 @query("SELECT item, string_agg(DISTINCT property, ',' ORDER BY property) AS properties FROM fx_claims GROUP BY item")
 def property_ids(spark, d):
-    return view(spark, d, "fx_claims").groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("property")), ",").alias("properties"))
+    return properties_of(view(spark, d, "fx_claims")).select("item", F.array_join("properties", ",").alias("properties"))
 
 
 @query("SELECT item, claim_id FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY claim_id DESC) AS n FROM fx_claims) WHERE n <= 3")

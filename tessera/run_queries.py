@@ -278,3 +278,121 @@ def counts_on_the_way(spark, d):
     rows, seen = results.observed(view(spark, d, "fx_run_row").select("run_id", "seq", "status"), "rows")
     rows.write.parquet(scratch(spark, "observed"))
     return spark.createDataFrame(sorted(seen.get.items()), "status string, n bigint")
+
+
+@query("""SELECT p_partkey AS page_id FROM part WHERE p_brand = 'Brand#11'""")
+def pages_of_the_second_source(spark, d):
+    """The first source fails while its plan runs; the second one answers."""
+
+    class Down:
+        def transclusions(self, template, namespace):
+            return spark.read.parquet(f"{d}/part.parquet").select(F.raise_error(F.lit("no replica")).alias("page_id"))
+
+    wiki = run.Wiki(view(spark, d, "fx_linktarget"), view(spark, d, "fx_templatelinks"), view(spark, d, "fx_page"), view(spark, d, "fx_page_props"), view(spark, d, "fx_categorylinks"), view(spark, d, "fx_claims"), view(spark, d, "fx_subclass"), "enwiki")
+    return pages.WithFallback((Down(), pages.TableSource(wiki))).transclusions("Brand#11", 0).select("page_id")
+
+
+@query("SELECT concat(lower(n_name), 'wiki') AS dbname, concat('Q', CAST(min(c_custkey) AS STRING)) AS item FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 > 0 AND length(CAST(c_custkey AS STRING)) = 2 GROUP BY n_name")
+def editions_of_wikis(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).where("length(c_custkey) = 2")
+    claims = c.selectExpr("concat('Q', c_custkey) AS item", "'P1800' AS property", "CASE WHEN c_custkey % 3 = 0 THEN 'deprecated' ELSE 'normal' END AS rank", "concat(lower(n_name), 'wiki') AS text_value")
+    return lookups.editions(claims)
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'commons.wikimedia.org' WHEN 1 THEN concat('x', CAST(n_nationkey AS STRING), '-a.wikipedia.org') WHEN 2 THEN concat('x', CAST(n_nationkey AS STRING), '-a.wiktionary.org') END AS host FROM nation""")
+def hosts_of_wikis(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    code = F.concat(F.lit("x"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 3, "/evil").otherwise("-a"))
+    project = F.element_at(F.array(*map(F.lit, ("commons", "wikipedia", "wiktionary", "wikipedia", "example"))), F.col("n_nationkey").cast("int") % 5 + 1)
+    return n.select("n_nationkey", lookups.host_of(code, project).alias("host"))
+
+
+@query("SELECT o_orderkey, month(o_orderdate)::INT AS short, month(o_orderdate)::INT AS long, month(o_orderdate)::INT AS roman, month(o_orderdate)::INT AS german FROM orders")
+def month_names(spark, d):
+    """Names of months, their first three letters, Roman numerals, and those of another language."""
+    named = N.month_names(spark, ["en", "de"])
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", F.month("o_orderdate").alias("m"))
+    german = F.element_at(F.array(*(F.lit(max((k for k, v in named["de"].items() if v == i), key=len)) for i in range(1, 13))), F.col("m"))
+    return o.select(
+        "o_orderkey", N.month_number(F.date_format("o_orderdate", "MMM"), named["en"]).alias("short"), N.month_number(F.upper(F.date_format("o_orderdate", "MMMM")), named["en"]).alias("long"),
+        N.month_number(F.element_at(F.array(*map(F.lit, N.ROMAN)), F.col("m"))).alias("roman"), N.month_number(german, named["de"]).alias("german"),
+    )
+
+
+@query("SELECT p_partkey, concat('<nowiki>|b=', p_name, '}}</nowiki>', p_brand) AS a, CAST(p_size AS STRING) AS c FROM part")
+def nowiki_hides_signs(spark, d):
+    rows = _rendered(spark, d, "{{X|a=<nowiki>|b=%p_name%}}</nowiki>%p_brand%|c=%p_size%}}")
+    p = rows.select("p_partkey", W.template_params(F.col("wikitext"), ["X"]).alias("p"))
+    return p.select("p_partkey", *(W.first_of(F.col("p"), [n]).alias(n) for n in "ac"))
+
+
+@query("""SELECT p_partkey AS page_id, concat_ws(' / ', CAST(1930 + p_size AS STRING), CASE WHEN p_partkey % 3 > 0 THEN CAST(1 + p_partkey % 12 AS STRING) END, CASE WHEN p_partkey % 3 = 2 THEN '7' END) AS raw_value,
+    concat(CAST(1930 + p_size AS STRING), CASE WHEN p_partkey % 3 > 0 THEN concat('-', lpad(CAST(1 + p_partkey % 12 AS STRING), 2, '0')) ELSE '' END, CASE WHEN p_partkey % 3 = 2 THEN '-07' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN ' (Julian)' ELSE '' END) AS value FROM part""")
+def evaluate_dates_in_parts(spark, d):
+    """What was found is shown by its parts, the date as precise as it is and with its calendar."""
+    text = "concat('{{Box|y=', 1930 + p_size, CASE WHEN p_partkey % 3 > 0 THEN concat('|m=', 1 + p_partkey % 12) ELSE '|m= ' END, CASE WHEN p_partkey % 3 = 2 THEN '|d=<!-- x -->7' ELSE '' END, '}}')"
+    out = None
+    for k in (0, 1):
+        spec = JobSpec(property="P9", template="Box", date_parameters=("y", "m", "d"), date_limit=None, julian=k == 0)
+        part = evaluate_fields(*_world(spark, d, text, f"p_partkey % 2 = {k}"), [Field(spec, "time")], Catalog(_claims(spark, d))).select("page_id", "raw_value", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'the item already has this value' END AS message FROM part""")
+def evaluate_dates_by_precision(spark, d):
+    """An existing date is the same if it is as precise as ours or more, and agrees as far as ours goes."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    held = part.selectExpr("concat('Q', p_partkey) AS item", "'P9' AS property", "'normal' AS rank", "CAST(NULL AS STRING) AS item_value", "CAST(NULL AS STRING) AS text_value", "CAST(NULL AS DOUBLE) AS amount", "1950L AS year", "CASE WHEN p_partkey % 4 = 3 THEN 6 ELSE 5 END AS month", "4 AS day", "CAST(NULL AS STRING) AS unit", "CAST(NULL AS DOUBLE) AS latitude", "CAST(NULL AS DOUBLE) AS longitude", "CASE p_partkey % 4 WHEN 0 THEN 11 WHEN 1 THEN 10 WHEN 2 THEN 9 ELSE 11 END AS precision")
+    spec = JobSpec(property="P9", template="Box", parameters=("v",), skip_any_value=False)
+    return evaluate_fields(*_world(spark, d, "'{{Box|v=May 1950}}'"), [Field(spec, "time")], Catalog(held)).select("page_id", "message")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('Part ', CAST(s_suppkey AS STRING)) ELSE concat('Category:Part ', CAST(s_suppkey AS STRING)) END AS title FROM supplier")
+def full_titles(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    space = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("Category")
+    return s.select("s_suppkey", T.full_title(space, F.concat(F.lit("Part_"), F.col("s_suppkey").cast("string"))).alias("title"))
+
+
+@query("""SELECT c_custkey AS id, concat('P', CAST(c_custkey AS STRING)) AS property, concat('Box & ', c_name) AS template, CASE WHEN c_custkey % 2 = 0 THEN '["a","b c"]' ELSE '["1"]' END AS parameters,
+    CASE WHEN c_custkey % 3 = 0 THEN '[1582,10,15]' WHEN c_custkey % 3 = 1 THEN '[1926,0,0]' END AS date_limit, CASE WHEN c_custkey % 5 = 0 THEN '[["P580","param","from,since"]]' ELSE '[]' END AS qualifiers, true AS same FROM customer""")
+def permalinks_and_specifications(spark, d):
+    """Old shares keep permalinks: each is read into a specification and written again, and reads the same."""
+    c, key = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
+    link = F.concat(
+        F.lit("siteid=de&project=wikipedia&p="), key.cast("string"), F.lit("&template=Box%20%26%20"), F.col("c_name"), F.when(key % 2 == 0, "&parameters=a|b%20c").otherwise("&parameter=1"),
+        F.when(key % 3 == 0, "&limityear=1582-10-15&rel=l").when(key % 3 == 1, "").otherwise("&limityear=none"), F.when(key % 5 == 0, "&qualifier=P580|param|from, since").otherwise("&unknown=7"),
+    )
+    from tessera.plans import job
+
+    rows = c.select("c_custkey", job.specs_of(link).alias("spec"))
+    rows = rows.withColumn("again", job.specs_of(job.permalinks_of(F.col("spec"))))
+    of = lambda name: F.get_json_object("spec", f"$.{name}")
+    return rows.select(key.alias("id"), *(of(n).alias(n) for n in ("property", "template", "parameters", "date_limit", "qualifiers")), (F.col("spec") == F.col("again")).alias("same"))
+
+
+@query("SELECT CAST(p_partkey AS STRING) AS page_id, concat(p_name, ' \"', p_brand, '\"') AS title, CASE WHEN p_partkey % 2 = 0 THEN concat('Q', CAST(p_partkey AS STRING)) ELSE '' END AS item, 'done' AS status, concat('a, b; ', p_type) AS raw_value, '' AS value, concat('line', chr(10), p_type) AS message FROM part")
+def csv_log(spark, d):
+    """The log as a spreadsheet reads it: quotes doubled, commas and line breaks inside."""
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS seq", "p_partkey AS page_id", "concat(p_name, ' \"', p_brand, '\"') AS title", "CASE WHEN p_partkey % 2 = 0 THEN concat('Q', p_partkey) END AS item", "'done' AS status", "concat('a, b; ', p_type) AS raw_value", "CAST(NULL AS STRING) AS value", "concat('line\n', p_type) AS message")
+    path = scratch(spark, "log")
+    results.write_log(rows, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return back.select(*(F.coalesce(c, F.lit("")).alias(c) for c in results.LOG_COLUMNS))
+
+
+@query("""SELECT p_partkey AS page_id, 0 AS field, p_name AS value FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, 1, concat(CAST(1930 + p_size AS STRING), '-06') FROM part WHERE p_partkey % 5 > 0""")
+def specification_with_extra_properties(spark, d):
+    """A permalink with an extra property: prepared, and both fields read in one pass; a template's redirects that weren't chosen are other templates."""
+    from tessera.plans import job
+
+    entity = lambda p, kind: json.dumps({"id": p, "datatype": kind, "labels": {}, "claims": {}})
+    props = properties.properties(spark.createDataFrame([(entity("P91", "string"),), (entity("P92", "time"),)], "json string"))
+    redirects = spark.createDataFrame([("Part_box", "Box"), ("Old box", "Box")], "from_title string, to_title string")
+    spec = job.from_query("siteid=en&project=wikipedia&p=91&template=box&templateredirects=Part box&parameters=a&also=P92|c&skipremoved=0")
+    prepared = properties.prepare(spec, props, redirects)
+    text = "concat('{{Old box|a=wrong}} {{part_box|a=', p_name, '|c=June ', 1930 + p_size, '}}')"
+    rows, revisions = _world(spark, d, text, "p_partkey % 5 > 0")
+    out = run.outcomes(prepared, rows.withColumn("reason", F.lit(None).cast("string")), revisions, Catalog(_claims(spark, d)))
+    return out.select("page_id", "field", "value")

@@ -147,6 +147,13 @@ def host_for(siteid: str, project: str) -> str:
     return f"{siteid}.{project}.org"
 
 
+def host_of(siteid: Column, project: Column) -> Column:
+    """host_for() of columns; null for projects that aren't known and for what is no language code."""
+    own = project.isin("commons", "species")
+    fine = siteid.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)*\z") & project.isin(*PROJECTS)
+    return F.when(own, F.concat(project, F.lit(".wikimedia.org"))).when(fine, F.concat(siteid, F.lit("."), project, F.lit(".org")))
+
+
 def template_redirects(template: str, redirects: DataFrame, templates: DataFrame | None = None, prefixes: tuple[str, ...] = (), first_letter: bool = True) -> list[str] | None:
     """Names that redirect to a template, sorted; None if it doesn't exist. A template has a few dozen of them."""
     shown = lambda c: F.replace(db_key(c, prefixes, first_letter), F.lit("_"), F.lit(" "))
@@ -157,10 +164,16 @@ def template_redirects(template: str, redirects: DataFrame, templates: DataFrame
     return [r["name"] for r in found.orderBy("name").collect()]
 
 
+def editions(claims: DataFrame) -> DataFrame:
+    """dbname, item: the item of each wiki by its database name (the least, if there are several)."""
+    named = claims.where((F.col("property") == "P1800") & (F.col("rank") != "deprecated"))
+    return named.groupBy(F.col("text_value").alias("dbname")).agg(F.min("item").alias("item"))
+
+
 def edition(claims: DataFrame, dbname: str) -> str | None:
-    """The item of a wiki, by its database name (the least, if there are several)."""
-    found = claims.where((F.col("property") == "P1800") & (F.col("rank") != "deprecated") & (F.col("text_value") == dbname)).agg(F.min("item").alias("item")).first()
-    return found["item"]
+    """The item of a wiki, by its database name."""
+    found = editions(claims.where(F.col("text_value") == dbname)).first()
+    return None if found is None else found["item"]
 
 
 def user_items(spark: SparkSession, sql: str) -> DataFrame:

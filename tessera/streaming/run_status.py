@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Buckets of a new table; the number is kept with the table and holds for all batches after the first.
 BUCKETS = 64
 SCHEMA = "run_id bigint, seq bigint, status string, at timestamp"
 
@@ -36,13 +37,22 @@ def _versions(spark: SparkSession, path: str, number: int) -> dict[int, int]:
     return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version bigint").json(f"{path}/_versions/{number}").collect()}
 
 
+def _buckets(spark: SparkSession, path: str, wanted: int) -> int:
+    """How many buckets the table has; a new table gets the wanted number, which is written down first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_buckets")
+    return spark.read.schema("buckets int").json(f"{path}/_buckets").first()["buckets"]
+
+
 def _rows(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame:
     places = [f"{path}/batch={v}/bucket={b}" for b, v in sorted(versions.items())]
     return spark.read.schema(SCHEMA).parquet(*places) if places else spark.createDataFrame([], SCHEMA)
 
 
 def follow(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keep the table under `path` up to date until no event is left (availableNow)."""
+    """Keep the table under `path` up to date until no event is left (availableNow). buckets: of a new table; choose so many that a bucket stays at some hundred megabytes."""
+    buckets = _buckets(events.sparkSession, path, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

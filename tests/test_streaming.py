@@ -29,6 +29,14 @@ def test_a_batch_touches_its_own_buckets(spark, tmp_path):
     assert sorted((r["run_id"], r["status"]) for r in run_status.read(spark, f"{tmp_path}/table", 2).collect()) == [(1, "s2"), (2, "s1")]
 
 
+def test_the_number_of_buckets_stays_with_the_table(spark, tmp_path):
+    for i, buckets in enumerate((5, 64)):
+        spark.createDataFrame([(r, 1, f"s{i}", f"2024-01-0{i + 1} 00:00:00") for r in range(40)], "run_id bigint, seq bigint, status string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run_status.follow(spark.readStream.schema(run_status.SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/checkpoint", buckets).awaitTermination(120)
+    rows = run_status.read(spark, f"{tmp_path}/table", 1).collect()
+    assert len(rows) == 40 and {r["status"] for r in rows} == {"s1"} and len(run_status._versions(spark, f"{tmp_path}/table", 1)) <= 5
+
+
 def test_windows(spark):
     rows = spark.createDataFrame([("ready", "2024-01-01 00:10:00"), ("ready", "2024-01-01 00:50:00"), ("done", "2024-01-01 01:10:00")], "status string, at string").withColumn("at", F.to_timestamp("at"))
     assert sorted((str(r["start"])[11:13], r["status"], r["n"]) for r in run_status.counts_per_window(rows).collect()) == [("00", "ready", 2), ("01", "done", 1)]
