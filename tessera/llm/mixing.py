@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, starts, text_of
 
 
+#: Columns that `mixed` adds.
+ADDED = frozenset({"epoch", "block", "position", "source_weight", "n_tokens"})
+
+
 def word_count(column: str = "text") -> Column:
     """Words between ASCII white space."""
     packed = F.trim(F.regexp_replace(text_of(column), f"{SPACE}+", " "))
@@ -90,7 +94,7 @@ def source_weights(per_source: DataFrame, entropy_share: float | None = None, re
 def mixed(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, seed: int = 1, rows_per_block: int = 500, **targets) -> DataFrame:
     """docs' rows, each as often as it is drawn, with epoch (from 0), block, position (in its source's epoch, in tokens), source_weight, n_tokens."""
     keep = docs.columns if keep is None else keep
-    clash = {"epoch", "block", "position", "source_weight", "n_tokens"}
+    clash = ADDED
     row_key = F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), row_key.alias("_key"), (word_count(text_col) if tokens is None else tokens).alias("_tokens"))
     slim = cut(slim.groupBy("_source", "_id", "_key", "_tokens").agg(F.count("*").alias("_rows")))
