@@ -7,6 +7,7 @@ it again as the next stage's docs. All stages but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard, mixing, packing, quality_crf
 from tessera.llm.common import remove, scratch, table
@@ -30,7 +31,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; small sources up to 1.5 times as often as the largest."""
-    return mixing.mixed(docs, repeat_limit=1.5).select(*docs.columns)
+    # documents may have columns of the names that the operator adds: theirs come back
+    own = {c: f"_own_{c}" for c in docs.columns if c in mixing.ADDED}
+    drawn = mixing.mixed(docs.withColumnsRenamed(own), repeat_limit=1.5)
+    return drawn.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
