@@ -43,3 +43,56 @@ def test_words_of_the_corpus(spark):
     found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), secret_scan.train(spark, lang=lang), lang=lang)
     assert {r["doc_id"] for r in found.where("secret").collect()} == {2, 3}
     assert secret_scan.language(docs.where("false")).words == secret_scan.PLAIN_WORDS.words
+
+
+def test_features_and_votes_by_hand(spark):
+    """Features are counted anew from their definitions, and each tree is walked from its root: the mean of the leaves' shares is the probability."""
+    import math
+
+    findings = secret_scan.labelled_findings(400)
+    model = secret_scan.train(spark, findings, trees=7, depth=5)
+    unseen = secret_scan.labelled_findings(30, seed=11)
+    texts = [left + c + right for c, left, right, _ in unseen]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = secret_scan.scan(docs, model).collect()
+    assert len(rows) >= 30
+
+    def walk(node, x):
+        while node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        return stats[1] / sum(stats)
+
+    roots = [t._java_obj.rootNode() for t in model.trees]
+    for r in rows:
+        c, x, text = r["candidate"], r["features"], texts[r["doc_id"]]
+        assert text[r["start"] : r["end"]] == c
+        named = dict(zip(secret_scan.FEATURES, x, strict=True))
+        n = len(c)
+        assert named["length"] == n
+        for name, test in (("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit)):
+            assert math.isclose(named[name], sum(map(test, c)) / n)
+        assert math.isclose(named["hex"], sum(s in "0123456789abcdef" for s in c.lower()) / n)
+        assert math.isclose(named["entropy"], -sum(c.count(s) / n * math.log2(c.count(s) / n) for s in set(c)), abs_tol=1e-12)
+        pairs = [(0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 3) for s in c]
+        assert math.isclose(named["changes"], sum(a != b for a, b in zip(pairs, pairs[1:])) / n)
+        assert named["digits_only"] == float(c.isdigit()) and named["repeat"] == sum(a == b for a, b in zip(c, c[1:])) / n
+        p = sum(walk(root, x) for root in roots) / len(roots)
+        assert math.isclose(r["probability"], p, abs_tol=1e-9) and r["secret"] == (p >= 0.5)
+
+
+def test_planted_findings_of_the_documents(spark):
+    """Documents hold values of a token (hexadecimal, quoted), which are secrets, and numbers of cards, which are not: kinds that were planted by others, told apart by a rule over the text."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = secret_scan.language(docs)
+    found = secret_scan.scan(docs, secret_scan.train(spark, lang=lang), lang=lang).select("doc_id", "start", "candidate", "secret").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    tokens = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t, re.I)}
+    kept = {(r["doc_id"], r["start"]) for r in found if r["secret"]}
+    assert len(tokens) > 10 and tokens <= kept  # recall 1
+    cards = [r["secret"] for r in found if re.fullmatch("[0-9]{13,19}", r["candidate"])]
+    assert cards and not any(cards)
+    assert len(tokens) / len(kept) > 0.9  # precision
