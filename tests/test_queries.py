@@ -3,7 +3,7 @@
 import pytest
 from oracle import same
 
-from tessera import queries
+from tessera import queries, run_queries  # noqa: F401  (registers its queries with the others)
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
