@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -54,9 +55,29 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on between tasks, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run):
+    """run(batches), and memory goes back at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def in_batches(rows: DataFrame, run, schema: str, id_col: str = "id") -> DataFrame:
     """rows.mapInPandas(run, "id ..., " + schema). Integral ids travel as text: beside nulls, pandas would make floats of them, which hold no more than 53 bits."""
-    kind = rows.schema[id_col].dataType
+    kind, run = rows.schema[id_col].dataType, thrifty(run)
     if not isinstance(kind, IntegralType):
         return rows.mapInPandas(run, f"`{id_col}` {kind.simpleString()}, {schema}")
     return rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"`{id_col}` string, {schema}").withColumn(id_col, F.col(id_col).cast(kind))
@@ -69,6 +90,7 @@ def in_slices(rows: DataFrame, each, schema: str, step: int = 256) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, step):
                 yield from each(batch.slice(i, step))
+            give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thrifty
 
 #: Edges that one task contracts at a time: two numbers of 8 bytes each, and some arrays of as many.
 MOST_EDGES = 1 << 20
@@ -76,7 +76,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 60, most_edges: int = MOST_EDGES) -> DataFrame:
     """edges (a, b), bigints -> (node, root), root the smallest node reachable; only nodes with links."""
-    contracted = lambda e: e.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInPandas(_contract, "a bigint, b bigint")
+    contracted = lambda e: e.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInPandas(thrifty(_contract), "a bigint, b bigint")
     sums = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
     edges = cut(contracted(edges))
     was = sums(edges)

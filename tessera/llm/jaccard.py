@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, sized, text_of
+from .common import cut, in_slices, sized, text_of, thrifty
 from .components import components
 from .simhash import fingerprint, keep_first, links as anchor_links, shingle_hashes
 
@@ -178,7 +178,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.where("n > 0").join(own, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["node"])
     known = known.select("node", "n", "rare", "root", F.posexplode("prefix").alias("at", "h"))
     known = known.select("h", "n", F.when(F.col("at") < F.col("rare"), F.col("rare")).otherwise(-1 - F.col("rare")).alias("few"), "node", "root")
-    met = known.repartition("h").sortWithinPartitions("h", "n").mapInPandas(_pairs, "a bigint, b bigint, na bigint, nb bigint, ra bigint, rb bigint")
+    met = known.repartition("h").sortWithinPartitions("h", "n").mapInPandas(thrifty(_pairs), "a bigint, b bigint, na bigint, nb bigint, ra bigint, rb bigint")
     met = met.groupBy("a", "b", "na", "nb", "ra", "rb").count()
     ahead = "({0} div 5 + 1)"
     # pairs that were not made on common shingles may have all those of their prefixes in common

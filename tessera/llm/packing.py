@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, sized, text_of
+from .common import cut, in_batches, sized, text_of, thrifty
 
 _STATE: dict = {}
 
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if with_ids else columns, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
+    return rows.mapInArrow(thrifty(run), f"id {rows.schema['id'].dataType.simpleString()}, row_key bigint, {SCHEMA}" + ", ids binary" * with_ids)
 
 
 def _numbered(stable: DataFrame, longest: int, with_ids: bool) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, text_of
+from .common import give_back, in_slices, text_of, thrifty
 
 #: Byte classes: lower, upper, digit, space, sentence marks, other marks, beyond ASCII, line break or control.
 CLASSES = 8
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         done = pickle.dumps(fit_chain(texts, np.array(marks, np.int64))) if len(set(marks)) == 2 else None
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], ["chain"])
 
-    made = [r["chain"] for r in rows.coalesce(1).mapInArrow(fitted, "chain binary").collect() if r["chain"] is not None]
+    made = [r["chain"] for r in rows.coalesce(1).mapInArrow(thrifty(fitted), "chain binary").collect() if r["chain"] is not None]
     if not made:
         raise ValueError("labels of both kinds are needed")
     return pickle.loads(made[0])
@@ -224,6 +224,8 @@ def keep_good(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: s
     @arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         step = 256  # few texts at a time are Python objects
-        return pa.array(np.concatenate([np.empty(0), *(score_texts(chain, text.slice(i, step).to_pylist()) for i in range(0, len(text), step))]))
+        out = pa.array(np.concatenate([np.empty(0), *(score_texts(chain, text.slice(i, step).to_pylist()) for i in range(0, len(text), step))]))
+        give_back()
+        return out
 
     return docs.where(scored(text_of(text_col)) >= least)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, text_of, without
+from .common import cut, in_slices, text_of, thrifty, without
 from .components import components
 
 SEGMENT, LOW = 31, np.uint64((1 << 31) - 1)
@@ -200,9 +200,9 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     if not 0 <= most <= 3:
         raise ValueError("two segments with a covering radius of 1 hold for thresholds up to 3")
     dealt = prints.select("fp").distinct().mapInPandas(_replicated, "anchor bigint, guest boolean, fp bigint")
-    met = cut(dealt.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(_linked(most, LARGE), LINKED))
+    met = cut(dealt.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(thrifty(_linked(most, LARGE)), LINKED))
     again = met.where("kind > 0").mapInPandas(_split, "anchor bigint, guest boolean, fp bigint")
-    more = again.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(_linked(most, None), LINKED)
+    more = again.repartition("anchor").sortWithinPartitions("anchor", "guest", "fp").mapInPandas(thrifty(_linked(most, None)), LINKED)
     return met.where("kind = 0").unionByName(more).select("a", "b")
 
 
