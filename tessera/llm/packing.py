@@ -61,13 +61,13 @@ def can_cut(settings: dict) -> bool:
 class Ids:
     """Ids of one tokenizer file, by cached pieces where its settings allow; one per worker process."""
 
-    def __init__(self, path: str, keep: int = 120_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.cache, self.old = Tokenizer.from_file(path), keep, {}, {}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             self.cuts = can_cut(json.load(f))
@@ -108,10 +108,12 @@ class Ids:
             return
         # texts in plain letters are cut as the pre-tokenizer cuts them; others at white space only
         cut = [None if any(s in t for s in self.special) else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) else _CHUNK.findall(t) for t in texts]
-        cache, used = self.cache, set().union(*(w for w in cut if w))
-        if len(cache) > self.keep:  # what these texts have again stays: the frequent pieces
-            self.cache = cache = {w: cache[w] for w in used.intersection(cache)}
-        self.learn(list(used.difference(cache)))
+        if len(self.cache) > self.keep // 2:  # two generations: what was used in the last one comes along when it is used again
+            self.cache, self.old = {}, self.cache
+        cache, missing = self.cache, set().union(*(w for w in cut if w)).difference(self.cache)
+        known = missing.intersection(self.old)
+        cache.update((w, self.old[w]) for w in known)
+        self.learn(list(missing.difference(known)))
         last = np.uint32(end).tobytes()
         for text, words in zip(texts, cut, strict=True):
             if words is None:
