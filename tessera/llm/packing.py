@@ -122,10 +122,14 @@ class Ids:
                 yield np.frombuffer(b"".join([*map(cache.__getitem__, words), last]), np.uint32)
 
 
-def ids_of(path: str) -> Ids:
-    if path not in _STATE:
-        _STATE[path] = Ids(path)
-    return _STATE[path]
+#: Pieces whose ids a worker keeps, some 200 bytes each, unless a caller says otherwise.
+KEEP = 400_000
+
+
+def ids_of(path: str, keep: int = KEEP) -> Ids:
+    if (path, keep) not in _STATE:
+        _STATE[path, keep] = Ids(path, keep)
+    return _STATE[path, keep]
 
 
 def decompose(n: int, longest: int = 2048) -> list[int]:
@@ -136,14 +140,14 @@ def decompose(n: int, longest: int = 2048) -> list[int]:
 SCHEMA = "row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """One row per piece: id, row_key (a hash of the text), row (a number for the document's row), start, length, ids_crc32, doc_tokens and, if asked
     for, ids (binary, unsigned 32-bit numbers; 16-bit where the vocabulary allows)."""
 
     names = ["id", "row_key", *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ids_of(tokenizer)
+        encode = ids_of(tokenizer, keep)
         number = TaskContext.get().partitionId() << 33
         for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts at a time are Python objects
             at, rows, kept = [], [[], [], [], [], []], []
@@ -191,9 +195,9 @@ def _numbered(stable: DataFrame, longest: int, with_ids: bool) -> DataFrame:
     return in_batches(stable, run, f"row_key bigint, {SCHEMA}" + ", ids array<int>" * with_ids + ", sequence_id bigint")
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end: int = 1, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """Pieces with sequence_id (dense, bucket by bucket, longest bucket last), offset (always 0), copy and, if asked for, ids (array<int>)."""
-    stable = cut(pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids))
+    stable = cut(pieces(docs, tokenizer, id_col, text_col, longest, end, with_ids, keep))
     out = _numbered(stable, longest, with_ids)
     # rows that share id and text: their pieces are numbered by the row
     same = Window.partitionBy("id", "row_key").orderBy("row")
