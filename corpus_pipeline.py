@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths with their token ids, numbered as sequences."""
-    return packing.pack(docs, word_tokenizer(), with_ids=True)
+    # workers serve all stages in turn, so the tokenizer's cache is smaller here
+    return packing.pack(docs, word_tokenizer(), with_ids=True, keep=120_000)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
