@@ -168,10 +168,11 @@ def merged_item_chains(spark, d):
     q = lambda x: F.concat(F.lit("Q"), x.cast("string"))
     key, part = F.col("c_custkey"), F.col("c_custkey") % 11
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    merges = c.where(part < 7).select(q(key).alias("from_item"), q(key + 1).alias("to_item")).union(c.where(part == 8).select(q(key), q(key + 1))).union(c.where(part == 9).select(q(key), q(key - 1)))
-    # the last chain's end may lie behind the last row
-    ends = c.select(q(key).alias("item")).union(c.select(q(key - part + 7).alias("item"))).distinct()
-    whole = merges.union(c.agg(F.max("c_custkey").alias("c_custkey")).select(F.explode(F.sequence(key + 1, key + 8)).alias("c_custkey")).where("c_custkey % 11 < 7").select(q(key), q(key + 1)))
+    # chains and circles are whole, also where some of their keys are in no row
+    first = c.select((key - part).alias("first")).distinct()
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (*((i, i + 1) for i in range(7)), (8, 9), (9, 8))))
+    whole = first.select("first", F.explode(steps).alias("s")).select(q(F.col("first") + F.col("s.a")).alias("from_item"), q(F.col("first") + F.col("s.b")).alias("to_item"))
+    ends = c.select(q(key).alias("item")).union(first.select(q(F.col("first") + 7).alias("item"))).distinct()
     out = lookups.current_items(c.select(q(key).alias("item")), whole, ends)
     return out.select(F.substr("item", F.lit(2)).cast("bigint").alias("id"), "current", "exists")
 
