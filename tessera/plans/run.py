@@ -37,7 +37,8 @@ def candidate_pages(spec: JobSpec, wiki: Wiki, saved: DataFrame | None = None, s
     pages = source.transclusions(site.key(spec.template, 10), spec.namespace)
     filters = candidates.Filters(manual=manual_names(spec.manual_list, spark) if spec.manual_list else [])
     if spec.category.strip():
-        filters.category = source.category_members(site.key(spec.category, 14), spec.depth, most_pages, most_categories)
+        # its members are joined with the template's pages, never held, so however many there are is no reason to stop
+        filters.category = source.category_members(site.key(spec.category, 14), spec.depth, None, most_categories)
     if spec.saved_query is not None:
         filters.saved_pages, filters.saved_items = lookups.saved_query(saved, saved_wiki or wiki.dbname, wiki.dbname)
     if spec.items_sql.strip():
