@@ -181,9 +181,15 @@ def merged_item_chains(spark, d):
 def evaluate_merged_items(spark, d):
     """Edits are planned for the item that the page's item was merged into, over two merges; rows without an item are errors."""
     part = spark.read.parquet(f"{d}/part.parquet")
-    merges = part.where("p_partkey % 3 = 0").selectExpr("concat('Q', p_partkey) AS from_item", "concat('Q', p_partkey + 500000) AS to_item").union(part.where("p_partkey % 3 = 0").selectExpr("concat('Q', p_partkey + 500000)", "concat('Q', p_partkey + 1000000)"))
-    there = part.where("p_partkey % 3 <> 1").selectExpr("concat('Q', CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 1000000 ELSE p_partkey END) AS item")
-    out = evaluate_fields(*_world(spark, d, "concat('{{Box|v=', p_name, '}}')"), [Field(JobSpec(property="P9", template="Box", parameters=("v",)), "string")], Catalog(_claims(spark, d), merges=merges, items=there))
+    merged = part.where("p_partkey % 3 = 0")
+    # (the item on the way has an id that no page's item has, however many parts there are)
+    merges = merged.selectExpr("concat('Q', p_partkey) AS from_item", "concat('Q', p_partkey, '/2') AS to_item").union(merged.selectExpr("concat('Q', p_partkey, '/2')", "concat('Q', p_partkey + 1000000)"))
+    own = part.where("p_partkey % 3 = 2").selectExpr("concat('Q', p_partkey) AS item")
+    # from a million parts on, the end of a chain has the id of a page's item that doesn't exist, so these pages are on a wiki of their own
+    out = None
+    for keep, there in (("p_partkey % 3 <> 1", own.union(merged.selectExpr("concat('Q', p_partkey + 1000000)"))), ("p_partkey % 3 = 1", own)):
+        some = evaluate_fields(*_world(spark, d, "concat('{{Box|v=', p_name, '}}')", keep), [Field(JobSpec(property="P9", template="Box", parameters=("v",)), "string")], Catalog(_claims(spark, d), merges=merges, items=there))
+        out = some if out is None else out.unionByName(some)
     return out.select("page_id", "item", "message")
 
 

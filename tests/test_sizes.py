@@ -36,6 +36,13 @@ def test_chains_whose_keys_end_or_are_missing(spark, tables):
     same(spark, tables(customer=customer), queries.QUERIES["merged_item_chains"], queries.ORACLE["merged_item_chains"])
 
 
+def test_merged_items_of_over_a_million_parts(spark, tables):
+    """Keys that are half a million and a million apart."""
+    part = spark.read.parquet(f"{SMALL}/part.parquet").where("p_partkey < 12")
+    far = part.selectExpr("*", "explode(array(0, 500000, 1000000, 1500000)) AS by").withColumn("p_partkey", F.expr("p_partkey + by")).drop("by")
+    same(spark, tables(part=far), queries.QUERIES["evaluate_merged_items"], queries.ORACLE["evaluate_merged_items"])
+
+
 def test_a_category_may_hold_more_pages_than_a_run(spark):
     """The limit is on the pages that use the template; what else is in their category doesn't count."""
     number = spark.range(100).withColumnRenamed("id", "page_id")
