@@ -65,6 +65,11 @@ class JobSpec:
     extra_properties: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
+#: Names of the fields in their order, and a specification of their defaults: made once, as they are asked for in every row of a table of permalinks.
+_FIELDS, _BASE = tuple(f.name for f in fields(JobSpec)), JobSpec()
+_KNOWN = frozenset(_FIELDS)
+
+
 def _id(letter: str, text: str) -> str | None:
     m = re.search(rf"(?:^|/|:){letter}?([0-9]+)\s*$", text.strip(), re.I)
     return f"{letter}{int(m[1])}" if m else None
@@ -143,7 +148,7 @@ def from_query(text: str) -> JobSpec:
 
 def to_query(spec: JobSpec) -> str:
     """Permalink query string; what is as by default is left out, but for the keys that are always written."""
-    base, q = JobSpec(), []
+    base, q = _BASE, []
     flag = lambda on: "1" if on else "0"
     put = lambda key, name, shown=lambda v: str(v): q.append((key, shown(getattr(spec, name)))) if getattr(spec, name) != getattr(base, name) else None
     q += [("siteid", spec.siteid), ("project", spec.project), ("namespace", str(spec.namespace))]
@@ -227,11 +232,13 @@ def permalinks_of(specs: Column) -> Column:
 
 
 def as_dict(spec: JobSpec) -> dict:
-    return {f.name: getattr(spec, f.name) for f in fields(spec)}
+    return {name: getattr(spec, name) for name in _FIELDS}
 
 
 def from_dict(data: dict) -> JobSpec:
     """Missing fields have their defaults, unknown ones are ignored."""
-    deep = lambda v: tuple(map(deep, v)) if isinstance(v, list | tuple) else v
-    known = {f.name for f in fields(JobSpec)}
-    return JobSpec(**{k: deep(v) for k, v in data.items() if k in known})
+    return JobSpec(**{k: _deep(v) if v.__class__ is list or v.__class__ is tuple else v for k, v in data.items() if k in _KNOWN})
+
+
+def _deep(value):
+    return tuple(map(_deep, value)) if isinstance(value, list | tuple) else value

@@ -29,3 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in spark.checkpoint.dir; where that is unset, a local session gets a folder of its own, a cluster is refused."""
     _ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys to several tasks a core. For work that costs far more than its rows' bytes: files and the results of joins are cut into tasks by bytes, so a few MB of them would all be one core's."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

@@ -14,7 +14,7 @@ from tessera.operators import closure, constraints, existing
 from tessera.plans import pages, properties, results, run
 from tessera.plans.evaluate import Catalog, Field, evaluate_fields
 from tessera.plans.job import JobSpec
-from tessera.plans.lineage import scratch
+from tessera.plans.lineage import scratch, spread
 from tessera.plans.store import RunStore
 from tessera.queries import _claims, _rendered, query
 from tessera.sources import lookups
@@ -46,7 +46,7 @@ def _pattern_sql() -> str:
 
 @query(_pattern_sql())
 def pattern_replacements(spark, d):
-    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", f"{_SAID} AS said")
+    rows = spread(spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", f"{_SAID} AS said"), "p_partkey")
     made = F.array(*(F.struct(F.lit(i).alias("pattern"), T.transform(F.col("said"), search=p, replacement=r).alias("value")) for i, (p, r, _) in enumerate(PATTERNS)))
     return rows.select("p_partkey", F.explode(made).alias("x")).select("p_partkey", "x.pattern", "x.value")
 
@@ -373,7 +373,7 @@ def permalinks_and_specifications(spark, d):
     )
     from tessera.plans import job
 
-    rows = c.select("c_custkey", job.specs_of(link).alias("spec"))
+    rows = spread(c.select("c_custkey", link.alias("link")), "c_custkey").select("c_custkey", job.specs_of(F.col("link")).alias("spec"))
     rows = rows.withColumn("again", job.specs_of(job.permalinks_of(F.col("spec"))))
     of = lambda name: F.get_json_object("spec", f"$.{name}")
     return rows.select(key.alias("id"), *(of(n).alias(n) for n in ("property", "template", "parameters", "date_limit", "qualifiers")), (F.col("spec") == F.col("again")).alias("same"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import queries, run_queries  # noqa: F401  (registers its queries with the others)
 from tessera.operators.closure import LimitExceeded
-from tessera.plans import run
+from tessera.plans import evaluate, run
 from tessera.plans.job import JobSpec
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,3 +56,16 @@ def test_a_category_may_hold_more_pages_than_a_run(spark):
     assert {r["page_id"]: r["reason"] for r in marked.collect()} == {0: "not_in_category", 1: "not_in_category", 2: None, 3: None, 4: None}
     with pytest.raises(LimitExceeded):
         run.candidate_pages(JobSpec(property="P9", template="Box", parameters=("a",), category="Small"), wiki, most_pages=4)
+
+
+@pytest.mark.parametrize("name", ["pattern_replacements", "permalinks_and_specifications"])
+def test_costly_work_on_few_bytes_is_every_cores(spark, name):
+    """The table is one small file, which the scan leaves in one task."""
+    assert queries.QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("kind", ["string", "quantity"])
+def test_pages_are_read_by_every_core(spark, kind):
+    pages, revisions = run_queries._world(spark, SMALL, "concat('{{Box|v=', p_size, '}}')")
+    rows = evaluate.typed_rows(pages, revisions, [evaluate.Field(JobSpec(property="P9", template="Box", parameters=("v",)), kind)], evaluate.Catalog(queries._claims(spark, SMALL)))
+    assert rows.rdd.getNumPartitions() >= 4 and rows.count() == pages.count() and rows.where("value IS NULL").isEmpty()
